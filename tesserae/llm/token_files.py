@@ -37,7 +37,7 @@ BLOCK_IDS = 1 << 20
 LANES = 2048
 CHECKPOINT_STEPS = 128
 SEGMENT_IDS = 1 << 22
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 400_000
 
 
 # --- coder ---------------------------------------------------------------------------------------------------------
@@ -256,8 +256,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         encoder = cache.setdefault(("pieces", tokenizer_path), None) or PieceEncoder(tokenizer_path)
         cache["pieces", tokenizer_path] = encoder
         for batch in batches:
-            for k in range(0, batch.num_rows, 4000):
-                part = batch.slice(k, 4000)
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
                 ids = [np.concatenate([x, end]).astype("<u2").tobytes() for x in encoder.encode(pc.fill_null(part.column(1), ""))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
