@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from .common import table
 from .line_dedup import line_dedup
 from .onebit_search import build_index, nearest
+from .pii import pseudonymise
 from .token_files import token_files
 
 
+def op2_pii(spark: SparkSession, sf_dir: str, key: str = "tesserae") -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), key).select("doc_id", "text", "n_pii")
+
+
 def op5_onebit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, dim = build_index(table(spark, sf_dir, "embeddings"))
     return nearest(index, index.where("vec_id % 50 = 0").select("vec_id", "vector"), dim, k=5)
@@ -67,6 +72,7 @@ FROM marked GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pii": op2_pii,
         "op5_onebit_search": op5_onebit_search,
         "op6_token_files": op6_token_files,
         "op9_line_dedup": op9_line_dedup,
