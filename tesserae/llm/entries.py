@@ -8,17 +8,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_mod, table
 from .line_dedup import line_dedup
 from .onebit_search import build_index, nearest
 from .pii import pseudonymise
 from .token_files import token_files
+from .toxicity import learn, score
 
 
 def op2_pii(spark: SparkSession, sf_dir: str, key: str = "tesserae") -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), key).select("doc_id", "text", "n_pii")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 3) == 1
+    out = score(docs, learn(docs, table(spark, sf_dir, "labels"), ~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"), F.col("toxic_hits").alias("hits"))
+
+
 def op5_onebit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, dim = build_index(table(spark, sf_dir, "embeddings"))
     return nearest(index, index.where("vec_id % 50 = 0").select("vec_id", "vector"), dim, k=5)
@@ -73,6 +80,7 @@ FROM marked GROUP BY doc_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pii": op2_pii,
+        "op3_toxicity": op3_toxicity,
         "op5_onebit_search": op5_onebit_search,
         "op6_token_files": op6_token_files,
         "op9_line_dedup": op9_line_dedup,
