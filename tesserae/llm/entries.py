@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language
 from .common import crc_mod, table
 from .line_dedup import line_dedup
 from .onebit_search import build_index, nearest
@@ -54,6 +55,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str | None
     return token_files(docs, tokenizer_path, lambda ids: {"ids_crc32": zlib.crc32(ids.astype("<u4").tobytes())}, "ids_crc32 long")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 4) == 2
+    out = language.identify(docs, language.learn(docs, ~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -83,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op5_onebit_search": op5_onebit_search,
         "op6_token_files": op6_token_files,
+        "op7_language": op7_language,
         "op9_line_dedup": op9_line_dedup,
     }
 
