@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language
+from . import class_lm, language
 from .common import crc_mod, table
 from .line_dedup import line_dedup
 from .onebit_search import build_index, nearest
@@ -27,6 +27,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"), F.col("toxic_hits").alias("hits"))
 
 
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2
+    model = class_lm.train(docs.where(~held_out))
+    out = class_lm.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op5_onebit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, dim = build_index(table(spark, sf_dir, "embeddings"))
     return nearest(index, index.where("vec_id % 50 = 0").select("vec_id", "vector"), dim, k=5)
@@ -88,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pii": op2_pii,
         "op3_toxicity": op3_toxicity,
+        "op4_class_lm": op4_class_lm,
         "op5_onebit_search": op5_onebit_search,
         "op6_token_files": op6_token_files,
         "op7_language": op7_language,
