@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import class_lm, language
 from .common import crc_mod, table
+from .jaccard_join import near_duplicates
 from .line_dedup import line_dedup
 from .onebit_search import build_index, nearest
 from .pii import pseudonymise
@@ -73,6 +74,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
@@ -100,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_files": op6_token_files,
         "op7_language": op7_language,
         "op9_line_dedup": op9_line_dedup,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
