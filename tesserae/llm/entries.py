@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import class_lm, language
 from .common import crc_mod, table
+from .decontaminate import contaminated
 from .jaccard_join import near_duplicates
 from .line_dedup import line_dedup
 from .onebit_search import build_index, nearest
@@ -18,6 +19,10 @@ from .token_files import token_files
 from .toxicity import learn, score
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str, key: str = "tesserae") -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), key).select("doc_id", "text", "n_pii")
 
@@ -98,6 +103,7 @@ FROM marked GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op2_pii": op2_pii,
         "op3_toxicity": op3_toxicity,
         "op4_class_lm": op4_class_lm,
