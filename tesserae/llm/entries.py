@@ -5,6 +5,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from .jaccard_join import near_duplicates
 from .line_dedup import line_dedup
 from .onebit_search import build_index, nearest
 from .pii import pseudonymise
+from .sentencepiece_scan import decode, encode
 from .token_files import token_files
 from .toxicity import learn, score
 
@@ -74,6 +77,23 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), round_trip (decoding gives the
+    text back), for every whole text."""
+    if model_path is None:
+        import public_tokenizers
+
+        model_path = public_tokenizers.path("piece_bpe_32k.model")
+
+    def digest(lists: pa.Array) -> pa.Array:
+        ends, flat = np.asarray(lists.offsets), np.asarray(lists.values).astype("<u4")
+        return pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64())
+
+    out = decode(encode(table(spark, sf_dir, "documents"), model_path), model_path)
+    same = F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded"))
+    return out.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.arrow_udf(digest, "long")("piece_ids").alias("ids_crc32"), same.alias("round_trip"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -110,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_onebit_search": op5_onebit_search,
         "op6_token_files": op6_token_files,
         "op7_language": op7_language,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_line_dedup": op9_line_dedup,
         "op10_jaccard_join": op10_jaccard_join,
     }
