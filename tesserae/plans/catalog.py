@@ -1,11 +1,18 @@
-"""Registry of the engine's named queries and of their SQL twins."""
+"""All named queries of the engine and their SQL twins."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from . import q_graph_web, q_joins, q_lexicon, q_records, q_retrieval, q_sources, q_state, q_telemetry, q_text  # noqa: F401
+from .registry import REGISTRY
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: q.run for name, q in REGISTRY.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: q.sql for name, q in REGISTRY.items() if q.sql}
