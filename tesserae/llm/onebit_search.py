@@ -112,13 +112,14 @@ def search_block(index: DataFrame, query_ids: np.ndarray, queries: np.ndarray, d
                 scalars = np.asarray(b.column(3))
                 upper = turned @ signs_of(codes, dim).T
                 upper = upper / scalars + error_bound(scalars, dim, epsilon)
+                left = np.ones(upper.shape, bool)
                 if not np.isfinite(kth).all():  # the first rows of a task: a floor from the best estimates
                     some = np.argsort(-upper, axis=1, kind="stable")[:, : k + 1]
                     keep = np.zeros(upper.shape, bool)
                     np.put_along_axis(keep, some, True, axis=1)
                     top, kth = rerank(top, keep, ids, x, ids_q, full, kth)
-                    upper[keep] = -np.inf
-                top, kth = rerank(top, upper >= kth[:, None], ids, x, ids_q, full, kth)
+                    left = ~keep
+                top, kth = rerank(top, left & (upper >= kth[:, None]), ids, x, ids_q, full, kth)
         q, v, s = top
         yield pa.RecordBatch.from_arrays([pa.array(ids_q[q]), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
 
