@@ -163,13 +163,13 @@ def calendar_text(spark, d):
 
 
 @query("regrade_letter", "K08 K09 K02", """
-SELECT l_orderkey, string_agg('- ' || l_linenumber || ': ' || cast(l_quantity AS BIGINT), chr(10) ORDER BY l_linenumber) AS text FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1
+SELECT l_orderkey, string_agg('- ' || l_linenumber || ': ' || cast(l_quantity AS BIGINT), chr(10) ORDER BY l_linenumber, l_quantity) AS text FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1
 """)
 def regrade_letter(spark, d):
     """A letter per order: a group has a few lines, however large the table."""
     li = table(spark, d, "lineitem").where("l_returnflag = 'R'")
     line = F.concat(F.lit("- "), F.col("l_linenumber").cast("string"), F.lit(": "), F.col("l_quantity").cast("long").cast("string"))
-    return sinks.ordered_text(li, ["l_orderkey"], ["l_linenumber"], line)
+    return sinks.ordered_text(li, ["l_orderkey"], ["l_linenumber", "l_quantity"], line)
 
 
 @query("citation_label", "P17 P03", """
