@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import broadcast_below, written
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -33,6 +33,7 @@ STEP = 32
 TOLERANCE = 1e-7
 BLOCK_DOCS = 512
 BLOCK_BYTES = 8 << 20
+BROADCAST_ROWS = 1_000_000
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
@@ -170,7 +171,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     groups = written(components(links))
 
     weights = copies.select(F.col("rep").alias("node"), "copies")
-    texts = docs.join(groups, docs["doc_id"] == groups["node"]).select("node", "root", "text").join(weights, "node").dropDuplicates(["node"])
+    small = broadcast_below(groups, groups.count(), BROADCAST_ROWS)  # two numbers a row; beyond that, a shuffled join
+    texts = docs.join(small, docs["doc_id"] == small["node"]).select("node", "root", "text").join(weights, "node").dropDuplicates(["node"])
     sizes = texts.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
     sizes = sizes.select("root", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     texts = written(texts.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
