@@ -29,7 +29,7 @@ SPACE = "▁"
 CHUNK = 16384
 #: Texts of more characters are cut into chunks.
 GIANT = 4 * CHUNK
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 NEVER = -np.inf
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 INFINITE = float("inf")
@@ -80,7 +80,7 @@ class Lattice:
             return True
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.seam(self.texts[a], self.texts[b])
         return known
@@ -241,26 +241,186 @@ def lattice(model_path: str) -> Lattice:
     return cache["lattice", model_path]
 
 
+class PairTable:
+    """Open-addressed table of piece pairs and whether they are compatible, looked up for whole arrays."""
+
+    BITS = 21
+
+    def __init__(self, lat: Lattice):
+        self.lat = lat
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values, self.used = np.full(1 << self.BITS, -1, np.int64), np.zeros(1 << self.BITS, bool), 0
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's place, or the free place where it belongs."""
+        with np.errstate(over="ignore"):
+            at = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        open_ = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] != -1))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.BITS) - 1)
+            here = self.keys[at[open_]]
+            open_ = open_[(here != keys[open_]) & (here != -1)]
+        return at
+
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = (a.astype(np.int64) << 16) | b
+        at = self.slots(keys)
+        missing = self.keys[at] == -1
+        if missing.any():
+            new = np.unique(keys[missing])
+            if self.used + len(new) > (1 << self.BITS) // 2:
+                self.clear()
+            texts = self.lat.texts
+            values = np.array([self.lat.seam(texts[k >> 16], texts[k & 0xFFFF]) for k in new.tolist()])
+            self.used += len(new)
+            while len(new):  # keys that meet in one place take turns
+                slot, first = np.unique(self.slots(new), return_index=True)
+                self.keys[slot], self.values[slot] = new[first], values[first]
+                rest = np.ones(len(new), bool)
+                rest[first] = False
+                new, values = new[rest], values[rest]
+            at = self.slots(keys)
+        return self.values[at]
+
+
+class BatchLattice:
+    """The lattice pass of many words at once: place by place, piece length by piece length."""
+
+    WIDEST = 32
+    BASE = np.uint64(0x100000001B3)
+
+    def __init__(self, lat: Lattice):
+        self.lat, self.pairs = lat, PairTable(lat)
+        texts = list(lat.whole)
+        chars, sizes = self.matrix(texts)
+        hashes = self.prefix_hashes(chars)[np.arange(len(texts)), sizes]
+        order = np.argsort(hashes)
+        self.hashes, self.ids = hashes[order], np.array([lat.whole[t] for t in texts], np.int32)[order]
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[self.hashes >> np.uint64(44)] = True
+        self.unknown = len(lat.texts)
+        self.lengths = np.array([*map(len, lat.texts), 1], np.int64)
+
+    @staticmethod
+    def matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(w) for w in words], np.int64)
+        out = np.zeros((len(words), int(sizes.max(initial=1))), np.uint32)
+        out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        return out, sizes
+
+    def prefix_hashes(self, chars: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(chars), chars.shape[1] + 1), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(chars.shape[1]):
+                c = (chars[:, j].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+                out[:, j + 1] = (out[:, j] + (c ^ (c >> np.uint64(29)))) * self.BASE
+        return out
+
+    def piece(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these hashes, -1 for others."""
+        out = np.full(len(hashes), -1, np.int32)
+        some = np.flatnonzero(self.bits[hashes >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(self.hashes, hashes[some]), len(self.hashes) - 1)
+        out[some] = np.where(self.hashes[at] == hashes[some], self.ids[at], -1)
+        return out
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes and starts of the words' encodings, and the ids they point to."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        wide = order[: np.searchsorted(-lengths[order], -self.WIDEST, "left")]
+        sizes, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        parts, total = [np.zeros(0, np.int32)], 0
+        for i in wide.tolist():
+            parts.append(np.array(self.lat.word(words[i]), np.int32))
+            sizes[i], starts[i] = len(parts[-1]), total
+            total += len(parts[-1])
+        for k in range(len(wide), len(order), 20_000):
+            rows = order[k : k + 20_000]
+            n, ids = self.group([words[i] for i in rows.tolist()])
+            sizes[rows], starts[rows] = n, total + np.cumsum(n) - n
+            parts.append(ids)
+            total += len(ids)
+        return sizes, starts, np.concatenate(parts)
+
+    def group(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids, word after word, of words of at most WIDEST characters, longest first."""
+        chars, sizes = self.matrix(words)
+        h = self.prefix_hashes(chars)
+        n, width = chars.shape
+        last = np.full((n, width + 1), -2, np.int32)
+        last[:, 0] = -1
+        powers = [np.uint64(pow(int(self.BASE), k, 1 << 64)) for k in range(self.lat.longest + 1)]
+        with np.errstate(over="ignore"):
+            for j in range(1, width + 1):
+                left = np.arange(np.searchsorted(-sizes, -j, "right"))
+                for k in range(1, min(j, self.lat.longest) + 1):
+                    before = last[left, j - k]
+                    rows = left[before != -2]
+                    if not len(rows):
+                        continue
+                    before = before[before != -2]
+                    found = self.piece(h[rows, j] - h[rows, j - k] * powers[k])
+                    if k == 1:
+                        found[found < 0] = self.unknown  # every known character is a piece
+                    real = found >= 0
+                    rows, before, found = rows[real], before[real], found[real]
+                    good = (before == -1) | (before == self.unknown) | (found == self.unknown)
+                    check = ~good
+                    good[check] = self.pairs.compatible(before[check], found[check])
+                    last[rows[good], j] = found[good]
+                    left = left[last[left, j] == -2]
+                    if not len(left):
+                        break
+        at, steps = sizes.copy(), []
+        open_ = np.flatnonzero(at > 0)
+        while len(open_):
+            piece = last[open_, at[open_]]
+            steps.append((open_, piece))
+            at[open_] -= self.lengths[piece]
+            open_ = open_[at[open_] > 0]
+        rows, pieces = (np.concatenate([x[k] for x in steps]) for k in (0, 1))
+        place = np.repeat(np.arange(len(steps)), [len(r) for r, _ in steps])
+        by = np.lexsort((-place, rows))
+        rows, pieces = rows[by], pieces[by]
+        odd = np.flatnonzero(pieces == self.unknown)
+        if len(odd):  # their characters become bytes
+            ends = np.cumsum(self.lengths[pieces])
+            before = np.concatenate([[0], np.cumsum(sizes)])
+            codes = chars[rows[odd], ends[odd] - 1 - before[rows[odd]]]
+            spelled = {c: [self.lat.byte_ids[x] for x in chr(c).encode()] for c in np.unique(codes).tolist()}
+            times = np.ones(len(pieces), np.int64)
+            times[odd] = [len(spelled[c]) for c in codes.tolist()]
+            rows, pieces = np.repeat(rows, times), np.repeat(pieces, times)
+            pieces[pieces == self.unknown] = [x for c in codes.tolist() for x in spelled[c]]
+        return np.bincount(rows, minlength=n), pieces.astype(np.int32)
+
+
 class WordEncoder:
     """Encodes batches of texts, each distinct word once as long as the cache has room."""
 
     def __init__(self, lat: Lattice):
-        self.lat = lat
+        self.batch = BatchLattice(lat)
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.sizes, self.ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        self.sizes, self.starts, self.ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        self.n_ids = 0
 
     def numbers(self, words: list[str]) -> np.ndarray:
         out = [self.known.get(w, -1) for w in words]
         new = [w for w, k in zip(words, out, strict=True) if k < 0]
         if new:
-            coded = [self.lat.word(w) for w in new]
+            sizes, starts, ids = self.batch.encode(new)
             base = len(self.known)
             self.known.update(zip(new, range(base, base + len(new)), strict=True))
-            self.sizes.append(np.array([len(c) for c in coded], np.int64))
-            self.ids.append(np.array([i for c in coded for i in c], np.int32))
+            self.sizes.append(sizes)
+            self.starts.append(self.n_ids + starts)
+            self.ids.append(ids)
+            self.n_ids += len(ids)
             out = [self.known[w] if k < 0 else k for w, k in zip(words, out, strict=True)]
         return np.array(out, np.int64)
 
@@ -284,8 +444,8 @@ class WordEncoder:
             n_words[empty] = 0
             words = [SPACE + w for w in flat.dictionary.to_pylist()]
         at = self.numbers(words)[np.asarray(flat.indices)] if len(flat) else np.zeros(0, np.int64)
-        self.sizes, self.ids = [np.concatenate(self.sizes)], [np.concatenate(self.ids)]
-        starts = np.cumsum(self.sizes[0]) - self.sizes[0]
+        self.sizes, self.starts, self.ids = [np.concatenate(self.sizes)], [np.concatenate(self.starts)], [np.concatenate(self.ids)]
+        starts = self.starts[0]
         sizes = self.sizes[0][at]
         total = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.ids[0][np.repeat(starts[at] - total[:-1], sizes) + np.arange(total[-1])]
@@ -305,7 +465,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
         if ("words", model_path) not in cache:
             cache["words", model_path] = WordEncoder(lat)
         encoder = cache["words", model_path]
-        parts = [encoder.encode(texts.slice(k, 2000)) for k in range(0, len(texts), 2000)]
+        parts = [encoder.encode(texts.slice(k, 1000)) for k in range(0, len(texts), 1000)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     short = docs.where(size <= GIANT).withColumn(out_col, F.arrow_udf(small, "array<int>")(text_col))
@@ -373,13 +533,16 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "piece_ids", out_col
         raw = lattice(model_path).raw
         sizes, flat = np.array([len(x) for x in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8)
         starts = np.cumsum(sizes) - sizes
-        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = np.asarray(lists.flatten()).astype(np.int64)
-        size = sizes[ids]
-        total = np.concatenate([[0], np.cumsum(size)])
-        data = flat[np.repeat(starts[ids] - total[:-1], size) + np.arange(total[-1])].tobytes()
-        ends = total[np.concatenate([[0], np.cumsum(n)])]
-        out = [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        out: list[str] = []
+        for k in range(0, len(lists), 200):
+            part = lists.slice(k, 200)
+            n = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = np.asarray(part.flatten()).astype(np.int64)
+            size = sizes[ids]
+            total = np.concatenate([[0], np.cumsum(size)])
+            data = flat[np.repeat(starts[ids] - total[:-1], size) + np.arange(total[-1])].tobytes()
+            ends = total[np.concatenate([[0], np.cumsum(n)])]
+            out += [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.array([t[1:] if t[:1] == " " else t for t in out], pa.string())
 
     return rows.withColumn(out_col, F.arrow_udf(f, "string")(ids_col))
