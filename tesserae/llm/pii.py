@@ -5,12 +5,15 @@ Feistel network inside their own format's domain, so a pseudonym is valid too, e
 every document, and different values different ones:
 
     payment card   first digit stays, middle digits permuted, Luhn digit computed anew
-    phone          area 200-999, exchange 200-999, line 0000-9999
+    phone          area 200-999, exchange 200-999, line 0000-9999; all other areas and exchanges among themselves
     IPv4           all 2^32 addresses
     SSN            valid areas, groups and serials
     date           days of a 400-year cycle from 1800 on (146,097 days), written in the same order and separators
     e-mail         local part: letters and digits inside their class, domain kept
 
+Numbers joined by single separators may hold several values or others beside them; from 13 digits on, such a run is
+read group by group, and from each group on the longest valid card counts, else any other candidate.
+
 A domain Z_A x Z_B is permuted by alternating rounds l += F(r) mod A, r += F(l) mod B; F is a keyed SHA-256.
 """
 
@@ -24,13 +27,19 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,8}"
-PHONE = r"(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
+PHONE = r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 YMD = r"[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}(?![0-9])"
 DMY = r"[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4}(?![0-9]|\.[0-9])"
 IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-ANY = rf"(?<![0-9A-Za-z_])(?=[0-9(+]|[A-Za-z0-9._%+-]++@)(?:{EMAIL}|{PHONE}|{SSN}|{YMD}|{DMY}|{IPV4}|{CARD})"
+#: A group of digits that doesn't begin an e-mail address; possessive, so long runs need no stack.
+GROUP = r"[0-9]++(?![A-Za-z0-9._%+-]{0,64}@)"
+RUN = rf"(?=[0-9](?:[ -]?[0-9]){{12}}){GROUP}(?:[ ./-]{GROUP})*+"
+OTHER = rf"(?:{PHONE}|{SSN}|{YMD}|{DMY}|{IPV4})"
+#: The most groups that a card (all of one digit) and any other candidate with what it must not be followed by can have.
+CARD_GROUPS, OTHER_GROUPS = 19, 6
+ANY = rf"(?<![0-9A-Za-z_])(?=[0-9(+]|[A-Za-z0-9._%+-]++@)(?:{EMAIL}|{PHONE}|{SSN}|{YMD}|{DMY}|{IPV4}|{RUN})"
 
 
 def long(c: Column) -> Column:
@@ -114,6 +123,16 @@ def phone(m: Column, key: str) -> Column:
         area, exchange, line = (long(F.substring(d, F.length(d) - a, F.lit(n))) for a, n in ((9, 3), (6, 3), (3, 4)))
         moved = feistel(((area - 200) * 800 + (exchange - 200)) * 10000 + line, F.lit(640000).cast("long"), F.lit(10000).cast("long"), key, "phone")
         out = let(moved, lambda x: F.concat((whole(x, 8_000_000) + 200).cast("string"), (whole(x, 10000) % 800 + 200).cast("string"), padded(x % 10000, 4)))
+        # outside the number plan: areas below 200 with any exchange, then the other areas with exchanges below 200
+        place = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+        moved = feistel(place * 10000 + line, F.lit(360000).cast("long"), F.lit(10000).cast("long"), key, "phone outside")
+
+        def written(x: Column) -> Column:
+            at = whole(x, 10000)
+            code = F.when(at < 200_000, at).otherwise((whole(at - 200_000, 200) + 200) * 1000 + (at - 200_000) % 200)
+            return F.concat(padded(code, 6), padded(x % 10000, 4))
+
+        out = F.when((area >= 200) & (exchange >= 200), out).otherwise(let(moved, written))
         return refilled(m, F.concat(F.when(F.length(d) == 11, F.lit("1")).otherwise(""), out))
 
     return let(digits_of(m), move)
@@ -217,6 +236,37 @@ def pseudonym(m: Column, key: str) -> Column:
     return out
 
 
+def pieces(m: Column) -> Column:
+    """The parts of a candidate, in order: of a run its cards, its other candidates and what lies between; else itself."""
+
+    def parts(groups: Column) -> Column:
+        text = lambda i, n: F.array_join(F.slice(groups, i, n), "")
+        no_mark = lambda t: F.regexp_replace(t, "[ ./-]$", "")
+
+        def is_card(t: Column) -> Column:
+            return F.when(t.rlike(rf"\A(?:{CARD})\z"), luhn_sum(digits_of(t), 0) % 10 == 0).otherwise(False)
+
+        def taken(i: Column) -> Column:
+            """How many groups from the i-th on belong to one value; 0: it begins none."""
+            cards = F.filter(F.sequence(F.least(F.lit(CARD_GROUPS), F.size(groups) - i + 1), F.lit(1)), lambda n: let(no_mark(text(i, n)), is_card))
+            other = F.size(F.regexp_extract_all(F.regexp_extract(text(i, F.lit(OTHER_GROUPS)), rf"\A{OTHER}", 0), F.lit("[0-9]+"), F.lit(0)))
+            return F.when(F.size(cards) > 0, F.element_at(cards, 1)).otherwise(other)
+
+        def step(acc: Column, i: Column) -> Column:
+            def take(n: Column) -> Column:
+                value = text(i, n)
+                found = F.array(text(acc["upto"] + 1, i - acc["upto"] - 1), no_mark(value), F.regexp_extract(value, "[ ./-]?$", 0))
+                return F.when(n > 0, F.struct((i + n - 1).alias("upto"), F.concat(acc["out"], found).alias("out"))).otherwise(acc)
+
+            return F.when(i > acc["upto"], let(taken(i), take)).otherwise(acc)
+
+        start = F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("out"))
+        rest = lambda acc: F.concat(acc["out"], F.array(text(acc["upto"] + 1, F.size(groups))))
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step, rest)
+
+    return F.when(m.rlike(rf"\A(?:{RUN})\z"), let(F.regexp_extract_all(m, F.lit("[0-9]+[ ./-]?"), F.lit(0)), parts)).otherwise(F.array(m))
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with the personal data in text_col replaced by pseudonyms, and ``n_pii``, the number of replacements.
 
@@ -224,10 +274,10 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     treated on its own, so repeated rows get equal results; other columns pass through (a column named n_pii is
     replaced). An empty table gives an empty table."""
     text = F.col(text_col)
-    pairs = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
+    pairs = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.transform(pieces(m), lambda p: F.struct(p.alias("old"), pseudonym(p, key).alias("new"))))
     out = docs.withColumn("_pairs", F.when(text.rlike(ANY), pairs))
     gaps = F.split(text, ANY, -1)
-    joined = F.array_join(F.zip_with(gaps, F.col("_pairs"), lambda g, p: F.concat(g, F.coalesce(p["new"], p["old"], F.lit("")))), "")
-    out = out.withColumn("n_pii", F.coalesce(F.size(F.filter("_pairs", lambda p: p["new"].isNotNull())), F.lit(0)).cast("long"))
+    joined = F.array_join(F.zip_with(gaps, F.col("_pairs"), lambda g, ps: F.concat(g, F.coalesce(F.array_join(F.transform(ps, lambda p: F.coalesce(p["new"], p["old"])), ""), F.lit("")))), "")
+    out = out.withColumn("n_pii", F.coalesce(F.size(F.filter(F.flatten("_pairs"), lambda p: p["new"].isNotNull())), F.lit(0)).cast("long"))
     out = out.withColumn("n_pii", F.greatest("n_pii", F.lit(0).cast("long")))
     return out.withColumn(text_col, F.when(F.col("n_pii") > 0, joined).otherwise(text)).drop("_pairs")

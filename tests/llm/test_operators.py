@@ -109,6 +109,27 @@ def test_invalid_numbers_stay(spark, odd, empty):
     assert pii.pseudonymise(empty, "k").count() == 0
 
 
+def test_phones_outside_the_number_plan_move_one_to_one(spark):
+    old = [f"+1 ({a:03}) {e:03}-7713" for a, e in [(17, 555), (0, 0), (199, 999), (200, 199), (999, 0), (100, 200), (212, 555)]] + [f"{a:03}-{a % 7 * 30:03}-0000" for a in range(200)]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(old)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    new = [r["text"] for r in rows]
+    assert all(r["n_pii"] == 1 for r in rows) and all(a != b for a, b in zip(old, new, strict=True))
+    assert all(re.sub("[0-9]", "0", a) == re.sub("[0-9]", "0", b) for a, b in zip(old, new, strict=True))
+    valid = lambda s: all(x[0] >= "2" for x in re.findall("[0-9]{3}", s.removeprefix("+1"))[:2])
+    assert [valid(s) for s in old] == [valid(s) for s in new] and len({re.sub("[^0-9]", "", s)[-10:] for s in new}) == len(new)
+
+
+def test_cards_among_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"{card} 12/25", "order 12 4111111111111111", f"12 34 56 {card}", f"{card} 5500 0000 0000 0004", f"{card} 192.168.1.1", f"{card} 2024-01-02", "77 4111111111111111 ab.12@x.example.com", "123 988 555 2485", "1 " * 2000 + card]
+    count = [1, 1, 1, 2, 2, 2, 2, 1]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [r["n_pii"] for r in rows[:8]] == count
+    assert not any("4111" in r["text"] or "192.168" in r["text"] or "2024" in r["text"] or "988" in r["text"] for r in rows)
+    assert rows[0]["text"].endswith(" 12/25") and luhn(rows[0]["text"][:19].replace(" ", "")) and rows[1]["text"].startswith("order 12 4")
+    assert all(len(r["text"]) == len(t) for r, t in zip(rows, texts, strict=True) if "192" not in t)
+
+
 # --- 3 ---
 
 
