@@ -1,14 +1,16 @@
 """Brown class bigrams: exchange clustering puts words into classes; class transitions and word emissions score texts.
 
-Counts come from all training texts. Exchange clustering works on units: the UNITS_WORDS most frequent words, the end
-of a text, and for all other words one of UNITS_SHAPES groups by their last letters, so every word, also one never
-seen, has a class. Unit pairs are counted per task in one matrix, and the matrices are summed in a tree with a fan-in
-of 64, so what a task or the driver holds doesn't depend on the corpus; word counts stay a distributed table.
+Counts come from all training texts. The classes are found on units: the UNITS_WORDS most frequent words, the end of a
+text, and for all other words one of UNITS_SHAPES groups by their last letters. Unit pairs are counted per task in one
+matrix, and the matrices are summed in a tree with a fan-in of 64, so what a task or the driver holds doesn't depend on
+the corpus. Then every other word seen MIN_COUNT times or more goes to the class that its own counted contexts (classes
+before and after it) gain most from; contexts and (word, n, class) stay distributed tables. The last letters decide only
+for words seen less often or never. Class transitions are counted anew with these classes.
 
     log10 P(text) = sum over tokens of log10 P(class | class before) + log10 P(word | class)
 
 Transitions are smoothed towards the class frequencies, emissions by an additive constant that leave-one-out picks.
-Scoring broadcasts the HEAD most frequent words (a fixed number); counts of the rest come from a join on the word.
+The HEAD most frequent words (a fixed number) are broadcast; counts and classes of the rest come from a join on the word.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -29,6 +31,8 @@ UNITS_WORDS = 767
 UNITS_SHAPES = 256
 UNITS = 1 + UNITS_WORDS + UNITS_SHAPES  # unit 0: the end
 CLASSES = 64
+#: Words seen so often have a class of their own contexts.
+MIN_COUNT = 2
 SWEEPS = 6
 HEAD = 1 << 18
 FAN_IN = 64
@@ -169,9 +173,132 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
+#: An entry of a word's contexts: the class before it, or CLASSES + the class after it, and how often.
+CONTEXT = np.dtype([("at", "u1"), ("n", "<u4")])
+
+
+def contexts(docs: DataFrame, top: dict[str, int], of: np.ndarray) -> DataFrame:
+    """(word, contexts) for each word outside top: the packed counts of each batch in a list."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, n_words = tokens_of(b.column(0))
+            if not len(words):
+                continue
+            coded = words.dictionary_encode()
+            units, index = units_of(coded.dictionary.to_pylist(), top), np.asarray(coded.indices).astype(np.int64)
+            classes, index = with_ends(of[units][index], n_words, of[0]), with_ends(np.where(units[index] > UNITS_WORDS, index, -1), n_words, -1)
+            at = np.flatnonzero(index >= 0)
+            before, after = np.where(at > 0, classes[at - 1], of[0]), classes[at + 1]  # an end is behind each word
+            keys, n = np.unique(np.concatenate([index[at] * 2 * CLASSES + before, (index[at] * 2 + 1) * CLASSES + after]), return_counts=True)
+            entries = np.zeros(len(keys), CONTEXT)
+            entries["at"], entries["n"] = keys % (2 * CLASSES), n
+            word, first = np.unique(keys // (2 * CLASSES), return_index=True)
+            offsets = np.append(first, len(keys)).astype(np.int32) * CONTEXT.itemsize
+            packed = pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(word)), packed], ["word", "contexts"])
+
+    return docs.select("text").mapInArrow(count, "word string, contexts binary").groupBy("word").agg(F.collect_list("contexts").alias("contexts"))
+
+
+def assigned(found: DataFrame, pairs: np.ndarray, of: np.ndarray) -> DataFrame:
+    """(word, n, class) from contexts(); pairs: of classes.
+
+    To first order in a word's counts, the likelihood that exchange maximises gains by moving the word into a class the
+    sum of its contexts' log probabilities given that class."""
+    m = pairs + TRANSITION_PRIOR * (pairs.sum(axis=0) + 1) / (pairs.sum() + CLASSES)
+    gain = np.log(np.concatenate([m / m.sum(axis=0), (m / m.sum(axis=1, keepdims=True)).T]))  # context x class
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            flat = lists.flatten()
+            entries = np.frombuffer(b"".join(flat.to_pylist()), CONTEXT)
+            rows = np.repeat(np.asarray(pc.list_parent_indices(lists)).astype(np.int64), np.asarray(pc.binary_length(flat)) // CONTEXT.itemsize)
+            counts = np.bincount(rows * 2 * CLASSES + entries["at"], entries["n"], b.num_rows * 2 * CLASSES).reshape(b.num_rows, 2 * CLASSES)
+            n = counts[:, :CLASSES].sum(axis=1).astype(np.int64)
+            best = 1 + np.round(counts @ gain[:, 1:], 6).argmax(axis=1)  # class 0 is the end's; ties go to the smaller class
+            for k in np.flatnonzero(n < MIN_COUNT):
+                best[k] = of[shape(b.column(0)[int(k)].as_py())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(best.astype(np.int32))], ["word", "n", "class"])
+
+    return found.mapInArrow(choose, "word string, n long, class int")
+
+
+class Coder:
+    """Texts as classes: those of the head at once, those of other words (-1) as rows to be joined."""
+
+    def __init__(self, words: list[str], classes: np.ndarray, of: np.ndarray):
+        self.place, self.classes, self.of = {w: k for k, w in enumerate(words)}, classes, of
+
+    def code(self, texts: pa.Array) -> None:
+        words, self.n_words = tokens_of(texts)
+        coded = words.dictionary_encode()
+        self.dictionary = coded.dictionary
+        index = np.asarray(coded.indices).astype(np.int64)
+        places = np.array([self.place.get(w, -1) for w in coded.dictionary.to_pylist()], np.int64)
+        self.index = with_ends(index, self.n_words, -1)
+        self.places = with_ends(places[index] if len(index) else index, self.n_words, self.place[END])
+        self.now = np.where(self.places >= 0, self.classes[self.places], -1)
+        self.before = np.concatenate([self.classes[[self.place[END]]], self.now[:-1]])
+        self.rows = np.repeat(np.arange(len(texts)), self.n_words + 1)
+
+    def tail(self, keys: np.ndarray) -> dict[str, pa.Array]:
+        at = np.flatnonzero(self.now < 0)
+        used, inverse = np.unique(self.index[at], return_inverse=True)
+        words = self.dictionary.take(pa.array(used))
+        other = np.array([self.of[shape(w)] for w in words.to_pylist()], np.int32)
+        numbers = {"pos": at, "other": other[inverse] if len(at) else at, "before": self.before[at], "after": self.now[at + 1] if len(at) else at}
+        return {"key": pa.array(keys[self.rows[at]]), "word": words.take(pa.array(inverse))} | {c: pa.array(x.astype(np.int32)) for c, x in numbers.items()}
+
+
+TAIL = "key long, word string, pos int, other int, before int, after int"
+
+
+def placed(tail: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows of Coder.tail with n and class from counts; before is known then, after stays -1 before a row of its own."""
+    rows = tail.join(counts, "word", "left").select("key", "pos", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", "other").alias("class"), "before", "after")
+    last = F.lag("class").over(Window.partitionBy("key").orderBy("pos"))
+    return rows.withColumn("before", F.when(F.col("before") < 0, last).otherwise(F.col("before")))
+
+
+def class_pairs_of(docs: DataFrame, head, of: np.ndarray, counts: DataFrame) -> np.ndarray:
+    """CLASSES x CLASSES counts of neighbouring classes; head: a broadcast of words, counts and classes."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        words, _, classes = head.value
+        coder, at = Coder(words, classes, of), TaskContext.get().partitionId() << 36
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                b = batch.slice(k, 2000)
+                coder.code(b.column(0))
+                known = (coder.now >= 0) & (coder.before >= 0)
+                total += np.bincount(coder.before[known] * CLASSES + coder.now[known], minlength=CLASSES * CLASSES)
+                rows = coder.tail(at + np.arange(b.num_rows))
+                at += b.num_rows
+                if len(rows["key"]):
+                    yield pa.RecordBatch.from_pydict(rows | {"n_pairs": pa.nulls(len(rows["key"]), pa.int64())})
+        found = np.flatnonzero(total)
+        numbers = {"before": found // CLASSES, "after": found % CLASSES}
+        nothing = {"key": pa.nulls(len(found), pa.int64()), "word": pa.nulls(len(found), pa.string()), "pos": pa.nulls(len(found), pa.int32()), "other": pa.nulls(len(found), pa.int32())}
+        yield pa.RecordBatch.from_pydict(nothing | {c: pa.array(x.astype(np.int32)) for c, x in numbers.items()} | {"n_pairs": pa.array(total[found])})
+
+    rows = written(docs.select("text").mapInArrow(local, TAIL + ", n_pairs long"))
+    tail = placed(rows.where("word IS NOT NULL").drop("n_pairs"), counts)
+    pair = lambda a, b: F.struct(F.col(a).alias("before"), F.col(b).alias("after"))
+    steps = tail.select(F.explode(F.array(pair("before", "class"), F.when(F.col("after") >= 0, pair("class", "after")))).alias("p")).where("p IS NOT NULL")
+    steps = steps.select("p.before", "p.after", F.lit(1).cast("long").alias("n_pairs"))
+    out = np.zeros((CLASSES, CLASSES))
+    for r in rows.where("word IS NULL").select("before", "after", "n_pairs").union(steps).groupBy("before", "after").agg(F.sum("n_pairs").alias("n")).collect():  # CLASSES^2 rows
+        out[r["before"], r["after"]] = r["n"]
+    return out
+
+
 @dataclass
 class Model:
-    top: dict[str, int]  # word -> unit, END included
     class_of: np.ndarray  # by unit
     transition: np.ndarray  # log10 P(class | class before)
     alpha: float
@@ -179,7 +306,8 @@ class Model:
     tokens: int  # N
     types: int  # V
     head: dict[str, int]  # counts of the most frequent words
-    counts: DataFrame | None = None  # (word, n)
+    head_class: np.ndarray  # in the order of head
+    counts: DataFrame | None = None  # (word, n, class)
 
 
 def best_alpha(spectrum: list[tuple[int, int]], tokens: int, types: int) -> float:
@@ -199,28 +327,29 @@ def train(docs: DataFrame, head: int = HEAD) -> Model:
     counts = written(word_counts(docs))
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, types = int(totals[0]), int(totals[1])
-    ranked = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(head).toArrow()  # head rows at most
-    words, n = ranked.column("word").to_pylist(), ranked.column("n").to_pylist()
-    top = {w: k + 1 for k, w in enumerate(words[:UNITS_WORDS])}
+    rank = lambda c, k: c.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(k).toArrow()
+    top = {w: k + 1 for k, w in enumerate(rank(counts, UNITS_WORDS).column("word").to_pylist())}
     pairs = unit_pairs(docs, top)
     of = exchange(pairs)
-    # the same rule as units_of, for the table of words
-    top_rows = F.broadcast(docs.sparkSession.createDataFrame([(END, 0), *top.items()], "word string, unit int"))
-    unit = F.coalesce("unit", F.lit(1 + UNITS_WORDS) + F.crc32(F.expr("right(word, 3)").cast("binary")) % UNITS_SHAPES)
-    types_of = np.zeros(UNITS)
-    for r in counts.join(top_rows, "word", "left").groupBy(unit.cast("int").alias("u")).agg(F.count("*").alias("n")).collect():  # UNITS rows
-        types_of[r["u"]] = r["n"]
     member = np.zeros((UNITS, CLASSES))
     member[np.arange(UNITS), of] = 1
-    class_pairs = member.T @ pairs @ member
-    class_n, class_types = class_pairs.sum(axis=0), types_of @ member
+    top_rows = F.broadcast(docs.sparkSession.createDataFrame([(w, int(of[k])) for w, k in [(END, 0), *top.items()]], "word string, class int"))
+    rest = assigned(contexts(docs, top, of), member.T @ pairs @ member, of)
+    counts = written(counts.join(top_rows, "word").select("word", "n", "class").union(rest))
+    ranked = rank(counts, max(head, UNITS_WORDS))  # a fixed number of rows at most
+    words, n = [END, *ranked.column("word").to_pylist()], [int(pairs[:, 0].sum()), *ranked.column("n").to_pylist()]
+    head_class = np.array([of[0], *ranked.column("class").to_pylist()], np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((words, n, head_class))
+    class_pairs = class_pairs_of(docs, shared, of, counts)
+    class_n, class_types = class_pairs.sum(axis=0), np.zeros(CLASSES)
+    for r in counts.groupBy("class").agg(F.count("*").alias("n")).collect():  # CLASSES rows
+        class_types[r["class"]] = r["n"]
     prior = (class_n + 1) / (class_n.sum() + CLASSES)
     transition = (class_pairs + TRANSITION_PRIOR * prior) / (class_pairs.sum(axis=1, keepdims=True) + TRANSITION_PRIOR)
     spectrum = [(r["n"], r["m"]) for r in counts.groupBy("n").agg(F.count("*").alias("m")).collect()]  # some sqrt(2 N) rows
     alpha = best_alpha(spectrum, tokens, types)
     room = class_n + alpha * (class_types + 1)
-    heads = dict(zip(words, n, strict=True)) | {END: int(pairs[:, 0].sum())}
-    return Model(top, of, np.log10(transition), alpha, np.log10(room), tokens, types, heads, counts)
+    return Model(of, np.log10(transition), alpha, np.log10(room), tokens, types, dict(zip(words, n, strict=True)), head_class, counts)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -229,47 +358,40 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     A null or empty text is one end. Rows are scored one by one, so repeated rows (and repeated or null doc_ids) give a
     result each; other columns don't matter. base_score is the additively smoothed unigram log10 probability."""
     counts = model.counts
-    head = docs.sparkSession.sparkContext.broadcast((list(model.head), np.array(list(model.head.values()), np.int64)))  # HEAD words at most
-    top, of, transition, alpha, room = model.top, model.class_of, model.transition, model.alpha, model.log_room
+    head = docs.sparkSession.sparkContext.broadcast((list(model.head), np.array(list(model.head.values()), np.int64), model.head_class))  # HEAD words and the end at most
+    of, transition, alpha, room = model.class_of, model.transition, model.alpha, model.log_room
     base_room = float(np.log10(model.tokens + model.types + 1))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words_h, n_h = head.value
-        place = {w: k for k, w in enumerate(words_h)}
-        end = place[END]
+        words_h, n_h, classes = head.value
+        coder = Coder(words_h, classes, of)
         at = TaskContext.get().partitionId() << 36
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 b = batch.slice(k, 2000)
-                words, n_words = tokens_of(b.column(1))
-                coded = words.dictionary_encode()
-                distinct, index = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
-                classes = with_ends(of[units_of(distinct, top)][index] if len(distinct) else np.zeros(0, np.int64), n_words, of[0])
-                places = np.array([place.get(w, -1) for w in distinct], np.int64)
-                places = with_ends(places[index] if len(distinct) else places, n_words, end)
-                rows = np.repeat(np.arange(b.num_rows), n_words + 1)
-                before = np.concatenate([[of[0]], classes[:-1]])
-                known = places >= 0
-                n = n_h[places]
-                part = transition[before, classes] - room[classes] + np.where(known, np.log10(n + alpha), 0)
-                sums = lambda x, rows=rows, size=b.num_rows: np.bincount(rows, x, size)
+                coder.code(b.column(1))
+                before, now, known = coder.before, coder.now, coder.places >= 0
+                n = n_h[coder.places]
+                part = np.where(known, np.log10(n + alpha) - room[now], 0) + np.where(known & (before >= 0), transition[before, now], 0)
+                sums = lambda x, size=b.num_rows: np.bincount(coder.rows, x, size)
                 keys = at + np.arange(b.num_rows)
                 at += b.num_rows
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "doc_id": b.column(0).cast(pa.int64()), "n_tokens": pa.array((n_words + 1).astype(np.int64)), "n_known": pa.array(sums(known & (n > 0)).astype(np.int64)), "base": pa.array(sums(np.where(known, np.log10(n + 1.0), 0) - base_room)), "score": pa.array(sums(part)), "word": pa.nulls(b.num_rows, pa.string()), "tf": pa.nulls(b.num_rows, pa.int64())})
-                rare = ~known
-                if rare.any():
-                    of_word = with_ends(index, n_words, -1)[rare]
-                    pairs, tf = np.unique(rows[rare] * len(distinct) + of_word, return_counts=True)
-                    size = len(pairs)
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(keys[pairs // len(distinct)]), **{c: pa.nulls(size, pa.int64()) for c in ("doc_id", "n_tokens", "n_known")}, **{c: pa.nulls(size, pa.float64()) for c in ("base", "score")}, "word": coded.dictionary.take(pa.array(pairs % len(distinct))), "tf": pa.array(tf.astype(np.int64))})
-
-    schema = "key long, doc_id long, n_tokens long, n_known long, base double, score double, word string, tf long"
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(local, schema))
-    rare = rows.where(F.col("word").isNotNull()).select("key", "word", "tf")
-    n = F.coalesce(F.col("n"), F.lit(0))
-    rare = rare.join(counts, "word", "left").select("key", F.when(n > 0, F.col("tf")).otherwise(0).alias("n_known"), (F.col("tf") * F.log10(n + 1.0)).alias("base"), (F.col("tf") * F.log10(n + F.lit(alpha))).alias("score"))
+                none = {c: pa.nulls(b.num_rows, pa.int32()) for c in ("pos", "other", "before", "after")}
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "word": pa.nulls(b.num_rows, pa.string()), **none, "doc_id": b.column(0).cast(pa.int64()), "n_tokens": pa.array((coder.n_words + 1).astype(np.int64)), "n_known": pa.array(sums(known & (n > 0)).astype(np.int64)), "base": pa.array(sums(np.where(known, np.log10(n + 1.0), 0) - base_room)), "score": pa.array(sums(part))})
+                rows = coder.tail(keys)
+                if size := len(rows["key"]):
+                    yield pa.RecordBatch.from_pydict(rows | {c: pa.nulls(size, pa.int64()) for c in ("doc_id", "n_tokens", "n_known")} | {c: pa.nulls(size, pa.float64()) for c in ("base", "score")})
+
+    def steps(before: pa.Array, now: pa.Array, after: pa.Array) -> pa.Array:
+        a, b, c = (np.asarray(x).astype(np.int64) for x in (before, now, after))
+        return pa.array(transition[a, b] - room[b] + np.where(c >= 0, transition[b, c], 0))
+
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(local, TAIL + ", doc_id long, n_tokens long, n_known long, base double, score double"))
+    rare = placed(rows.where(F.col("word").isNotNull()), counts).withColumn("step", F.arrow_udf(steps, "double")("before", "class", "after"))
+    n = F.col("n")
+    rare = rare.select("key", (n > 0).cast("long").alias("n_known"), F.log10(n + 1.0).alias("base"), (F.col("step") + F.log10(n + F.lit(alpha))).alias("score"))
     rare = rare.groupBy("key").agg(*[F.sum(c).alias(f"rare_{c}") for c in ("n_known", "base", "score")])
     out = rows.where(F.col("word").isNull()).join(rare, "key", "left")
     add = lambda c: (F.col(c) + F.coalesce(F.col(f"rare_{c}"), F.lit(0))).alias({"base": "base_score"}.get(c, c))

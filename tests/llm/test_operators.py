@@ -198,6 +198,29 @@ def test_exchange_beats_its_start():
     assert likelihood(many) > likelihood(one) and (many[1:] != 0).all()
 
 
+def test_words_get_the_class_of_their_contexts(spark, monkeypatch):
+    r = random.Random(4)
+    frequent = [f"the{k}" for k in range(3)], [f"go{k}" for k in range(3)]
+    # further words of both kinds with the same last letters; seen five times each
+    rare = [f"n{k}xyz" for k in range(40)], [f"v{k}xyz" for k in range(40)]
+    monkeypatch.setattr(class_lm, "UNITS_WORDS", 8)
+    monkeypatch.setattr(class_lm, "UNITS", 272)  # a multiple of BLOCKS
+    texts = [f"a {w} b c {v} d" for _ in range(300) for w, v in [(r.choice(frequent[0]), r.choice(frequent[1]))]]
+    texts += [f"a {w} b c {v} d" for _ in range(5) for w, v in zip(*rare, strict=True)] + ["a oncexyz b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = class_lm.train(docs, head=8)
+    got = {x["word"]: (x["n"], x["class"]) for x in model.counts.collect()}
+    assert {w: n for w, (n, _) in got.items()} == Counter(w for t in texts for w in [*t.split(), ""])
+    kinds = [{got[w][1] for w in ws} for ws in rare]
+    assert all(len(k) == 1 for k in kinds) and kinds[0] != kinds[1]
+    # transitions are counted with these classes
+    of = {w: c for w, (_, c) in got.items()}
+    pairs = Counter((of[a], of[b]) for t in texts for a, b in zip(["", *t.split()], [*t.split(), ""], strict=True))
+    head = spark.sparkContext.broadcast((list(model.head), list(model.head.values()), model.head_class))
+    counted = class_lm.class_pairs_of(docs, head, model.class_of, model.counts)
+    assert {(int(a), int(b)): int(counted[a, b]) for a, b in zip(*np.nonzero(counted), strict=True)} == pairs
+
+
 def test_language_model_odd_rows(spark, odd, empty):
     assert class_lm.score(odd, class_lm.train(odd)).count() == 7
     nothing = class_lm.train(empty)
