@@ -7,8 +7,8 @@ minus infinity, and the path of greatest weight is the library's encoding, for a
 Short texts: words are looked up or run through the lattice one by one, as no piece holds a space behind a letter.
 Giant texts: cut into chunks of CHUNK characters at fixed places. A boundary state is a piece that ends at most
 MAX_PIECE - 1 characters before the boundary, such that the next piece crosses it. Each chunk yields the max-plus matrix
-from the states at its start to those at its end; the matrices are combined associatively, which gives the state at
-every boundary; then each chunk is traced back on its own.
+from the states at its start to those at its end; one task for each text takes its matrices in turn, from the last on,
+which gives the state at every boundary; then each chunk is traced back on its own.
 """
 
 from __future__ import annotations
