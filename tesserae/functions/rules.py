@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,20 +16,33 @@ def first_rule(rules: list[tuple[Column, object]], default: object = None) -> Co
     return out.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
-def regex_case(rules: list[tuple[str, str]], *subjects: Column, default: str = "other") -> Column:
+def regex_case(rules: list[tuple[str, str]], *subjects: Column, default: str | None = "other") -> Column:
     """Rules (pattern, label) in order over the first subject, then over the next, then the default."""
     return F.coalesce(*[first_rule([(s.rlike(rx), label) for rx, label in rules]) for s in subjects], F.lit(default))
 
 
-def any_of(c: Column, words: list[str]) -> Column:
+def any_of(c: Column, words) -> Column:
     """Whether the text holds one of the words."""
-    out = F.lit(False)
-    for w in words:
-        out = out | c.contains(w)
-    return out
+    return reduce(lambda a, w: a | c.contains(w), words, F.lit(False))
+
+
+def all_of(c: Column, patterns) -> Column:
+    """Whether every pattern occurs in the text."""
+    return reduce(lambda a, rx: a & c.rlike(rx), patterns, F.lit(True))
+
+
+def ends_with_any(c: Column, suffixes) -> Column:
+    return reduce(lambda a, s: a | c.endswith(s), suffixes, F.lit(False))
+
+
+def quoted(s: str | None) -> str:
+    return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
 
 
 def sql_case(rules: list[tuple[str, str]], subject: str) -> str:
     """The same list as SQL, for checks in other engines."""
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-    return "CASE " + " ".join(f"WHEN regexp_matches({subject}, {quote(rx)}) THEN {quote(label)}" for rx, label in rules) + " END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({subject}, {quoted(rx)}) THEN {quoted(label)}" for rx, label in rules) + " END"
+
+
+def sql_any(subject: str, words, how: str = "contains") -> str:
+    return "(" + " OR ".join(f"{how}({subject}, {quoted(w)})" for w in words) + ")"

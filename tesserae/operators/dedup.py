@@ -18,6 +18,12 @@ def keep_first_by_hash(df: DataFrame, hash_col: Column, order_col: str) -> DataF
     return df.join(first, order_col)
 
 
+def first_by_hash(rows: DataFrame, hash_col: str, order_col: str) -> DataFrame:
+    """The same for narrow rows: they travel through the aggregate themselves, so nothing is joined back."""
+    rest = [c for c in rows.columns if c != hash_col]
+    return rows.groupBy(hash_col).agg(F.min_by(F.struct(*rest), order_col).alias("_r")).select(hash_col, "_r.*")
+
+
 def mark_duplicates(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
     """Adds is_duplicate: true for all but the last row of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)

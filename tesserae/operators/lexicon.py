@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 Lexicon = dict[str, list[str]]
 
 
@@ -18,9 +20,8 @@ def topic_hits(text: Column, aliases: list[str]) -> Column:
 
 def hits_wide(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
     """docs with ``hits``, an array of (topic, topic_ord, hits) in lexicon order."""
-    low = F.lower(F.col(text_col))
-    entries = [F.struct(F.lit(t).alias("topic"), F.lit(k).alias("topic_ord"), topic_hits(low, rx).alias("hits")) for k, (t, rx) in enumerate(lexicon.items())]
-    return docs.withColumn("hits", F.array(*entries))
+    entries = lambda low: F.array(*[F.struct(F.lit(t).alias("topic"), F.lit(k).alias("topic_ord"), topic_hits(low, rx).alias("hits")) for k, (t, rx) in enumerate(lexicon.items())])
+    return docs.withColumn("hits", let(F.lower(F.col(text_col)), entries))
 
 
 def topic_counts(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:

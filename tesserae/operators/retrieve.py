@@ -55,20 +55,32 @@ def merge_lists(lists: list[list[tuple[str, str]]], k: int, cap: int, fill: bool
     return out
 
 
-def hybrid_merge(ranked: DataFrame, sides: list[str], k: int, cap: int, fill: bool = True) -> DataFrame:
-    """(query_id, rank, id, source) from ranked lists (query_id, side, rnk, id, source); a query's lists hold some 8k rows."""
+def hybrid_merge(ranked: DataFrame, sides: list[str] | None, k: int, cap: int, fill: bool = True) -> DataFrame:
+    """(query_id, rank, id, source) from ranked lists (query_id, side, rnk, id, source); a query's lists hold some 8k rows.
+
+    sides: the lists' order; None: by name."""
 
     def merge(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values(["rnk", "id"])
-        lists = [[(r.id, r.source) for r in pdf[pdf["side"] == s].itertuples()] for s in sides]
+        lists = [[(r.id, r.source) for r in pdf[pdf["side"] == s].itertuples()] for s in sides or sorted(set(pdf["side"]))]
         out = merge_lists(lists, k, cap, fill)
         return pd.DataFrame({"query_id": [pdf["query_id"].iloc[0]] * len(out), "rank": range(1, len(out) + 1), "id": [x for x, _ in out], "source": [s for _, s in out]})
 
     return ranked.groupBy("query_id").applyInPandas(merge, "query_id string, rank int, id string, source string")
 
 
+def clause_queries(questions: DataFrame, k: int) -> DataFrame:
+    """(query_id, clause, text, size): each question whole (clause 0, k rows) and, if it has several, each of its clauses
+    (from 1 on, an equal share of k but two at least)."""
+    parts = questions.select("query_id", "question", clauses(F.col("question")).alias("c"))
+    whole = parts.select("query_id", F.lit(0).alias("clause"), F.col("question").alias("text"), F.lit(k).alias("size"))
+    share = F.greatest(F.lit(2), F.floor(F.lit(k) / F.size("c")).cast("int"))
+    each = parts.where(F.size("c") > 1).select("query_id", share.alias("size"), F.posexplode("c").alias("p", "text"))
+    return whole.unionByName(each.select("query_id", (F.col("p") + 1).alias("clause"), "text", "size"))
+
+
 def clauses(question: Column) -> Column:
     """Parts between ? ; , and the word "and" that have at least three words."""
     parts = F.transform(F.split(question, r"(?i)[?;,]|\band\b"), lambda c: F.trim(c))

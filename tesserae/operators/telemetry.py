@@ -25,3 +25,11 @@ def scheduled(arrivals: list[float], spacing: float) -> list[float]:
     for a in arrivals:
         out.append(a if not out else max(a, out[-1] + spacing))
     return out
+
+
+def likeness(query: str | None, *fields: str | None) -> float:
+    """The best ratio of matching characters between the query and a field; 1 if a field holds the query."""
+    from difflib import SequenceMatcher
+
+    wanted, low = (query or "").lower().strip(), [(f or "").lower() for f in fields]
+    return 1.0 if any(wanted in f for f in low) else max(SequenceMatcher(None, wanted, f).ratio() for f in low)

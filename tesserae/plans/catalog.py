@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_graph_web, q_joins, q_lexicon, q_more, q_records, q_retrieval, q_sources, q_state, q_telemetry, q_text  # noqa: F401
+from . import q_graph_web, q_joins, q_lexicon, q_more, q_records, q_reports, q_retrieval, q_rules, q_sources, q_state, q_telemetry, q_text  # noqa: F401
 from .registry import REGISTRY
 
 

@@ -6,26 +6,26 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import rules, rulesets
 from ..operators import graph
 from .registry import Inline, query, table
 
 DAG = Inline("course int, key string, ch int, label string, prereqs array<string>", [
-    (1, "a", 1, "Start", []), (1, "b", 2, "Left", ["a"]), (1, "c", 2, "Right", ["a", "ghost"]), (1, "d", 3, "Join", ["b", "c"]), (1, "e", 1, "Free", []), (2, "x", 1, "Loop one", ["y"]), (2, "y", 1, "Loop two", ["x"]), (2, "z", 5, "Alone", []),
+    (1, "a", 1, "Start", []), (1, "b", 2, "Left", ["a"]), (1, "c", 2, "Right", ["a", "ghost"]), (1, "d", 3, "Join", ["b", "c"]), (1, "e", 1, "Free", []), (2, "x", 1, "Loop one", ["y"]), (2, "y", 1, "Loop two", ["x"]), (2, "z", 5, "Alone", []), (2, "a", 9, "Same key", ["z", "b"]), (3, "d", 1, "Other course", ["c"]),
 ])
 SQL_EDGES = f"(SELECT e.course, e.src, e.dst FROM (SELECT course, unnest(prereqs) AS src, key AS dst FROM {DAG.sql()}) e JOIN {DAG.sql()} n ON n.key = e.src AND n.course = e.course)"
 
 
-@query("dag_neighbours", "G02 G05 Z16 D11", f"""
-SELECT n.key, coalesce((SELECT list_sort(list(src)) FROM {SQL_EDGES} WHERE dst = n.key), []) AS before, coalesce((SELECT list_sort(list(dst)) FROM {SQL_EDGES} WHERE src = n.key), []) AS after FROM {DAG.sql()} n
+@query("dag_neighbours", "G02 Z16 D11", f"""
+SELECT n.course, n.key, coalesce((SELECT list_sort(list(src)) FROM {SQL_EDGES} e WHERE e.course = n.course AND dst = n.key), []) AS before, coalesce((SELECT list_sort(list(dst)) FROM {SQL_EDGES} e WHERE e.course = n.course AND src = n.key), []) AS after FROM {DAG.sql()} n
 """)
 def dag_neighbours(spark, d):
     nodes = DAG.df(spark)
     e = graph.edges_of(nodes)
-    before = e.groupBy(F.col("dst").alias("key")).agg(F.array_sort(F.collect_list("src")).alias("before"))
-    after = e.groupBy(F.col("src").alias("key")).agg(F.array_sort(F.collect_list("dst")).alias("after"))
-    none = F.array().cast("array<string>")
-    return nodes.select("key").join(before, "key", "left").join(after, "key", "left").select("key", F.coalesce("before", none).alias("before"), F.coalesce("after", none).alias("after"))
+    before = e.groupBy("course", F.col("dst").alias("key")).agg(F.array_sort(F.collect_list("src")).alias("before"))
+    after = e.groupBy("course", F.col("src").alias("key")).agg(F.array_sort(F.collect_list("dst")).alias("after"))
+    none, by = F.array().cast("array<string>"), ["course", "key"]
+    return nodes.select(*by).join(before, by, "left").join(after, by, "left").select(*by, F.coalesce("before", none).alias("before"), F.coalesce("after", none).alias("after"))
 
 
 @query("dag_layers", "G03 W11", f"""
@@ -35,12 +35,10 @@ SELECT key, max(depth)::INT AS layer FROM p GROUP BY key
 def dag_layers(spark, d):
     """Longest path from a source, by a recursive query over the small graph."""
     nodes = DAG.df(spark).where("course = 1")
-    nodes.createOrReplaceTempView("_dag_nodes")
-    graph.edges_of(nodes).createOrReplaceTempView("_dag_edges")
     return spark.sql("""
-        WITH RECURSIVE p(key, depth) AS (SELECT key, 0 FROM _dag_nodes UNION ALL SELECT e.dst, depth + 1 FROM p JOIN _dag_edges e ON e.src = p.key)
+        WITH RECURSIVE p(key, depth) AS (SELECT key, 0 FROM {nodes} UNION ALL SELECT e.dst, depth + 1 FROM p JOIN {edges} e ON e.src = p.key)
         SELECT key, max(depth) AS layer FROM p GROUP BY key
-    """)
+    """, nodes=nodes, edges=graph.edges_of(nodes))
 
 
 @query("layer_positions", "G04 W12", f"""
@@ -60,30 +58,48 @@ def dag_topo(spark, d):
 
 
 @query("mermaid", "K10", f"""
-SELECT string_agg(line, chr(10) ORDER BY kind, line) AS text FROM (SELECT 0 AS kind, 'graph TD' AS line UNION ALL SELECT 1, key || '["' || label || '"]' FROM {DAG.sql()} UNION ALL SELECT 2, src || ' --> ' || dst FROM {SQL_EDGES})
+SELECT course, string_agg(line, chr(10) ORDER BY kind, line) AS text FROM (SELECT DISTINCT course, 0 AS kind, 'graph TD' AS line FROM {DAG.sql()} UNION ALL SELECT course, 1, key || '["' || label || '"]' FROM {DAG.sql()} UNION ALL SELECT course, 2, src || ' --> ' || dst FROM {SQL_EDGES}) GROUP BY course
 """)
 def mermaid(spark, d):
+    """A graph for each course."""
     nodes = DAG.df(spark)
-    lines = spark.createDataFrame([(0, "graph TD")], "kind int, line string")
-    lines = lines.union(nodes.select(F.lit(1), F.concat("key", F.lit('["'), "label", F.lit('"]')))).union(graph.edges_of(nodes).select(F.lit(2), F.concat_ws(" --> ", "src", "dst")))
-    return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    lines = nodes.select("course", F.lit(0).alias("kind"), F.lit("graph TD").alias("line")).distinct()
+    lines = lines.union(nodes.select("course", F.lit(1), F.concat("key", F.lit('["'), "label", F.lit('"]')))).union(graph.edges_of(nodes).select("course", F.lit(2), F.concat_ws(" --> ", "src", "dst")))
+    return lines.groupBy("course").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
-LINKS = Inline("src string, dst string", [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("x", "y")])
+LINKS = Inline("src string, ord int, dst string", [
+    ("http://a.edu/", 1, "http://a.edu/b.html"), ("http://a.edu/", 2, "http://a.edu/c"), ("http://a.edu/", 3, "http://other.com/x"), ("http://a.edu/", 4, "http://a.edu/pic.png"), ("http://a.edu/", 5, "http://a.edu/b.html"),
+    ("http://a.edu/c", 1, "http://a.edu/d.pdf"), ("http://a.edu/c", 2, "http://a.edu/"), ("http://a.edu/b.html", 1, "http://a.edu/e"), ("http://a.edu/b.html", 2, "http://a.edu/d.pdf"), ("http://a.edu/e", 1, "http://a.edu/f.HTML"), ("http://a.edu/f.HTML", 1, "http://a.edu/g"), ("http://other.com/x", 1, "http://a.edu/hidden"), ("http://a.edu/pic.png", 1, "http://a.edu/hidden2"), ("http://a.edu/e", 2, "http://b.edu/page.md"), ("http://b.edu/page.md", 1, "http://a.edu/h.tex"),
+])
+HOSTS = ("a.edu", "b.edu")
+SQL_SUFFIX = "regexp_extract(lower(regexp_extract(dst, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '[^/](\\.[^./]*)$', 1)"
+SQL_FOLLOW = f"regexp_extract(dst, '^[a-z]+://([^/?#]*)', 1) IN ('a.edu', 'b.edu') AND {SQL_SUFFIX} IN ('', {', '.join(map(rules.quoted, rulesets.CRAWLED_SUFFIXES))})"
+
+
+def followed(dst: str = "dst"):
+    """Whether a crawl follows a link: by its host, and by its extension if it has one."""
+    host = F.regexp_extract(dst, "^[a-z]+://([^/?#]*)", 1)
+    suffix = F.regexp_extract(F.lower(F.regexp_extract(dst, "^[a-z]+://[^/?#]*([^?#]*)", 1)), r"[^/](\.[^./]*)$", 1)
+    return host.isin(*HOSTS) & suffix.isin("", *rulesets.CRAWLED_SUFFIXES)
 
 
 @query("link_bfs", "G06 S16 D21", f"""
-WITH RECURSIVE p(node, depth) AS (SELECT 'a', 0 UNION ALL SELECT l.dst, depth + 1 FROM p JOIN {LINKS.sql()} l ON l.src = p.node WHERE depth < 3) SELECT node, min(depth)::INT AS depth FROM p GROUP BY node
+WITH RECURSIVE p(node, depth) AS (SELECT 'http://a.edu/', 0 UNION ALL SELECT l.dst, depth + 1 FROM p JOIN (SELECT * FROM {LINKS.sql()} WHERE {SQL_FOLLOW}) l ON l.src = p.node WHERE depth < 4) SELECT node, min(depth)::INT AS depth FROM p GROUP BY node
 """)
 def link_bfs(spark, d):
-    return graph.bounded_bfs(LINKS.df(spark), spark.createDataFrame([("a",)], "node string"), 3)
+    """Reachability under filters of host and extension."""
+    return graph.bounded_bfs(LINKS.df(spark), spark.createDataFrame([("http://a.edu/",)], "node string"), 4, followed())
+
+
+@query("crawl_budget", "G06 S16 Q10")
+def crawl_budget(spark, d):
+    """The first five pages that a queue visits."""
+    return graph.crawl_order(LINKS.df(spark), "http://a.edu/", followed(), 5)
 
 
 HREF = r'href="([^"#]+)'
 SQL_LINKS = rf"(SELECT page_id, link, regexp_extract(link, '^https?://([^/?#]+)', 1) AS host, coalesce(nullif(regexp_extract(link, '^https?://[^/?#]+([^?#]*)', 1), ''), link) AS path FROM (SELECT page_id, unnest(regexp_extract_all(html, '{HREF}', 1)) AS link FROM pages))"
-ACTIONS = [(r"(?i)^(mailto:|javascript:|#)", "skip"), (r"(?i)\.(pdf|docx?|pptx?)$", "download"), (r"(?i)^https?://[^/]*example\.(com|org)", "crawl"), (r"(?i)\?", "query"), (r"^/", "relative")]
-KINDS = [(r"(?i)\.pdf$", "pdf"), (r"(?i)youtu|video", "video"), (r"(?i)github|gitlab", "code"), (r"(?i)docs|wiki", "docs"), (r"(?i)^https?://", "web")]
-
 
 def links(spark, d):
     found = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("link"))
@@ -91,16 +107,6 @@ def links(spark, d):
     return found.select("page_id", "link", F.regexp_extract("link", r"^https?://([^/?#]+)", 1).alias("host"), path.alias("path"))
 
 
-@query("url_action", "P06 A19", f"SELECT link, coalesce({rules.sql_case(ACTIONS, 'link')}, 'ignore') AS action, count(*)::BIGINT AS n FROM {SQL_LINKS} GROUP BY ALL")
-def url_action(spark, d):
-    return links(spark, d).groupBy("link", rules.regex_case(ACTIONS, F.col("link"), default="ignore").alias("action")).agg(F.count("*").alias("n"))
-
-
-@query("url_kind", "P07", f"SELECT DISTINCT link, host, coalesce({rules.sql_case(KINDS, 'link')}, 'other') AS kind FROM {SQL_LINKS}")
-def url_kind(spark, d):
-    return links(spark, d).select("link", "host", rules.regex_case(KINDS, F.col("link")).alias("kind")).distinct()
-
-
 @query("homepage_score", "C08", rf"""
 SELECT link, score::BIGINT AS score, score >= 30 AS accepted FROM (SELECT link, 10 * count(*) + CASE WHEN regexp_matches(link, '(?i)\.edu|/~|teach') THEN 50 ELSE 0 END + CASE WHEN regexp_matches(link, '(?i)course|class|page') THEN 30 ELSE 0 END
  - 5 * len(list_filter(string_split(any_value(path), '/'), lambda x: x <> '')) - CASE WHEN contains(link, '?') THEN 20 ELSE 0 END AS score FROM {SQL_LINKS} GROUP BY link)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rules
 from ..operators import lexicon as lx
+from ..shared import spread, written
 from .registry import Inline, query, table
 
 LEXICON = {"endings": ["tion", "ment[ .,]"], "water": ["eau", "oui"], "unity": ["heit", "keit"], "motion": ["mente", "ando"], "being": [" ist ", " est ", " is "], "nothing": ["zzzqqq"], "linking": [" and ", " und ", " et ", " y "]}
@@ -16,18 +16,18 @@ SQL_HITS = f"(SELECT doc_id, source, lang, topic, topic_ord, sum(len(regexp_extr
 
 def sides(spark, d):
     side = F.when(F.col("source").isin("src0", "src1", "src2"), "exam").otherwise("prep")
-    return table(spark, d, "documents").withColumn("side", side)
+    return spread(table(spark, d, "documents").select("doc_id", "lang", "source", "text")).withColumn("side", side)
 
 
 @query("topic_counts", "A01 J15 D9", f"SELECT topic, topic_ord, sum(hits)::BIGINT AS hits FROM {SQL_HITS} GROUP BY ALL")
 def topic_counts(spark, d):
-    return lx.topic_counts(table(spark, d, "documents"), LEXICON)
+    return lx.topic_counts(sides(spark, d), LEXICON)
 
 
 @query("topic_counts_table", "J15 A02", f"SELECT topic, sum(hits)::BIGINT AS hits FROM {SQL_HITS} GROUP BY ALL HAVING sum(hits) > 0")
 def topic_counts_table(spark, d):
     """The lexicon as a table of a dozen rows: a join with every text, zeros dropped."""
-    pairs = table(spark, d, "documents").crossJoin(F.broadcast(ROWS.df(spark)))
+    pairs = sides(spark, d).crossJoin(F.broadcast(ROWS.df(spark)))
     return pairs.groupBy("topic").agg(F.sum(F.regexp_count(F.lower("text"), F.col("rx"))).cast("long").alias("hits")).where("hits > 0")
 
 
@@ -54,15 +54,7 @@ def gap_top(spark, d):
 
 @query("topic_argmax", "C01", f"SELECT d.doc_id, topic FROM documents d LEFT JOIN (SELECT doc_id, arg_max(topic, hits * 1000 - topic_ord) AS topic FROM {SQL_HITS} WHERE hits > 0 GROUP BY doc_id) USING (doc_id)")
 def topic_argmax(spark, d):
-    return lx.hits_wide(table(spark, d, "documents"), LEXICON).select("doc_id", lx.argmax_topic(F.col("hits")).alias("topic"))
-
-
-STRONG = [("(?i)license", "legal"), ("(?i)token =", "secret"), ("(?i)heit[ .,]", "unity"), ("(?i)eaux?[ .,]", "water"), ("(?i)tion[ .,]", "endings")]
-
-
-@query("strong_first_match", "C02", f"SELECT doc_id, {rules.sql_case(STRONG, 'text')} AS strong FROM documents")
-def strong_first_match(spark, d):
-    return table(spark, d, "documents").select("doc_id", rules.first_rule([(F.col("text").rlike(rx), t) for rx, t in STRONG]).alias("strong"))
+    return lx.hits_wide(sides(spark, d), LEXICON).select("doc_id", lx.argmax_topic(F.col("hits")).alias("topic"))
 
 
 BODIES = Inline("id int, strong string, h1 int, h2 int, h3 int, multi array<string>, single array<string>", [
@@ -93,12 +85,12 @@ def constrained_class(spark, d):
 
 @query("relative_weight", "A05", f"SELECT topic, round(hits / coalesce(nullif(max(hits) OVER (), 0), 1), 6) AS weight FROM (SELECT topic, sum(hits) AS hits FROM {SQL_HITS} WHERE source = 'src3' GROUP BY topic)")
 def relative_weight(spark, d):
-    counts = lx.topic_counts(table(spark, d, "documents").where("source = 'src3'"), LEXICON)
+    counts = lx.topic_counts(sides(spark, d).where("source = 'src3'"), LEXICON)
     most = counts.agg(F.max("hits").alias("most"))
     return counts.crossJoin(F.broadcast(most)).select("topic", F.round(F.col("hits") / F.when(F.col("most") == 0, 1).otherwise(F.col("most")), 6).alias("weight"))
 
 
-@query("likelihood_rank", "C06 J07 T18 D15", f"""
+SQL_LIKELIHOOD = f"""
 WITH g AS {SQL_GAP},
 w AS (SELECT topic, hits / coalesce(nullif(max(hits) OVER (), 0), 1) AS fw FROM (SELECT topic, sum(hits) AS hits FROM {SQL_HITS} WHERE source = 'src3' GROUP BY topic)),
 p AS (SELECT doc_id, source, topic FROM documents JOIN (SELECT doc_id, arg_max(topic, hits * 1000 - topic_ord) AS topic FROM {SQL_HITS} WHERE hits > 0 GROUP BY doc_id) USING (doc_id)),
@@ -106,32 +98,40 @@ f AS (SELECT topic, count(*) FILTER (source IN ('src0', 'src1')) AS practice, co
 s AS (SELECT *, practice / coalesce(nullif(sum(practice) OVER (), 0), 1) AS ps, exam / coalesce(nullif(sum(exam) OVER (), 0), 1) AS es FROM f)
 SELECT doc_id, topic, round(300 * ps + 200 * es + 400 * coalesce(fw, 0) + CASE WHEN source IN ('src0', 'src1') THEN 4 WHEN source = 'src2' THEN 2 ELSE 0 END + 0.05 * greatest(coalesce(share_gap_pp, 0), 0), 3) AS score
 FROM p LEFT JOIN s USING (topic) LEFT JOIN w USING (topic) LEFT JOIN g USING (topic)
-""")
+"""
+
+
+@query("likelihood_rank", "C06 J07 T18 D15", SQL_LIKELIHOOD)
 def likelihood_rank(spark, d):
-    docs = table(spark, d, "documents")
-    p = lx.hits_wide(docs, LEXICON).select("doc_id", "source", lx.argmax_topic(F.col("hits")).alias("topic")).where("topic IS NOT NULL")
-    f = p.groupBy("topic").agg(F.count_if(F.col("source").isin("src0", "src1")).alias("practice"), F.count_if(F.col("source") == "src2").alias("exam"))
+    """One pass over the texts writes the hits of each document; every share and weight comes from these narrow rows."""
+    rows = written(lx.hits_wide(sides(spark, d), LEXICON).select("doc_id", "source", "side", "hits", lx.argmax_topic(F.col("hits")).alias("topic")))
+    counts = rows.select("source", "side", F.inline("hits").alias("hit_topic", "topic_ord", "hits")).groupBy("source", "side", F.col("hit_topic").alias("topic"), "topic_ord").agg(F.sum("hits").alias("hits"))
+    counts = written(counts)  # a row for each source and topic
+    f = rows.where("topic IS NOT NULL").groupBy("topic").agg(F.count_if(F.col("source").isin("src0", "src1")).alias("practice"), F.count_if(F.col("source") == "src2").alias("exam"))
     total = f.agg(F.sum("practice").alias("tp"), F.sum("exam").alias("te"))
     s = f.crossJoin(F.broadcast(total)).select("topic", lx.share(F.col("practice"), F.col("tp")).alias("ps"), lx.share(F.col("exam"), F.col("te")).alias("es"))
-    counts = lx.topic_counts(docs.where("source = 'src3'"), LEXICON)
-    w = counts.crossJoin(F.broadcast(counts.agg(F.max("hits").alias("most")))).select("topic", (F.col("hits") / F.when(F.col("most") == 0, 1).otherwise(F.col("most"))).alias("fw"))
-    lookups = s.join(w, "topic", "left").join(gap(spark, d).select("topic", "share_gap_pp"), "topic", "left")  # a row per topic
-    rows = p.join(F.broadcast(lookups), "topic", "left")
+    sheet = counts.groupBy("topic").agg(F.sum(F.when(F.col("source") == "src3", F.col("hits")).otherwise(0)).alias("hits"))
+    w = sheet.crossJoin(F.broadcast(sheet.agg(F.max("hits").alias("most")))).select("topic", (F.col("hits") / F.when(F.col("most") == 0, 1).otherwise(F.col("most"))).alias("fw"))
+    gaps = lx.topic_gap(counts, "side", "exam", "prep").select("topic", "share_gap_pp")
+    lookups = s.join(w, "topic", "left").join(gaps, "topic", "left")  # a row per topic
+    ranked = rows.where("topic IS NOT NULL").select("doc_id", "source", "topic").join(F.broadcast(lookups), "topic", "left")
     kind = F.when(F.col("source").isin("src0", "src1"), 4).when(F.col("source") == "src2", 2).otherwise(0)
     score = 300 * F.col("ps") + 200 * F.col("es") + 400 * F.coalesce("fw", F.lit(0)) + kind + 0.05 * F.greatest(F.coalesce("share_gap_pp", F.lit(0.0)), F.lit(0.0))
-    return rows.select("doc_id", "topic", F.round(score, 3).alias("score"))
+    return ranked.select("doc_id", "topic", F.round(score, 3).alias("score"))
 
 
-@query("topics_by_likelihood", "A08 F02", """
-SELECT o_orderpriority AS topic, count(*)::BIGINT AS n, max(o_totalprice) AS best, arg_min(o_orderstatus, o_orderkey) AS first_status FROM orders GROUP BY 1
+@query("topics_by_likelihood", "A08 F02", f"""
+WITH s AS ({SQL_LIKELIHOOD}) SELECT topic, count(*)::BIGINT AS n, max(score) AS best, arg_min(doc_id, (-score, doc_id)) AS first_doc FROM s GROUP BY topic
 """)
 def topics_by_likelihood(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("topic")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("best"), F.min_by("o_orderstatus", "o_orderkey").alias("first_status"))
+    """Each topic's number of ranked documents, its best score and the document that has it."""
+    ranked = likelihood_rank(spark, d)
+    return ranked.groupBy("topic").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.min_by("doc_id", F.struct(-F.col("score"), "doc_id")).alias("first_doc"))
 
 
 @query("prep_index", "A12", f"SELECT topic, list_sort(list_distinct(list(source))) AS sources FROM {SQL_HITS} WHERE hits > 0 GROUP BY topic")
 def prep_index(spark, d):
-    hits = lx.hits_wide(table(spark, d, "documents"), LEXICON).select("source", F.inline("hits")).where("hits > 0")
+    hits = lx.hits_wide(sides(spark, d), LEXICON).select("source", F.inline("hits")).where("hits > 0")
     return hits.groupBy("topic").agg(F.array_sort(F.collect_set("source")).alias("sources"))
 
 
@@ -141,7 +141,7 @@ c AS (SELECT topic, sum(len(regexp_extract_all(lower(text), topic)))::BIGINT AS
 SELECT a.topic, (4 * coalesce(docs, 0) + 0.5 * a.hits + 2 * coalesce(words, 0))::DOUBLE AS score FROM a LEFT JOIN b USING (topic) LEFT JOIN c USING (topic)
 """)
 def topic_score_sum(spark, d):
-    docs = table(spark, d, "documents")
+    docs = sides(spark, d)
     a = lx.topic_counts(docs, LEXICON).select("topic", F.col("hits").alias("all_hits"))
     b = lx.hits_wide(docs, LEXICON).select(F.inline("hits")).where("hits > 0").groupBy("topic").agg(F.count("*").alias("docs"))
     c = lx.topic_counts(docs, {t: [t] for t in LEXICON if len(t) > 4}).select("topic", F.col("hits").alias("words"))

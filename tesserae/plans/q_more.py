@@ -58,19 +58,32 @@ class Cells(HTMLParser):
 
 
 def flattened_table(html: str | None, least: int = 7) -> list[str]:
-    """A table of at least so many columns as lines "head=value; ..."; a narrower one gives none."""
+    """A table of at least so many columns as lines "label. head=value, ...", empty cells and dashes left out; a narrower
+    one gives none."""
     parser = Cells()
     parser.feed(html or "")
     if not parser.rows or len(parser.rows[0]) < least:
         return []
-    head = parser.rows[0]
-    return ["; ".join(f"{h.strip()}={v.strip()}" for h, v in zip(head, r, strict=False) if v.strip()) for r in parser.rows[1:]]
+    head = [h.strip() for h in parser.rows[0]]
+    cells = ([v.strip() for v in r] for r in parser.rows[1:] if r)
+    return [f"{r[0]}. " + ", ".join(f"{h}={v}" for h, v in zip(head[1:], r[1:], strict=False) if v not in ("", "-")) for r in cells]
 
 
-WIDE = Inline("doc string, html string", [("a", "<table><tr>" + "".join(f"<th>c{k}</th>" for k in range(7)) + "</tr><tr>" + "".join(f"<td>{k or ''}</td>" for k in range(7)) + "</tr></table>"), ("b", "<table><tr><th>x</th></tr></table>"), ("c", "")])
+def html_row(tag: str, cells: list) -> str:
+    return "<tr>" + "".join(f"<{tag}>{c}</{tag}>" for c in cells) + "</tr>"
 
 
-@query("wide_table_lines", "X16", "SELECT 'a' AS doc, 'c1=1; c2=2; c3=3; c4=4; c5=5; c6=6' AS line")
+WIDE = Inline("doc string, html string", [
+    ("a", "<table>" + html_row("th", [f"c{k}" for k in range(7)]) + html_row("td", ["one", 1, "", 3, "-", 5, 6]) + html_row("td", ["two", "", "", "", "", "", "x"]) + "</table>"), ("b", "<table>" + html_row("th", range(6)) + html_row("td", range(6)) + "</table>"), ("c", ""), ("d", "<table>" + html_row("th", range(9)) + "</table>"),
+])
+
+
+@query("wide_table_lines", "X16", f"""
+WITH t AS (SELECT doc, regexp_extract_all(html, '<tr>(.*?)</tr>', 1) AS trs FROM {WIDE.sql()}),
+r AS (SELECT doc, regexp_extract_all(trs[1], '<th>(.*?)</th>', 1) AS head, unnest(trs[2:]) AS tr FROM t WHERE len(trs) > 0),
+c AS (SELECT doc, head, regexp_extract_all(tr, '<td>(.*?)</td>', 1) AS cells FROM r WHERE len(head) >= 7)
+SELECT doc, cells[1] || '. ' || array_to_string(list_transform(list_filter(range(2, len(cells) + 1), lambda k: cells[k] <> '' AND cells[k] <> '-'), lambda k: head[k] || '=' || cells[k]), ', ') AS line FROM c
+""")
 def wide_table_lines(spark, d):
     flat = F.arrow_udf(lambda c: pa.array([flattened_table(x) for x in c.to_pylist()], pa.list_(pa.string())), "array<string>")
     return WIDE.df(spark).select("doc", F.explode(flat("html")).alias("line"))
@@ -87,13 +100,13 @@ def placeholders(spark, d):
     return table(spark, d, "nation").select("n_nationkey", line.alias("line"))
 
 
-@query("id_manifest", "Z07 Z03 M10", """
-SELECT o_custkey AS id, count(*)::BIGINT AS refs, any_value(c_name) IS NOT NULL AS cached, CASE WHEN any_value(c_acctbal) < 0 THEN 'negative balance' END AS error FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 = 0 GROUP BY 1
+@query("id_manifest", "Z07 Z03", """
+SELECT o_custkey AS id, count(*)::BIGINT AS refs, any_value(c_name) IS NOT NULL AS cached, CASE WHEN any_value(c_acctbal) < 0 THEN 'negative balance' END AS error FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY 1
 """)
 def id_manifest(spark, d):
     """Ids met anywhere with their number; cached rows keep what is known, errors are a column and not an exception."""
     refs = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("refs"))
-    known = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), "c_name", "c_acctbal")
+    known = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name", "c_acctbal")
     out = refs.join(known, "id", "left")
     return out.select("id", "refs", F.col("c_name").isNotNull().alias("cached"), F.when(F.col("c_acctbal") < 0, "negative balance").alias("error"))
 
@@ -108,21 +121,65 @@ def path_guard(spark, d):
     return PATHS.df(spark).select("path", (~bad).alias("allowed"))
 
 
-@query("content_kind", "P15", "SELECT page_id, CASE WHEN regexp_matches(lower(substr(html, 1, 15)), '^\\s*<(!doctype html|html)') THEN 'html' ELSE 'other' END AS kind FROM pages")
-def content_kind(spark, d):
-    pages = table(spark, d, "pages").withColumn("raw", F.col("html").cast("binary"))
-    return pages.select("page_id", readers.magic_kind("raw").alias("kind"))
+ITEMS = Inline("course int, part string, ord int, kind string, ref string, title string", [
+    (1, "modules", 1, "File", "f1", "one"), (1, "modules", 2, "Page", "p1", "two"), (1, "modules", 3, "File", "f1", "again"), (1, "modules", 4, "ExternalUrl", "u1", "three"), (1, "modules", 5, "SubHeader", None, "head"), (1, "modules", 6, "Assignment", "a1", "work"), (1, "modules", 7, "Discussion", "d1", "talk"), (1, "modules", 8, "ExternalTool", "t1", "tool"), (1, "modules", 9, "Quiz", "q1", "unknown kind"),
+    (1, "front_page", 1, "Page", "home", "front"), (1, "pages", 1, "Page", "p1", "again"), (1, "pages", 2, "Page", "p2", "more"), (1, "files", 1, "File", "f1", "third time"), (1, "files", 2, "File", "f2", "new"), (1, "files", 3, "File", "f3", None), (1, "assignments", 1, "Assignment", "a1", "again"), (1, "discussions", 1, "Discussion", "d2", "listed"), (1, "announcements", 1, "Discussion", "n1", "news"), (2, "files", 1, "File", "f1", "another course"),
+])
+PARTS = ["modules", "front_page", "pages", "files", "assignments", "discussions", "announcements"]
+KINDS = ["File", "Page", "ExternalUrl", "Assignment", "Discussion", "ExternalTool"]
 
 
-MODULE = Inline("ord int, kind string, ref string, title string", [(1, "File", "f1", "one"), (2, "Page", "p1", "two"), (3, "File", "f1", "again"), (4, "ExternalUrl", "u1", "three"), (5, "SubHeader", None, "head")])
+def sql_list(xs):
+    return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
 
 @query("course_assets", "S10 U01", f"""
-SELECT kind_ord::INT AS kind_ord, ref, arg_min(title, ord) AS title FROM (SELECT *, CASE kind WHEN 'File' THEN 1 WHEN 'Page' THEN 2 WHEN 'ExternalUrl' THEN 3 ELSE 9 END AS kind_ord FROM {MODULE.sql()}) WHERE ref IS NOT NULL GROUP BY ALL
+SELECT course, kind, ref, arg_min(coalesce(title, ref), (part_ord, ord)) AS title, arg_min(part, (part_ord, ord)) AS part, count(*)::BIGINT AS met FROM (SELECT *, list_position({sql_list(PARTS)}, part) AS part_ord FROM {ITEMS.sql()}) WHERE list_contains({sql_list(KINDS)}, kind) AND ref IS NOT NULL GROUP BY ALL
 """)
 def course_assets(spark, d):
-    """Items of every kind in one table of assets; a file met twice counts once, the first source wins."""
-    k = F.col("kind")
-    order = rules.first_rule([(k == "File", 1), (k == "Page", 2), (k == "ExternalUrl", 3)], 9)
-    items = MODULE.df(spark).withColumn("kind_ord", order).where("ref IS NOT NULL")
-    return items.groupBy("kind_ord", "ref").agg(F.min_by("title", "ord").alias("title"))
+    """Six kinds of module items, the front page and five listings in one table of assets for each course: an item met in
+    several places counts once, the first place wins; other kinds and headings are left out."""
+    items = ITEMS.df(spark).where(F.col("kind").isin(*KINDS) & F.col("ref").isNotNull())
+    walks = None
+    for k, part in enumerate(PARTS):  # one reader for each part of a course
+        own = items.where(F.col("part") == part).withColumn("at", F.struct(F.lit(k).alias("part_ord"), "ord"))
+        walks = own if walks is None else walks.unionByName(own)
+    return walks.groupBy("course", "kind", "ref").agg(F.min_by(F.coalesce("title", "ref"), "at").alias("title"), F.min_by("part", "at").alias("part"), F.count("*").alias("met"))
+
+
+@query("course_errors", "S10", f"SELECT course, kind, count(*)::BIGINT AS n FROM {ITEMS.sql()} WHERE NOT list_contains({sql_list(KINDS)}, kind) OR ref IS NULL GROUP BY ALL")
+def course_errors(spark, d):
+    """What the walk could not take, beside its assets."""
+    return ITEMS.df(spark).where(~F.col("kind").isin(*KINDS) | F.col("ref").isNull()).groupBy("course", "kind").agg(F.count("*").alias("n"))
+
+
+@query("file_scan", "S01 P22", """
+SELECT t || '.parquet' AS name, TRUE AS filled FROM (SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS t)
+""")
+def file_scan(spark, d):
+    """Files by extension below a folder, skipped folders left out, by the listing alone: contents are not read."""
+    files = readers.list_files(spark, d, "*.parquet", ("_temporary", ".git"))
+    top = F.regexp_extract("path", r"([^/]+\.parquet)(?:/|$)", 1)
+    return files.groupBy(top.alias("name")).agg((F.sum("size") > 0).alias("filled"))
+
+
+@query("paged_nations", "S09", "SELECT n_regionkey::VARCHAR AS root, n_name AS name FROM nation WHERE n_regionkey IN (1, 3)")
+def paged_nations(spark, d):
+    """A paginated source, one partition for each root, pages followed until there is none."""
+    rows = [(str(r["n_regionkey"]), r["n_name"]) for r in table(spark, d, "nation").select("n_regionkey", "n_name").collect()]  # 25 rows stand for a service
+    spark.dataSource.register(readers.PagedSource)
+    served = spark.read.format("paged").option("roots", "1,3").option("client", "json").option("pages", json.dumps(readers.as_pages(rows, 2))).load()
+    return served.select("root", F.get_json_object("json", "$.name").alias("name"))
+
+
+@query("page_scan", "S02 S03")
+def page_scan(spark, d):
+    """Pages of binary files by a pluggable extractor; a page or a file that can't be read becomes a row with its error."""
+
+    def extract(raw: bytes) -> list:
+        if raw.startswith(b"bad"):
+            raise ValueError("not a document")
+        return [p.decode() if p != b"?" else ValueError("page") for p in raw.split(b"\f")]
+
+    files = spark.createDataFrame([("a.pdf", b"one\f?\fthree"), ("b.pdf", b"bad"), ("c.txt", b"plain \xff text"), ("d.html", b"<p>seen</p><script>no</script>")], "path string, content binary")
+    return readers.by_format(files, extract)

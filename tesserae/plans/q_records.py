@@ -5,33 +5,72 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import rulesets
 from ..operators import dedup, records
 from .registry import Inline, query, table
 
 LONG = "explain in a few words why the result holds for all inputs of this kind and give an example"
-EXAM = f"Questions 1-2: consider the graph below.\nProblem 1 {LONG}\nProblem 2 {LONG} (5 points)\nProblem 3 {LONG}"
-TEXTS = Inline("doc string, text string", [("a", EXAM), ("b", f"1. First {LONG}\n2. Second {LONG}\n"), ("c", f"no heads at all, {LONG}"), ("d", "short"), ("e", None), ("f", "")])
-NUMBERED = Inline("doc string, text string", [("a", "1. first (3 pts)\n2. second\n7. stray\n3. third (2 points)\n1. other\n2. more"), ("b", "8\\. x\n1\\. y\n2\\. z")])
-
-
-@query("split_records", "X02 X08 D12 F04")
+EXAM = f"Exam\n1. First {LONG}\n2) Second {LONG} (5 points)\nConsider the graph below for questions 3-4\nwith weights.\n3: Third {LONG}\n4. {LONG}\n5. short\n#6. Sixth {LONG}"
+TEXTS = Inline("doc string, text string", [
+    ("a", EXAM), ("b", f"Problem 1. First {LONG}\nQuestion 2: second {LONG}\n"), ("c", f"no heads at all, {LONG}"), ("d", "short"), ("e", None), ("f", ""), ("g", f"1. only {LONG}"), ("h", f"1. first {LONG}\nUse the table for problems 9 to 7\nRefer to it for questions 1 through 14\nAssume X for question 2-2"),
+    ("i", "1. " + "w" * 5990), ("j", "1. " + "w" * 6000),
+])
+NUMBERED = Inline("doc string, text string", [("a", "1. first [3 pts]\n2. second\n7. stray\n3. third [ 2.5 points ]\n1. other\n2. more"), ("b", "8\\. x\n1\\. y\n2\\. z [1 pt.]"), ("c", "1. a single question [4 pts]"), ("d", "2. no\n3. start"), ("e", "1) a\n1) b\n2) c"), ("f", None), ("g", "1. a\n2. b\n1. c\n2. d")])
+#: The marks of a text as rows (off: the place of the match, counted from 0), found line by line; for checks.
+SQL_LINES = r"""SELECT doc, text, k, line, sum(length(line) + 1) OVER (PARTITION BY doc ORDER BY k) - length(line) - 1 AS off
+  FROM (SELECT doc, text, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM {rows})"""
+SQL_SHARED = r"(?i)(?:assume|use|consider|refer\s+to)\b[^.\n]{0,80}?\b(?:question|problem)s?\s+(\d{1,2})\s*(?:-|–|—|to|through|thru)\s*(\d{1,2})"
+SQL_HEAD = r"(?i)^\s*(?:problem|question|q|exercise|ex|#)?\s*(\d{1,2})[.\):]\s+"
+
+
+@query("split_records", "X02 D12", rf"""
+WITH l AS ({SQL_LINES.format(rows=TEXTS.sql())}),
+h AS (SELECT doc, text, off, try_cast(regexp_extract(line, '{SQL_HEAD}', 1) AS INT) AS num FROM l WHERE regexp_matches(line || ' ', '{SQL_HEAD}')),
+s AS (SELECT doc, off + strpos(line, regexp_extract(line, '{SQL_SHARED}', 0)) - 1 AS off FROM l WHERE regexp_matches(line, '{SQL_SHARED}')),
+c AS (SELECT doc, off FROM h UNION SELECT doc, off FROM s),
+b AS (SELECT doc, num, off, trim(substr(text, off::BIGINT + 1, (coalesce((SELECT min(c.off) FROM c WHERE c.doc = h.doc AND c.off > h.off), length(text)) - off)::BIGINT), ' ' || chr(10)) AS body FROM h)
+SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY off) - 1)::INT AS place, num, body, off::INT AS start FROM b WHERE length(body) > 30 AND length(body) < 6000
+UNION ALL SELECT doc, 0, 1, text, 0 FROM {TEXTS.sql()} t WHERE text IS NOT NULL AND text <> '' AND doc NOT IN (SELECT doc FROM h)
+""")
 def split_records(spark, d):
     return records.split_rows(TEXTS.df(spark), records.record_spans, records.RECORD)
 
 
-@query("split_preambles", "X04")
+@query("split_preambles", "X04", rf"""
+WITH l AS ({SQL_LINES.format(rows=TEXTS.sql())}),
+m AS (SELECT doc, text, off + strpos(line, regexp_extract(line, '{SQL_SHARED}', 0)) - 1 AS start, length(regexp_extract(line, '{SQL_SHARED}', 0)) AS n, try_cast(regexp_extract(line, '{SQL_SHARED}', 1) AS INT) AS lo, try_cast(regexp_extract(line, '{SQL_SHARED}', 2) AS INT) AS hi FROM l WHERE regexp_matches(line, '{SQL_SHARED}')),
+h AS (SELECT doc, off - 1 AS off, try_cast(regexp_extract(line, '^\s*(\d{{1,2}})[.\):]\s+', 1) AS INT) AS num FROM l WHERE k > 1 AND regexp_matches(line, '^\s*\d{{1,2}}[.\):]\s+'))
+SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY start) - 1)::INT AS place, lo, hi, trim(substr(text, start::BIGINT + 1, (coalesce((SELECT min(off) FROM h WHERE h.doc = m.doc AND off >= start + n), least(length(text), start + n + 600)) - start)::BIGINT), ' ' || chr(10)) AS txt,
+  start::INT AS start, coalesce((SELECT min(off) FROM h WHERE h.doc = m.doc AND off >= start + n AND num = hi + 1), least(length(text), start + 8000))::INT AS "end" FROM m WHERE hi >= lo AND hi - lo <= 12
+""")
 def split_preambles(spark, d):
     return records.split_rows(TEXTS.df(spark), records.preamble_spans, records.PREAMBLE)
 
 
-@query("numbered_questions", "X09 W06")
+@query("titled_records", "X08")
+def titled_records(spark, d):
+    return records.split_rows(TEXTS.df(spark), records.titled_spans, records.TITLED_RECORD)
+
+
+SQL_RUNS = rf"""
+WITH RECURSIVE l AS ({SQL_LINES.format(rows=NUMBERED.sql())}),
+m AS (SELECT doc, text, off, try_cast(regexp_extract(line, '^[ \t]{{0,3}}(\d{{1,2}})[ \t]*\\?[.)][ \t]+', 1) AS INT) AS num, length(regexp_extract(line, '^[ \t]{{0,3}}\d{{1,2}}[ \t]*\\?[.)][ \t]+')) AS head FROM l WHERE regexp_matches(line, '^[ \t]{{0,3}}\d{{1,2}}[ \t]*\\?[.)][ \t]+\S')),
+r AS (SELECT doc, text, off AS first, off, num, head FROM m WHERE num = 1
+  UNION ALL SELECT r.doc, r.text, r.first, n.off, n.num, n.head FROM r JOIN m n ON n.doc = r.doc AND n.num = r.num + 1 AND n.off = (SELECT min(o.off) FROM m o WHERE o.doc = r.doc AND o.num = r.num + 1 AND o.off > r.off)),
+best AS (SELECT doc, first FROM (SELECT doc, first, row_number() OVER (PARTITION BY doc ORDER BY count(*) DESC, first) AS k, count(*) AS n FROM r GROUP BY doc, first) WHERE k = 1 AND n >= 2),
+q AS (SELECT doc, num, trim(substr(text, (off + head)::BIGINT + 1, (coalesce(lead(off) OVER (PARTITION BY doc ORDER BY num), length(text)) - off - head)::BIGINT), ' ' || chr(10)) AS body FROM r JOIN best USING (doc, first))
+"""
+SQL_POINTS = r"try_cast(nullif(regexp_extract(body, '(?i)\[\s*([\d.]+)\s*(?:pt|pts|point|points)\.?\s*\]', 1), '') AS DOUBLE)"
+
+
+@query("numbered_questions", "X09 W06", f"{SQL_RUNS} SELECT doc, (num - 1)::INT AS place, num, body, {SQL_POINTS} AS points FROM q")
 def numbered_questions(spark, d):
-    return records.split_rows(NUMBERED.df(spark), records.numbered_run, "num int, body string, points int")
+    return records.split_rows(NUMBERED.df(spark), records.numbered_run, records.LISTED_RECORD)
 
 
-@query("question_points", "A26")
+@query("question_points", "A26", f"{SQL_RUNS} SELECT doc, sum(coalesce({SQL_POINTS}, 0))::DOUBLE AS points FROM q GROUP BY doc")
 def question_points(spark, d):
-    return numbered_questions(spark, d).groupBy("doc").agg(F.sum(F.coalesce("points", F.lit(0))).alias("points"))
+    return numbered_questions(spark, d).groupBy("doc").agg(F.sum(F.coalesce("points", F.lit(0.0))).alias("points"))
 
 
 @query("graded_blocks", "X07")
@@ -120,16 +159,24 @@ def keep_best(spark, d):
     return best.select("topic", "path", "problem", "row_ord")
 
 
-SQL_DIFF = r"""greatest(0, least(10, least(2 * len(regexp_extract_all(s, '\([a-h]\)')), 4) + least(coalesce(try_cast(nullif(regexp_extract(s, '(\d+) (?:points|pts)', 1), '') AS INT), 0) // 2, 3) + (n > 800)::INT + (n > 1500)::INT
- + contains(s, 'prove')::INT + contains(s, 'derive')::INT + contains(s, 'optimal')::INT + contains(s, 'worst')::INT - contains(s, 'define')::INT - contains(s, 'list')::INT - contains(s, 'name')::INT))::INT"""
+def sql_words(words, sign):
+    return " ".join(f"{sign} contains(s, '{w}')::INT" for w in words)
+
+
+SQL_DIFF = rf"""greatest(0, least(10, least(2 * len(regexp_extract_all(s, '\([a-h]\)')), 4) + least(coalesce(try_cast(nullif(regexp_extract(s, '\((\d{{1,6}})\s*points?\)', 1), '') AS INT), 0) // 2, 3) + (n > 800)::INT + (n > 1500)::INT {sql_words(rulesets.HARD_WORDS, "+")} {sql_words(rulesets.EASY_WORDS, "-")}))::INT"""
+SQL_LABEL = "CASE WHEN score <= 3 THEN 'easy' WHEN score <= 6 THEN 'medium' ELSE 'hard' END"
+STEMS_OF = Inline("id int, stem string, n int", [(1, "(a) (b) (c) joint likelihood (9 points)", 1600), (2, "find the mean, median and mode", 10), (3, "ANOVA and regression with an interaction, p-value (1 point)", 900), (4, "", 0), (5, "(a) plain (3 points)", 801)])
 
 
 @query("difficulty", "C04 Q24", f"""
-SELECT doc_id, score, CASE WHEN score <= 3 THEN 'easy' WHEN score <= 6 THEN 'medium' ELSE 'hard' END AS label
-FROM (SELECT doc_id, {SQL_DIFF} AS score FROM (SELECT doc_id, lower(substr(text, 1, 280)) AS s, length(text) AS n FROM documents))
+SELECT doc_id, score, {SQL_LABEL} AS label FROM (SELECT doc_id, {SQL_DIFF} AS score FROM (SELECT doc_id, lower(substr(text, 1, 280)) AS s, length(text) AS n FROM documents))
+UNION ALL SELECT -id, score, {SQL_LABEL} FROM (SELECT id, {SQL_DIFF} AS score FROM (SELECT id, lower(stem) AS s, n FROM {STEMS_OF.sql()}))
 """)
 def difficulty(spark, d):
-    scored = table(spark, d, "documents").select("doc_id", records.difficulty(F.substring("text", 1, 280), F.length("text")).alias("score"))
+    """By the stem, which is the first 280 characters of a body, and the body's length."""
+    rows = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 280).alias("stem"), F.length("text").alias("n"))
+    rows = rows.unionByName(STEMS_OF.df(spark).select((-F.col("id")).cast("long").alias("doc_id"), "stem", "n"))
+    scored = rows.select("doc_id", records.difficulty(F.col("stem"), F.col("n")).alias("score"))
     return scored.withColumn("label", records.difficulty_label(F.col("score")))
 
 
@@ -202,9 +249,26 @@ def clean_stem(spark, d):
     return STEMS.df(spark).select("id", squeeze(substitutions("stem", [(r"\$([^$]*)\$", "$1"), (r"\(\d+ points?\)", "")])).alias("stem"))
 
 
-@query("assignment_tokens", "X17 J19", f"""
-SELECT n::INT AS n, ['hw' || n, 'hw_' || n, 'homework' || n, 'assignment ' || n] AS tokens FROM (SELECT unnest([1, 2, 10]) AS n)
+@query("assignment_tokens", "X17 J19", """
+SELECT n_nationkey, ['hw' || n_nationkey, 'hw_' || n_nationkey, 'homework' || n_nationkey, 'assignment ' || n_nationkey] AS tokens FROM nation
 """)
 def assignment_tokens(spark, d):
-    n = F.col("n").cast("string")
-    return spark.createDataFrame([(1,), (2,), (10,)], "n int").select("n", F.array(*[F.concat(F.lit(p), n) for p in ("hw", "hw_", "homework", "assignment ")]).alias("tokens"))
+    n = F.col("n_nationkey").cast("string")
+    return table(spark, d, "nation").select("n_nationkey", F.array(*[F.concat(F.lit(p), n) for p in ("hw", "hw_", "homework", "assignment ")]).alias("tokens"))
+
+
+QUESTION_TITLES = Inline("title string", [("12.",), ("MC11",), ("P2D",), ("P3",), ("mc4",), ("Essay (2)",), ("P10a_retry",), ("",)])
+
+
+@query("page_matchers", "X19", r"""
+SELECT title, list_concat(list_concat([regexp_replace(title, '([.()])', '\\\1', 'g')], CASE WHEN mc <> '' THEN ['\b' || mc || '\.'] ELSE [] END),
+  CASE WHEN p <> '' THEN list_concat(['\bProblem\s+' || p || '\b', '(?:^|\n)\s*' || p || '\.\s*\(\d+\s*p', '(?:^|\n)\s*' || p || '\.\s+[A-Z(]'], CASE WHEN part <> '' THEN ['\(' || lower(part) || '\)'] ELSE [] END) ELSE [] END) AS matchers
+FROM (SELECT title, regexp_extract(title, '(?i)^MC(\d+)', 1) AS mc, regexp_extract(title, '^P(\d+)', 1) AS p, regexp_extract(title, '^P\d+([A-Za-z]?)', 1) AS part FROM """ + QUESTION_TITLES.sql() + ")")
+def page_matchers(spark, d):
+    """Patterns that may find a question's page, derived from its title, the most literal first."""
+    of = lambda rx: F.regexp_extract("title", rx, 1)
+    some = lambda c, *xs: F.when(c != "", F.array(*xs)).otherwise(F.array().cast("array<string>"))
+    mc, p, part = of(r"(?i)^MC(\d+)"), of(r"^P(\d+)"), of(r"^P\d+([A-Za-z]?)")
+    own = F.array(F.regexp_replace("title", r"([.()])", r"\\$1"))
+    numbered = some(p, F.concat(F.lit(r"\bProblem\s+"), p, F.lit(r"\b")), F.concat(F.lit(r"(?:^|\n)\s*"), p, F.lit(r"\.\s*\(\d+\s*p")), F.concat(F.lit(r"(?:^|\n)\s*"), p, F.lit(r"\.\s+[A-Z(]")))
+    return QUESTION_TITLES.df(spark).select("title", F.concat(own, some(mc, F.concat(F.lit(r"\b"), mc, F.lit(r"\."))), numbered, some(part, F.concat(F.lit(r"\("), F.lower(part), F.lit(r"\)")))).alias("matchers"))

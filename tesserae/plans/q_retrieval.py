@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import retrieve
-from .q_text import BM25_TERMS, CORPUS, TOKENS, corpus
+from ..operators import index, retrieve
+from .q_text import BM25_TERMS, CORPUS, TOKENS, query_rows
 from .registry import Inline, query, table
 
 DIST = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2])))"
@@ -43,9 +44,8 @@ tf AS (SELECT doc_id, lang, len(list_filter(terms, lambda x: x = 'tion')) AS tf
 SELECT doc_id, tf::BIGINT AS tf FROM (SELECT * FROM tf ORDER BY tf DESC, doc_id LIMIT 40) WHERE lang = 'fr'
 """)
 def filter_after_limit(spark, d):
-    from ..functions.text import tokens
-
-    tf = corpus(spark, d).select("doc_id", "lang", F.size(F.filter(tokens("text"), lambda t: t == "tion")).cast("long").alias("tf"))
+    rows = query_rows(spark, d, ["tion"]).select(F.col("chunk_ord").alias("doc_id"), F.size("hits").cast("long").alias("tf"))
+    tf = rows.join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     return tf.orderBy(F.desc("tf"), "doc_id").limit(40).where("lang = 'fr'").select("doc_id", "tf")
 
 
@@ -68,18 +68,17 @@ def multi_merge(spark, d):
 @query("hybrid_search", "T01 T02 T03 J23 O4 O6")
 def hybrid_search(spark, d):
     """Vector and keyword lists of 4k rows, merged under a cap per source; narrow rows are ranked, texts join at the end."""
-    from ..operators import index
-
-    k, docs = 8, corpus(spark, d)
+    k, rows = 8, query_rows(spark, d, BM25_TERMS)
+    kept = rows.select(F.col("chunk_ord").alias("doc_id"))
     dense = retrieve.nearest(table(spark, d, "embeddings"), query_vector(spark, d), 4 * k).select(F.col("vec_id").alias("doc_id"), F.col("dist").alias("key"))
-    words = index.bm25_scores(docs, BM25_TERMS, "doc_id").select(F.col("chunk_ord").alias("doc_id"), (-F.col("score")).alias("key")).orderBy("key", "doc_id").limit(4 * k)
-    both = dense.withColumn("side", F.lit("dense")).unionByName(words.withColumn("side", F.lit("keyword")))
-    ranked = both.join(docs.select("doc_id", "source"), "doc_id").withColumn("query_id", F.lit("q")).withColumn("id", F.col("doc_id").cast("string"))
-    from pyspark.sql import Window
-
-    ranked = ranked.withColumn("rnk", F.row_number().over(Window.partitionBy("side").orderBy("key", "doc_id")))  # 8k rows
+    words = index.bm25_scores(rows).select(F.col("chunk_ord").alias("doc_id"), (-F.col("score")).alias("key")).orderBy("key", "doc_id").limit(4 * k)
+    both = dense.join(kept, "doc_id").withColumn("side", F.lit("dense")).unionByName(words.withColumn("side", F.lit("keyword")))
+    docs = table(spark, d, "documents")
+    ranked = docs.select("doc_id", "source").join(F.broadcast(both), "doc_id").withColumn("query_id", F.lit("q")).withColumn("id", F.col("doc_id").cast("string"))  # 8k rows
+    ranked = ranked.withColumn("rnk", F.row_number().over(Window.partitionBy("side").orderBy("key", "doc_id")))
     merged = retrieve.hybrid_merge(ranked.select("query_id", "side", "rnk", "id", "source"), ["dense", "keyword"], k, 2)
-    return merged.join(docs.select(F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 200).alias("snippet")), "id")
+    texts = docs.select(F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 200).alias("snippet"))
+    return texts.join(F.broadcast(merged), "id")
 
 
 QUESTIONS = Inline("query_id string, question string", [("a", "what is the mean of this"), ("b", "compare the two groups, explain the large gap and list all known causes?"), ("c", "one two; the brand names here"), ("d", "")])
@@ -92,6 +91,24 @@ def split_clauses(spark, d):
     return QUESTIONS.df(spark).select("query_id", retrieve.clauses(F.col("question")).alias("clauses"))
 
 
+ASKED = Inline("query_id string, question string", [("a", "the tion heit"), ("b", "what is the tion of the verein, explain the keit and heit here; list de la que?"), ("c", "zzz yyy xxx"), ("d", "")])
+
+
+@query("multi_clause_search", "T04 X13 T02 Q4")
+def multi_clause_search(spark, d):
+    """Each question is searched whole and clause by clause over one stored index; then the lists take turns under a cap
+    for each source. There is no fill, so a question may get fewer rows."""
+    k, docs = 12, table(spark, d, "documents")
+    stored = index.stored_index(docs.select("doc_id", "text"), "doc_id")
+    asked = retrieve.clause_queries(ASKED.df(spark), k).withColumn("key", F.concat_ws("#", "query_id", F.col("clause").cast("string")))
+    scores = index.bm25_search(stored, asked.select(F.col("key").alias("query_id"), "text")).withColumnRenamed("query_id", "key")
+    w = Window.partitionBy("key").orderBy(F.desc(F.round("score", 9)), "chunk_ord")
+    lists = scores.join(F.broadcast(asked.select("key", "query_id", "clause", "size")), "key").withColumn("rnk", F.row_number().over(w)).where("rnk <= size")
+    ranked = lists.join(docs.select(F.col("doc_id").alias("chunk_ord"), "source"), "chunk_ord")
+    ranked = ranked.select("query_id", F.col("clause").alias("side"), "rnk", F.col("chunk_ord").cast("string").alias("id"), "source")
+    return retrieve.hybrid_merge(ranked, None, k, 2, fill=False)
+
+
 @query("char_budget", "W04 P21 Z13", """
 SELECT source, doc_id, length(substr(text, 1, (25000 - before)::BIGINT))::INT AS chars, sha1(substr(text, 1, (25000 - before)::BIGINT)) AS part_sha1
 FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < 25000

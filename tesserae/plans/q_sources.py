@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import rules, text
+from ..functions import registration, rules, text
 from ..sources import sinks
-from .registry import Inline, query, table
+from . import q_lexicon, tools  # noqa: F401
+from .registry import REGISTRY, Inline, query, table
 
 OCR = Inline("source string, ocr string", [("src0", "scanned text of zero"), ("src3", "scanned text of three")])
 
@@ -87,7 +88,7 @@ def mailbox_union(spark, d):
 PARTS = Inline("msg string, path array<int>, mime string, data string", [("a", [1], "text/html", "PHA-aHRtbDwvcD4="), ("a", [0, 1], "text/plain", "cGxhaW4gdHdv"), ("a", [0, 0], "text/plain", "cGxhaW4gb25l"), ("b", [0], "text/html", "PHA-b25seSBodG1sPC9wPg=="), ("c", [0], "image/png", "AAAA")])
 
 
-@query("mail_body", "S12 S14 S13", r"""
+@query("mail_body", "S14", r"""
 WITH p AS (SELECT msg, path, mime, decode(from_base64(translate(data, '-_', '+/'))) AS body FROM """ + PARTS.sql() + r""" WHERE starts_with(mime, 'text/')), m AS (SELECT DISTINCT msg FROM """ + PARTS.sql() + r""")
 SELECT msg, coalesce((SELECT string_agg(body, chr(10) ORDER BY path) FROM p WHERE p.msg = m.msg AND mime = 'text/plain'), (SELECT string_agg(trim(regexp_replace(body, '<[^>]+>', ' ', 'g')), chr(10) ORDER BY path) FROM p WHERE p.msg = m.msg AND mime = 'text/html'), '') AS body FROM m
 """)
@@ -132,28 +133,20 @@ def parsed_dates(spark, d):
     return DATES.df(spark).select("raw", F.coalesce(t("yyyy-MM-dd"), four, two, t("MMM d, yyyy"), F.to_date(F.timestamp_millis(millis))).alias("day"))
 
 
-INFO = Inline("line_no int, line string", [(1, "# Course"), (2, "- 3/1/2024: outside"), (3, "## Dates"), (4, "- 2024-02-10: Midterm"), (5, "- 2024-13-10: Never"), (6, "## Grading"), (7, "- 2024-03-01: not a date line")])
+INFO = Inline("doc string, line_no int, line string", [("a", 1, "# Course"), ("a", 2, "- 3/1/2024: outside"), ("a", 3, "## Dates"), ("a", 4, "- 2024-02-10: Midterm"), ("a", 5, "- 2024-13-10: Never"), ("a", 6, "## Grading"), ("a", 7, "- 2024-03-01: not a date line"), ("b", 1, "- 2024-01-01: no section"), ("b", 2, "## Dates"), ("b", 3, "- 2024-05-01: Final")])
 
 
 @query("section_events", "X11 X12 D22", f"""
-SELECT day, title FROM (SELECT try_strptime(regexp_extract(line, '^- ([^:]+): ', 1), '%Y-%m-%d')::DATE AS day, regexp_extract(line, ': (.*)$', 1) AS title, last_value(CASE WHEN starts_with(line, '#') THEN line END IGNORE NULLS) OVER (ORDER BY line_no) AS section FROM {INFO.sql()}) WHERE section = '## Dates' AND day IS NOT NULL
+SELECT doc, day, title FROM (SELECT doc, try_strptime(regexp_extract(line, '^- ([^:]+): ', 1), '%Y-%m-%d')::DATE AS day, regexp_extract(line, ': (.*)$', 1) AS title, last_value(CASE WHEN starts_with(line, '#') THEN line END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY line_no) AS section FROM {INFO.sql()}) WHERE section = '## Dates' AND day IS NOT NULL
 """)
 def section_events(spark, d):
-    head = F.last(F.when(F.col("line").startswith("#"), F.col("line")), ignorenulls=True).over(Window.partitionBy(F.lit(1)).orderBy("line_no"))
+    head = F.last(F.when(F.col("line").startswith("#"), F.col("line")), ignorenulls=True).over(Window.partitionBy("doc").orderBy("line_no"))
     rows = INFO.df(spark).withColumn("section", head).where("section = '## Dates'")
     day = F.try_to_timestamp(F.regexp_extract("line", "^- ([^:]+): ", 1), F.lit("yyyy-MM-dd")).cast("date")
-    return rows.select(day.alias("day"), F.regexp_extract("line", ": (.*)$", 1).alias("title")).where("day IS NOT NULL")
+    return rows.select("doc", day.alias("day"), F.regexp_extract("line", ": (.*)$", 1).alias("title")).where("day IS NOT NULL")
 
 
 EVENTS = Inline("uid string, day date, time string, title string", [("u1", "2024-02-10", "23:30:00", "Late, exam"), ("u2", "2024-02-11", None, "Holiday")])
-EVENT_KINDS = [("(?i)exam|midterm", "exam"), ("(?i)due|homework", "due"), ("(?i)holiday", "break")]
-
-
-@query("event_kind", "P10 P12", f"SELECT uid, coalesce({rules.sql_case(EVENT_KINDS, 'title')}, 'event') AS kind FROM {EVENTS.sql()}")
-def event_kind(spark, d):
-    return EVENTS.df(spark).select("uid", rules.regex_case(EVENT_KINDS, F.col("title"), default="event").alias("kind"))
-
-
 @query("calendar_text", "K07 Q15", r"""
 SELECT 'BEGIN:VCALENDAR' || chr(10) || 'VERSION:2.0' || chr(10) || string_agg('BEGIN:VEVENT' || chr(10) || 'UID:' || uid || chr(10) || CASE WHEN time IS NULL THEN 'DTSTART;VALUE=DATE:' || strftime(day, '%Y%m%d')
  ELSE 'DTSTART:' || strftime((day || ' ' || time)::TIMESTAMP, '%Y%m%dT%H%M%S') || chr(10) || 'DTEND:' || strftime((day || ' ' || time)::TIMESTAMP + INTERVAL 1 HOUR, '%Y%m%dT%H%M%S') END || chr(10) || 'SUMMARY:' || regexp_replace(title, '([,;])', '\\\1', 'g') || chr(10) || 'END:VEVENT', chr(10) ORDER BY day, uid) || chr(10) || 'END:VCALENDAR' AS ics
@@ -162,16 +155,6 @@ def calendar_text(spark, d):
     return sinks.ics(EVENTS.df(spark))
 
 
-@query("regrade_letter", "K08 K09 K02", """
-SELECT l_orderkey, string_agg('- ' || l_linenumber || ': ' || cast(l_quantity AS BIGINT), chr(10) ORDER BY l_linenumber, l_quantity) AS text FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1
-""")
-def regrade_letter(spark, d):
-    """A letter per order: a group has a few lines, however large the table."""
-    li = table(spark, d, "lineitem").where("l_returnflag = 'R'")
-    line = F.concat(F.lit("- "), F.col("l_linenumber").cast("string"), F.lit(": "), F.col("l_quantity").cast("long").cast("string"))
-    return sinks.ordered_text(li, ["l_orderkey"], ["l_linenumber", "l_quantity"], line)
-
-
 @query("citation_label", "P17 P03", """
 SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'System note' WHEN role = 'user' THEN 'User, turn ' || turn ELSE 'Reply ' || conv_id || '.' || turn END AS label, contains(lower(text), 'the') OR contains(lower(text), 'und') AS any_word FROM conversations
 """)
@@ -186,8 +169,30 @@ def crop_geometry(spark, d):
     return table(spark, d, "part").select("p_partkey", (F.col("p_size") * 10).alias("width"), F.floor("p_retailprice").alias("height"), F.col("p_size").between(5, 40).alias("valid"))
 
 
-@query("tool_call", "F01 F02")
+@query("tool_call", "F01 F02", f"""
+SELECT * FROM ({REGISTRY['topic_gap'].sql}) WHERE share_gap_pp > 0 ORDER BY share_gap_pp DESC, topic_ord LIMIT 3
+""")
 def tool_call(spark, d):
-    from .tools import call_tool
+    """Arguments as texts are read by their types, unknown ones dropped."""
+    return tools.call_tool(spark, d, "topics_by_under_preparation", {"n": "3", "unknown": 1})
+
+
+@query("tool_errors", "F01", "SELECT * FROM (VALUES ('bad arguments for topic_summary: missing topic'), ('unknown tool nothing')) AS t(error)")
+def tool_errors(spark, d):
+    return tools.call_tool(spark, d, "topic_summary", {"n": 3}).union(tools.call_tool(spark, d, "nothing", None))
+
+
+@query("tool_schemas", "F01")
+def tool_schemas(spark, d):
+    """The tools' typed parameters, by a table function."""
+    tools.register(spark)
+    return spark.sql("SELECT * FROM tool_schemas()")
+
 
-    return call_tool(spark, d, "topics_by_under_preparation", {"n": 3, "unknown": 1})
+@query("registered_functions", "F04")
+def registered_functions(spark, d):
+    """The engine's functions from SQL."""
+    registration.register(spark)
+    return spark.sql("""
+        SELECT page_id, resolve_url(url, '../x#y') AS link, likeness(url, 'example') AS ratio, html_unescape('a &lt; b') AS plain, length(visible_text(html)) AS chars, size(record_spans('1. only')) AS records FROM {pages}
+    """, pages=table(spark, d, "pages"))

@@ -41,17 +41,6 @@ def upsert_keep_created(spark, d):
     return state.upserted(log, "user_id", "status", "notes", "stamp", "event_id", F.col("event_type") == "error")
 
 
-@query("chat_latest", "M05 M06 M07 D17", """
-SELECT conv_id, n::BIGINT AS n, CASE WHEN conv_id % 4 = 0 THEN 'Renamed' WHEN length(q) > 60 THEN substr(q, 1, 60) || '...' ELSE coalesce(q, 'New chat') END AS title FROM (
-  SELECT conv_id, count(*) AS n, arg_min(text, turn) FILTER (role = 'user') AS q FROM conversations GROUP BY 1) WHERE conv_id % 7 <> 3
-""")
-def chat_latest(spark, d):
-    user = F.col("role") == "user"
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.min_by(F.when(user, F.col("text")), F.when(user, F.col("turn"))).alias("q"))
-    title = F.when(F.col("conv_id") % 4 == 0, "Renamed").when(F.length("q") > 60, F.concat(F.substring("q", 1, 60), F.lit("..."))).otherwise(F.coalesce("q", F.lit("New chat")))
-    return c.where("conv_id % 7 <> 3").select("conv_id", "n", title.alias("title"))
-
-
 @query("chat_tail", "T12", """
 SELECT conv_id, turn, n > 3 AS has_older FROM (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 3
 """)

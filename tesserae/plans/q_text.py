@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rules, text
+from ..functions import markup, text
 from ..operators import dedup, index
+from ..shared import spread, written
 from .registry import Inline, query, table
 
 TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
@@ -16,7 +17,14 @@ CORPUS = f"(SELECT d.* FROM documents d JOIN {DEDUPED} USING (doc_id))"
 
 def corpus(spark, d):
     """Documents without exact copies (up to white space); the first stays."""
-    return dedup.keep_first_by_hash(table(spark, d, "documents"), text.content_hash("text"), "doc_id")
+    return dedup.keep_first_by_hash(spread(table(spark, d, "documents")), text.content_hash("text"), "doc_id")
+
+
+def query_rows(spark, d, terms):
+    """Narrow rows of the corpus for one query: one pass over the texts, exact copies left out, written once."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    rows = index.query_rows(docs, terms, "doc_id", extra={"content_hash": text.content_hash("text")})
+    return written(dedup.first_by_hash(rows, "content_hash", "chunk_ord"))
 
 
 BM25_TERMS = ["the", "tion", "de", "heit", "verein"]
@@ -31,7 +39,7 @@ SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf +
 FROM tf JOIN df USING (term), stats GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 40
 """)
 def bm25_topk(spark, d):
-    scores = index.bm25_scores(corpus(spark, d), BM25_TERMS, "doc_id")
+    scores = index.bm25_scores(query_rows(spark, d, BM25_TERMS))
     return scores.select(F.col("chunk_ord").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(40)
 
 
@@ -42,7 +50,7 @@ def inverted_index(spark, d):
 
 @query("doc_lengths", "K05 A06", f"SELECT doc_id AS chunk_ord, len({TOKENS})::BIGINT AS dl FROM documents")
 def doc_lengths(spark, d):
-    return index.doc_stats(table(spark, d, "documents"), "doc_id")
+    return index.doc_stats(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id")
 
 
 @query("term_statistics", "A06", f"SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
@@ -55,12 +63,14 @@ WITH s AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM d
 SELECT doc_id, (i // 1300)::INT AS chunk, substr(t, i + 1, 1500) AS chunk_text FROM (SELECT doc_id, t, unnest(range(0, length(t), 1300)) AS i FROM s)
 """)
 def chunk_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(text.chunks("text")).alias("chunk", "chunk_text"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.posexplode(text.chunks("text")).alias("chunk", "chunk_text"))
 
 
 @query("dedup_keep_first", "A13 O10 Q2", f"SELECT doc_id, sha1({SQUEEZED.format('text')}) AS content_hash FROM {CORPUS}")
 def dedup_keep_first(spark, d):
-    return corpus(spark, d).select("doc_id", "content_hash")
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.content_hash("text").alias("content_hash"))
+    return dedup.first_by_hash(rows, "content_hash", "doc_id").select("doc_id", "content_hash")
 
 
 PAGED = Inline("doc string, body string", [("a", "--- page 2 ---\nsecond\n--- page 3 ---\n \n--- page 4 ---\nfourth"), ("b", "no marker"), ("c", "intro\n--- page 9 ---\nnine\n--- page 1 ---\none"), ("d", "")])
@@ -86,7 +96,19 @@ def page_split(spark, d):
 SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS visible FROM pages
 """)
 def html_strip(spark, d):
-    return table(spark, d, "pages").select("page_id", text.html_to_text("html").alias("visible"))
+    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", text.html_to_text("html").alias("visible"))
+
+
+@query("html_tree_text", "S06", r"""
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b[^>]*>.*?</(script|style)>|<nav\b.*?</nav>|<footer\b.*?</footer>|<svg\b.*?</svg>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS visible FROM pages WHERE NOT contains(html, '&')
+UNION ALL SELECT -1, 'a < b & c' UNION ALL SELECT -2, '' UNION ALL SELECT -3, 'open only'
+""")
+def html_tree_text(spark, d):
+    """Visible text by a parser: dropped elements with all they hold, entities decoded, broken mark-up borne."""
+    pages = table(spark, d, "pages").where(~F.col("html").contains("&")).select("page_id", "html")
+    odd = spark.createDataFrame([(-1, "<p>a &lt; b &amp; c</p><nav>no <b>menu</b></nav>"), (-2, ""), (-3, "<div>open only<script>var x")], "page_id int, html string")
+    rows = spread(pages).unionByName(odd.select(F.col("page_id").cast("long").alias("page_id"), "html"))
+    return rows.select("page_id", text.squeeze(F.arrow_udf(markup.visible_texts, "string")("html")).alias("visible"))
 
 
 HREF = r'href="([^"#]+)'
@@ -104,19 +126,6 @@ def link_frequency(spark, d):
     return per_page.groupBy("link").agg(F.sum("k").alias("n"), F.count("*").alias("n_pages"))
 
 
-CATEGORIES = [(r"(?i)final|exam", "exam"), (r"(?i)practice", "practice"), (r"(?i)homework|hw\d", "homework"), (r"(?i)slides?|lecture", "slides"), (r"(?i)formula|cheat", "formula")]
-FILES = Inline("path string", [("a/Practice Exam 1.pdf",), ("b/hw3.pdf",), ("lecture/notes.pdf",), ("misc/readme.txt",), ("x/formula_sheet.pdf",), ("practice/set1.pdf",), ("exam/slides_final.pdf",)])
-
-
-@query("categorize_case", "P01 D10 O7", f"""
-SELECT path, name, coalesce({rules.sql_case(CATEGORIES, 'name')}, {rules.sql_case(CATEGORIES, 'path')}, 'other') AS category
-FROM (SELECT path, string_split(path, '/')[-1] AS name FROM {FILES.sql()})
-""")
-def categorize_case(spark, d):
-    files = FILES.df(spark).withColumn("name", text.basename("path"))
-    return files.withColumn("category", rules.regex_case(CATEGORIES, F.col("name"), F.col("path")))
-
-
 @query("ocr_need", "P13", r"""
 SELECT doc_id, round(ratio, 6) AS ratio, length(t) < 400 OR strpos(t, chr(65533)) > 0 OR ratio < 0.55 AS needs_ocr
 FROM (SELECT doc_id, text AS t, CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^A-Za-z0-9 \t\n\r]', '', 'g')) / length(text) ELSE 0.0 END AS ratio FROM documents)
@@ -149,14 +158,79 @@ def minimum_length(spark, d):
 
 @query("scalar_functions", "2.12", r"""
 SELECT doc_id, length(text) // 4 AS token_estimate, substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 60) AS fingerprint,
-  coalesce(nullif(substr(regexp_replace(regexp_replace(substr(text, 1, 80), '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60), ''), 'file') AS slug,
-  substr(sha256(text), 1, 24) AS memo_key, substr(sha1(text), 1, 12) AS short_hash, regexp_replace(regexp_replace(substr(text, 1, 200), '\d+', '#', 'g'), '#+', 'number', 'g') AS spoken
+  coalesce(nullif(substr(regexp_replace(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60), ''), 'file') AS slug,
+  coalesce(nullif(trim(substr(regexp_replace(text, '[^a-zA-Z0-9._-]+', '_', 'g'), 1, 120), '_'), ''), 'untitled') AS safe_name,
+  substr(sha256(text), 1, 24) AS memo_key, substr(sha1(text), 1, 12) AS short_hash, md5(regexp_replace(regexp_replace(text, '\d+', '#', 'g'), '#+', 'number', 'g')) AS spoken
 FROM documents
 """)
 def scalar_functions(spark, d):
-    spoken = text.substitutions(F.substring("text", 1, 200), [(r"\d+", "#"), ("#+", "number")])
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", text.token_estimate("text").alias("token_estimate"), text.fingerprint("text").alias("fingerprint"), text.slug(F.substring("text", 1, 80)).alias("slug"), F.substring(F.sha2("text", 256), 1, 24).alias("memo_key"), F.substring(F.sha1("text"), 1, 12).alias("short_hash"), spoken.alias("spoken"))
+    spoken = text.substitutions("text", [(r"\d+", "#"), ("#+", "number")])
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", text.token_estimate("text").alias("token_estimate"), text.fingerprint("text").alias("fingerprint"), text.slug("text").alias("slug"), text.safe_name("text").alias("safe_name"), F.substring(F.sha2("text", 256), 1, 24).alias("memo_key"), F.substring(F.sha1("text"), 1, 12).alias("short_hash"), F.md5(spoken).alias("spoken"))
+
+
+NAMES = Inline("id int, name string", list(enumerate(["Héllo, World! -- v2_final", "___", "", "a/b/c.pdf", "Ünï cödé  and   blanks", "x" * 70 + " y", "-lead and trail-", "keep_under__scores"])))
+
+
+@query("slug_variants", "2.12", f"""
+SELECT id, coalesce(nullif(lower(trim(substr(regexp_replace(trim(regexp_replace(name, '[^\\w\\sÀ-ÿ-]', '', 'g')), '[\\s_-]+', '-', 'g'), 1, 60), '-')), ''), 'untitled') AS dashed,
+  replace(name, '/', '__') AS flat, replace(replace(name, '/', '__'), '__', '/') AS nested, CASE WHEN starts_with(name, 'a/b/') THEN substr(name, 5) END AS below FROM {NAMES.sql()}
+""")
+def slug_variants(spark, d):
+    name = F.col("name")
+    return NAMES.df(spark).select("id", text.dashed(name).alias("dashed"), text.flat_path(name).alias("flat"), text.nested_path(text.flat_path(name)).alias("nested"), text.relative_path(name, F.lit("a/b")).alias("below"))
+
+
+@query("page_file_names", "2.12", r"""
+SELECT page_id, substr(CASE WHEN ends_with(n, '.html') THEN n ELSE n || '.html' END, 1, 200) AS file FROM (SELECT page_id, trim(regexp_replace(CASE WHEN ends_with(r, '/') THEN r || 'index' ELSE r END, '[^a-zA-Z0-9._-]+', '_', 'g'), '_') AS n FROM (
+  SELECT page_id, CASE WHEN r = '' THEN '/' WHEN starts_with(r, '?') THEN '/' || r ELSE r END AS r FROM (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS r FROM pages)))
+""")
+def page_file_names(spark, d):
+    return table(spark, d, "pages").select("page_id", text.url_file_name("url").alias("file"))
+
+
+DECODED = Inline("id int, raw string", [(1, "a%20b%2Fc"), (2, "Tom &amp; &quot;Jerry&quot; &lt;3 &#39;x&#39;"), (3, "plain"), (4, ""), (5, "%C3%A9t%C3%A9&gt;")])
+
+
+@query("decoded_text", "2.12", f"""
+SELECT id, CASE WHEN contains(raw, '&') AND NOT contains(raw, '%') THEN raw ELSE url_decode(raw) END AS url, replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS html FROM {DECODED.sql()}
+""")
+def decoded_text(spark, d):
+    """Percent signs and entities; those of the basic set by replacement, the ampersand last."""
+    url = F.when(F.col("raw").contains("&") & ~F.col("raw").contains("%"), F.col("raw")).otherwise(F.url_decode("raw"))
+    html = F.col("raw")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        html = F.replace(html, F.lit(entity), F.lit(char))
+    return DECODED.df(spark).select("id", url.alias("url"), html.alias("html"))
+
+
+MAIL_DATES = Inline("raw string", [("Tue, 3 Mar 2026 09:15:00 -0500",), ("28 Feb 2024 23:59 +0000",), ("Mon, 31 Feb 2026 01:00:00 +0000",), ("yesterday",), ("",)])
+LOOSE_DATES = Inline("raw string", [("2026-03-04",), (" 3/4 ",), ("3/4/25",), ("2/30/2026",), ("Mar 4",), ("March 4, 2027",), ("sept. 9",), ("Foo 4",), ("13/1",), ("",)])
+
+
+@query("mail_days", "2.12", f"SELECT raw, coalesce(strftime(try_strptime(regexp_extract(raw, '^(?:[A-Za-z]{{3}},\\s*)?(\\d{{1,2}} [A-Za-z]{{3}} \\d{{4}}) \\d{{1,2}}:\\d{{2}}', 1), '%-d %b %Y'), '%Y-%m-%d'), '0000-00-00') AS day FROM {MAIL_DATES.sql()}")
+def mail_days(spark, d):
+    return MAIL_DATES.df(spark).select("raw", text.mail_day("raw").alias("day"))
+
+
+@query("loose_dates", "2.12 X11", f"""
+SELECT raw, coalesce(try_strptime(trim(raw), '%Y-%m-%d'), try_strptime(CASE WHEN regexp_matches(trim(raw), '^\\d+/\\d+$') THEN trim(raw) || '/2026' END, '%m/%d/%Y'), try_strptime(CASE WHEN regexp_matches(trim(raw), '^\\d+/\\d+/\\d\\d$') THEN trim(raw) END, '%m/%d/%y'), try_strptime(CASE WHEN regexp_matches(trim(raw), '^\\d+/\\d+/\\d{{4}}$') THEN trim(raw) END, '%m/%d/%Y'),
+  try_strptime(regexp_extract(trim(raw), '^([A-Za-z]{{3}})[a-z]*\\.?\\s+\\d', 1) || ' ' || regexp_extract(trim(raw), '^[A-Za-z]+\\.?\\s+(\\d+)', 1) || ' ' || coalesce(nullif(regexp_extract(trim(raw), ',\\s*(\\d{{4}})$', 1), ''), '2026'), '%b %-d %Y'))::DATE AS day FROM {LOOSE_DATES.sql()}
+""")
+def loose_dates(spark, d):
+    return LOOSE_DATES.df(spark).select("raw", text.parsed_day("raw", 2026).alias("day"))
+
+
+@query("json_and_maps", "2.12", """
+SELECT n_nationkey, to_json({'a': n_regionkey, 'b': n_name})::VARCHAR AS dumped, CASE WHEN n_regionkey = 1 THEN 'one' ELSE 'other' END AS named, n_name || '/' || CASE WHEN n_nationkey > 10 THEN 'late' ELSE 'early' END AS merged FROM nation
+""")
+def json_and_maps(spark, d):
+    """JSON with keys in order, a map's value with a default, and a merge in which the later map wins."""
+    names = F.create_map(F.lit(1), F.lit("one"))
+    base, late = F.create_map(F.lit("when"), F.lit("early"), F.lit("who"), F.col("n_name")), F.create_map(F.lit("when"), F.lit("late"))
+    merged = F.when(F.col("n_nationkey") > 10, F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(late, k)), late)).otherwise(base)
+    dumped = F.to_json(F.struct(F.col("n_regionkey").alias("a"), F.col("n_name").alias("b")))
+    return table(spark, d, "nation").select("n_nationkey", dumped.alias("dumped"), F.coalesce(F.try_element_at(names, F.col("n_regionkey").cast("int")), F.lit("other")).alias("named"), F.concat_ws("/", merged["who"], merged["when"]).alias("merged"))
 
 
 RUNS = 40
@@ -178,7 +252,7 @@ def token_runs(spark, d):
         return F.struct(w.alias("word"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
 
     longest = F.aggregate(words, start, step, lambda acc: acc["most"])
-    docs = table(spark, d, "documents").select("doc_id", longest.alias("longest_run"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", longest.alias("longest_run"))
     return docs.withColumn("degenerate", F.col("longest_run") >= RUNS)
 
 

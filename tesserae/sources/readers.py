@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import fnmatch
+import json
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +29,28 @@ def scan_texts(spark: SparkSession, root: str, least: int = 0) -> DataFrame:
     return rows.select(F.input_file_name().alias("path"), F.col("value").alias("text")).where(F.length("text") >= least)
 
 
-def by_format(files: DataFrame, extract_pdf: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """(path, page, text) of files (path, content): HTML stripped, plain text as it is, PDF pages by the given function."""
+def list_files(spark: SparkSession, root: str, pattern: str = "*", skip_dirs: tuple[str, ...] = ()) -> DataFrame:
+    """(path, size) of files below root by name pattern; skipped folders are not entered and no content is read."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(conf)
+    rule, todo, found = re.compile(fnmatch.translate(pattern)), [top], []
+    while todo:
+        for status in fs.listStatus(todo.pop()):
+            path = status.getPath()
+            if status.isDirectory():
+                if path.getName() not in skip_dirs:
+                    todo.append(path)
+            elif rule.match(path.getName()):
+                found.append((path.toString(), status.getLen()))
+    return spark.createDataFrame(found, "path string, size long")
+
+
+def by_format(files: DataFrame, extract_pdf: Callable[[bytes], list] | None = None) -> DataFrame:
+    """(path, page, text, error) of files (path, content): HTML stripped, plain text as it is, PDF pages by the given function.
+
+    The function returns a text for each page, or an exception for one that can't be read; if it raises, the file gives a
+    single row. Such rows have an error and no text, so nothing is lost without a trace."""
 
     def pages(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -38,29 +61,43 @@ def by_format(files: DataFrame, extract_pdf: Callable[[bytes], list[str]] | None
                 if path.lower().endswith(".pdf"):
                     try:
                         found = extract_pdf(raw) if extract_pdf else []
-                    except Exception:  # a broken file gives no page
-                        found = []
-                    rows += [(path, k + 1, t) for k, t in enumerate(found)]
+                    except Exception as e:
+                        rows.append((path, None, None, f"{type(e).__name__}: {e}"))
+                        continue
+                    rows += [(path, k + 1, None, f"{type(t).__name__}: {t}") if isinstance(t, Exception) else (path, k + 1, t, None) for k, t in enumerate(found)]
                 else:
-                    rows.append((path, 1, raw.decode("utf-8", "ignore")))
-            yield pd.DataFrame(rows, columns=["path", "page", "text"])
+                    rows.append((path, 1, raw.decode("utf-8", "ignore"), None))
+            out = pd.DataFrame(rows, columns=["path", "page", "text", "error"])
+            yield out.astype({"page": "Int32"})
 
-    rows = files.select("path", "content").mapInPandas(pages, "path string, page int, text string")
+    rows = files.select("path", "content").mapInPandas(pages, "path string, page int, text string, error string")
     is_html = F.lower("path").rlike(r"\.html?$")
     return rows.withColumn("text", F.when(is_html, text.html_to_text("text")).otherwise(F.col("text")))
 
 
-def magic_kind(content: str):
-    """Kind of a binary by its first bytes."""
+def magic_kind(content: str, content_type: str | None = None):
+    """Kind of a binary by its first bytes and, if a column of declared types is named, by these."""
     head = F.substring(content, 1, 4)
-    return F.when(head == F.lit(b"%PDF"), "pdf").when(F.lower(F.substring(content, 1, 15).cast("string")).rlike("^\\s*<(!doctype html|html)"), "html").when(head == F.lit(b"PK\x03\x04"), "zip").otherwise("other")
+    declared = F.lower(F.coalesce(F.col(content_type), F.lit(""))) if content_type else F.lit("")
+    is_html = F.lower(F.substring(content, 1, 15).cast("string")).rlike("^\\s*<(!doctype html|html)")
+    return F.when((head == F.lit(b"%PDF")) | declared.contains("application/pdf"), "pdf").when(declared.contains("text/html") | is_html, "html").when(head == F.lit(b"PK\x03\x04"), "zip").otherwise("other")
+
+
+def as_pages(rows: list[tuple[str, str]], size: int) -> dict[str, list]:
+    """(root, name) rows as the pages of a service: for each root a list of [JSON rows, next cursor or None]."""
+    out: dict[str, list] = {}
+    for root in {r for r, _ in rows}:
+        own = [json.dumps({"name": n}) for r, n in rows if r == root]
+        parts = [own[k : k + size] for k in range(0, len(own), size)]
+        out[root] = [[p, k + 1 if k + 1 < len(parts) else None] for k, p in enumerate(parts)]
+    return out
 
 
 class PagedSource(DataSource):
     """A paginated service as a Spark source: ``spark.read.format("paged")``, one partition per root.
 
     The option ``client`` is "module:function"; the function takes (root, cursor) and returns (rows, next cursor), each
-    row a JSON text. Any transport fits behind it."""
+    row a JSON text. Any transport fits behind it. ``json`` serves the option ``pages`` (as_pages) itself, for trials."""
 
     @classmethod
     def name(cls) -> str:
@@ -83,8 +120,12 @@ class PagedReader(DataSourceReader):
     def read(self, partition):
         import importlib
 
-        module, function = self.options["client"].split(":")
-        fetch = getattr(importlib.import_module(module), function)
+        if self.options["client"] == "json":
+            stored = json.loads(self.options["pages"])
+            fetch = lambda root, cursor: tuple(stored[root][cursor or 0])
+        else:
+            module, function = self.options["client"].split(":")
+            fetch = getattr(importlib.import_module(module), function)
         cursor, k = None, 0
         while True:
             rows, cursor = fetch(partition.value, cursor)
