@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, written
+from .common import crc_mod, learning, slices, small_batches, worker_cache, written
 
 #: Labelled rows used for learning, per class: a bound in expectation, by the hash of doc_id.
 SAMPLE_PER_CLASS = 5000
@@ -107,10 +107,12 @@ def learn(docs: DataFrame, labels: DataFrame, rows: Column | None = None) -> Lex
     """A lexicon from the labelled documents for which rows (a condition on doc_id) holds.
 
     Without labelled rows of both classes: the seed words alone."""
+    small_batches(docs.sparkSession)
     lexicon = Lexicon(words=dict.fromkeys(SEED, SEED_WEIGHT), exceptions={e: -SEED_WEIGHT for e in EXCEPTIONS})
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        worker_cache("toxicity")
+        for b in (part for batch in batches for part in slices(batch, 1000)):
             for toxic, t in zip(b.column(1).to_pylist(), fold(b.column(0)), strict=True):
                 if w := t.split():
                     yield pa.RecordBatch.from_pydict({"toxic": pa.array([toxic] * len(w), pa.int32()), "before": ["", *w[:-1]], "word": w, "after": [*w[1:], ""]})
@@ -150,8 +152,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: Column | None = None) -> Lex
 
 def measured(lexicon: Lexicon):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         automaton = lexicon.automaton()
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1000)):
             texts = fold(b.column(0))
             _, weight, _ = lexicon.scores(texts, automaton)
             level = lexicon.level(np.maximum(weight, 0), np.array([max(0, t.count(" ") - 1) for t in texts]))
@@ -179,11 +182,13 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFram
     A null or empty text has no match and the score of such a text; repeated rows get equal scores; other columns pass
     through (columns of these two names are replaced)."""
     automata: list = []
+    small_batches(docs.sparkSession)
 
     def f(texts: pa.Array) -> pa.Array:
+        worker_cache("toxicity")
         if not automata:
             automata.append(lexicon.automaton())
-        parts = [lexicon.scores(fold(texts.slice(k, 1000)), automata[0]) for k in range(0, len(texts), 1000)]
+        parts = [lexicon.scores(fold(part), automata[0]) for part in slices(texts, 1000)]
         s, h = (np.concatenate([np.zeros(0), *[p[j] for p in parts]]) for j in (0, 2))
         return pa.StructArray.from_arrays([pa.array(s), pa.array(h.astype(np.int64))], ["score", "hits"])
 
@@ -192,6 +197,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFram
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs whose score stays below the threshold; their columns unchanged."""
-    lexicon = learn(docs, labels, crc_mod("doc_id", 3) != 1)
+    """The rows of docs whose score stays below the threshold; their columns unchanged. A null or empty text stays. Rows
+    without doc_id are scored like all others, but no label is theirs; repeated rows have one score."""
+    lexicon = learn(docs, labels, learning(crc_mod("doc_id", 3), 1)[0])
     return score(docs, lexicon).where(F.col("toxicity") < threshold).select(*docs.columns)
