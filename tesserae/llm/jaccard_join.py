@@ -1,15 +1,17 @@
 """N-gram Jaccard join: near-duplicate documents with Bayesian pruning of candidate pairs.
 
-1. Documents with equal shingle sets form a class; its least doc_id goes on, so exact copies cost a count.
-2. Class representatives that share a band of MinHash values are linked to the band's least document (one link each,
-   not all pairs); connected components of these links are the groups inside which pairs can exist.
-3. Large groups are split into blocks by hash. Each task takes two blocks: pairs are compared by STEP MinHash values
-   at a time and dropped once the posterior probability (uniform prior) of a similarity of at least the threshold is
-   below TOLERANCE; the pairs that are left are verified exactly on their shingle sets. A task returns a number of
-   links for each document and the edges of a spanning forest of the links, never pairs.
+1. Documents with equal shingle sets form one node, whatever their doc_ids, so exact copies cost a count.
+2. Nodes that share a band of MinHash values are linked to the band's least node (one link each, not all pairs);
+   connected components of these links are the groups inside which pairs can exist.
+3. Signatures and shingle sets are computed once for the nodes of groups; texts don't travel. Large groups are split into
+   blocks by hash. Each task takes two blocks: pairs are compared by STEP MinHash values at a time and dropped once the
+   posterior probability (uniform prior) of a similarity of at least the threshold is below TOLERANCE; the pairs that are
+   left are verified exactly on their shingle sets. A task returns a number of links for each node and the edges of a
+   spanning forest of the links, never pairs.
 4. Components of the forest are the classes of near duplicates.
 
-With 32 bands of 5 values a pair at 0.8 is missed with probability 3e-6, and less above.
+Bands, hubs and groups of any size are joined by join_counted, which spreads heavy keys. With 32 bands of 5 values a pair
+at 0.8 is missed with probability 3e-6, and less above.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_below, written
+from .common import broadcast_below, join_counted, slices, small_batches, worker_cache, written
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -31,6 +33,7 @@ THRESHOLD = 0.8
 BANDS, BAND = 32, 5
 STEP = 32
 TOLERANCE = 1e-7
+#: Bounds of a block of documents that a task compares with another one, by number and by bytes of their shingles.
 BLOCK_DOCS = 512
 BLOCK_BYTES = 8 << 20
 BROADCAST_ROWS = 1_000_000
@@ -60,11 +63,11 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def set_key(shingles: np.ndarray) -> bytes:
-    """A 128-bit key of a shingle set."""
+def set_key(shingles: np.ndarray) -> bytes | None:
+    """A 128-bit key of a shingle set; none for the empty set."""
     import hashlib
 
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[int]:
@@ -141,72 +144,115 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     Similarity is the Jaccard similarity of the sets of k-word shingles (fewer than k words: one shingle of all words;
     words are runs of letters, marks and digits in lower case). n_links counts the other rows at the threshold or above,
     copies included. Texts without a word (null, empty, blanks) are linked to nothing and are classes of their own.
-    Rows that share a doc_id are distinct rows of one class at least; rows without doc_id are left out. An empty table
-    gives an empty result; extra columns don't matter."""
-    spark = docs.sparkSession
+    Rows that share a doc_id are rows of their own: each is linked by its own text. Rows without doc_id are left out. An
+    empty table gives an empty result; extra columns don't matter."""
+    return classed(docs, k, threshold).select("doc_id", "class_id", "n_links")
+
+
+def classed(docs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Rows of near_duplicates with set_key and kept_key, the set_key of the row that stands for the class."""
+    small_batches(docs.sparkSession)
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard")
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
+            for b in slices(batch, 1000, 1):
                 sets = shingle_sets(b.column(1), k)
-                keys = [set_key(s) if len(s) else None for s in sets]
                 bands = [band_keys(minhash(s)).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.binary())], ["doc_id", "set_key", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.binary())], ["doc_id", "set_key", "size", "bands"])
 
-    signed = written(docs.mapInArrow(sign, "doc_id long, set_key binary, bands binary"))
-    copies = written(signed.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    reps = signed.join(copies, (signed["doc_id"] == copies["rep"]) & (signed["set_key"] == copies["set_key"])).select("rep", "bands").dropDuplicates(["rep"])
+    signed = written(docs.mapInArrow(sign, "doc_id long, set_key binary, size long, bands binary"))
+    filled = signed.where(F.col("set_key").isNotNull())
+    nodes = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 band = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column(0)), BANDS)), pa.array(band)], ["rep", "band"])
-
-    bands = reps.mapInArrow(explode, "rep long, band long")
-    least = bands.groupBy("band").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "v")
-    links = bands.join(least, "band").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
-    groups = written(components(links))
-
-    weights = copies.select(F.col("rep").alias("node"), "copies")
-    small = broadcast_below(groups, groups.count(), BROADCAST_ROWS)  # two numbers a row; beyond that, a shuffled join
-    texts = docs.join(small, docs["doc_id"] == small["node"]).select("node", "root", "text").join(weights, "node").dropDuplicates(["node"])
-    sizes = texts.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
-    sizes = sizes.select("root", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    texts = written(texts.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    # a document of block i goes to the tasks (i, j) with j >= i and (j, i) with j < i
-    mates = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mate")
-    dealt = texts.select("*", mates).select("root", "node", "text", "copies", "block", F.least("block", "mate").alias("p"), F.greatest("block", "mate").alias("q"))
-
-    def compare(pdf):
-        import pandas as pd
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column(0)), BANDS)), pa.array(band)], ["node", "band"])
+
+    bands = nodes.select("node", "bands").mapInArrow(explode, "node long, band long")
+    least = written(bands.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1"))
+    links = join_counted(bands, least, "band", nodes.count() * BANDS).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    groups = written(components(links).join(nodes.select("node", "set_key", "rep", "copies", "size"), "node"))
+    n_grouped = groups.count()
+    found = written(compared(docs, dealt(groups, n_grouped), n_grouped, k, threshold))
+
+    n_links = found.where("kind = 0").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
+    classes = written(components(found.where("kind = 1").select("u", "v")).join(groups.select("node", "set_key", "rep"), "node"))
+    per_class = written(classes.groupBy("root").agg(F.min(F.struct("rep", "set_key")).alias("kept"), F.count("*").alias("n")))
+    classes = join_counted(classes.select("node", "root"), per_class, "root", classes.count()).select("node", F.col("kept.rep").alias("class_id"), F.col("kept.set_key").alias("kept_key"))
+    merged = nodes.join(n_links, "node", "left").join(classes, "node", "left")
+    merged = written(merged.select("set_key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("kept_key", "set_key").alias("kept_key"), "copies"))
+    cols = "doc_id", "class_id", "n_links", "set_key", "kept_key"
+    out = join_counted(filled.select("doc_id", "set_key"), merged, "set_key", filled.count(), "copies").select(*cols)
+    blank = signed.where(F.col("set_key").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "set_key", F.col("set_key").alias("kept_key"))
+    return out.unionByName(blank)
+
+
+def dealt(groups: DataFrame, n_rows: int) -> DataFrame:
+    """groups with block and blocks: how its group is split."""
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.col("size") * 8).alias("bytes"))
+    sizes = written(sizes.select("root", "n", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")))
+    return join_counted(groups, sizes, "root", n_rows).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def compared(docs: DataFrame, members: DataFrame, n_rows: int, k: int, threshold: float) -> DataFrame:
+    """(u, v, n, kind): kind 0: node u has n links; kind 1: u and v are joined by an edge of the forest."""
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard")
+        for batch in batches:
+            for b in slices(batch, 1000):
+                sets = [s for s in shingle_sets(b.column(0), k) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([minhash(s).tobytes() for s in sets], pa.binary())], ["set_key", "shingles", "signature"])
 
-        block, p, q = pdf["block"].to_numpy(), pdf["p"].iloc[0], pdf["q"].iloc[0]
-        node, copies = pdf["node"].to_numpy(), pdf["copies"].to_numpy()
-        sets = shingle_sets(pa.array(pdf["text"], pa.string()), k)
-        signatures = np.stack([minhash(s) for s in sets])
+    reps = broadcast_below(members.select("rep").distinct(), n_rows, BROADCAST_ROWS)  # a number a row; beyond that, a shuffled join
+    sets = docs.join(reps, docs["doc_id"] == reps["rep"]).select("text").mapInArrow(prepare, "set_key binary, shingles binary, signature binary")
+    sets = written(members.join(sets, "set_key").dropDuplicates(["set_key"]).select("root", "node", "copies", "block", "blocks", "shingles", "signature"))
+    # a document of block i goes to the tasks (i, j) with j >= i and (j, i) with j < i
+    mates = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mate"))
+    mates = mates.select("root", "node", "copies", "block", "shingles", "signature", F.least("block", "mate").alias("p"), F.greatest("block", "mate").alias("q"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        worker_cache("jaccard")
+        block, node, copies = (np.asarray(t.column(c).combine_chunks()) for c in ("block", "node", "copies"))
+        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+        signatures = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(len(sets), -1)
         left = np.flatnonzero(block == p)
         right = left if p == q else np.flatnonzero(block == q)
         a, b = links_between(sets, signatures, left, right, threshold)
         count = np.bincount(a, copies[b], len(node)) + np.bincount(b, copies[a], len(node))
-        tree = forest(a, b, len(node))
+        tree = np.array(forest(a, b, len(node)), np.int64).reshape(-1, 2)
         some = np.flatnonzero(count)
-        return pd.DataFrame({"u": [*node[some], *(node[x] for x, _ in tree)], "v": [*[-1] * len(some), *(node[y] for _, y in tree)], "n": [*count[some].astype(np.int64), *[0] * len(tree)], "kind": [*[0] * len(some), *[1] * len(tree)]})
+        u, v = np.concatenate([node[some], node[tree[:, 0]]]), np.concatenate([np.full(len(some), -1), node[tree[:, 1]]])
+        n, kind = np.concatenate([count[some].astype(np.int64), np.zeros(len(tree), np.int64)]), np.repeat([0, 1], [len(some), len(tree)])
+        return pa.table({"u": u, "v": v, "n": n, "kind": kind.astype(np.int32)})
 
-    found = written(dealt.groupBy("root", "p", "q").applyInPandas(compare, "u long, v long, n long, kind int"))
-    n_links = found.where("kind = 0").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
-    classes = components(found.where("kind = 1").select("u", "v")).select(F.col("node").alias("rep"), "root")
-    merged = copies.join(n_links, "rep", "left").join(classes, "rep", "left").select("set_key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("class_id"))
-    out = signed.select("doc_id", "set_key").join(merged, "set_key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return mates.groupBy("root", "p", "q").applyInArrow(compare, "u long, v long, n long, kind int")
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the near duplicates: of each class the rows of the least doc_id stay (one row of repeated ones).
-
-    Rows without doc_id stay."""
-    lost = near_duplicates(docs, k, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("_lost")).distinct()
-    kept = docs.join(lost, F.col("doc_id").cast("long") == F.col("_lost"), "left_anti")
-    return kept
+    """docs with one row of each class of near duplicates: the row of the least doc_id (any one of rows with equal doc_id
+    and shingles). Rows without doc_id and rows without a word stay."""
+    marked = written(classed(docs, k, threshold).withColumn("kept", (F.col("doc_id") == F.col("class_id")) & F.col("set_key").eqNullSafe(F.col("kept_key"))).select("doc_id", "set_key", "kept"))
+    ids = docs["doc_id"].cast("long")
+    lost = marked.where("NOT kept").select(F.col("doc_id").alias("_lost")).distinct()
+    repeated = written(marked.groupBy(F.col("doc_id").alias("_many")).agg(F.count("*").alias("n")).where("n > 1").select("_many"))
+    n_repeated = repeated.count()
+    if not n_repeated:
+        return docs.join(lost, ids == F.col("_lost"), "left_anti")
+    some = broadcast_below(repeated, n_repeated, BROADCAST_ROWS)
+    single = docs.join(some, ids == F.col("_many"), "left_anti").join(lost, ids == F.col("_lost"), "left_anti")
+
+    def keys(texts: pa.Array) -> pa.Array:
+        return pa.array([set_key(s) for part in slices(texts, 1000) for s in shingle_sets(part, k)], pa.binary())
+
+    many = docs.join(some, ids == F.col("_many"), "left_semi").withColumn("_key", F.arrow_udf(keys, "binary")("text"))
+    blank = many.where(F.col("_key").isNull())
+    kept = marked.where("kept AND set_key IS NOT NULL").join(some, F.col("doc_id") == F.col("_many"), "left_semi").select(F.col("doc_id").alias("_kept"), F.col("set_key").alias("_kept_key")).distinct()
+    chosen = many.join(kept, (ids == F.col("_kept")) & (F.col("_key") == F.col("_kept_key"))).dropDuplicates(["_kept", "_key"])
+    return single.unionByName(blank.unionByName(chosen.select(*blank.columns)).drop("_key"))
