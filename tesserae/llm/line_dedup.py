@@ -3,8 +3,9 @@
 Pass 1 keeps, per task, the bits of the line hashes seen in one document (``once``) and in two (``twice``).
 Tasks emit the bits by segment of the bit space; segments are merged in a tree with a fan-in of 64
 (twice |= once & once'), so no task holds more than 64 slices of one segment. Pass 2 probes ``twice`` and emits
-only suspected lines; their text is grouped exactly. Pass 3 drops the confirmed lines. The filters have a fixed
-size: if they fill up, more lines become suspects and the result stays exact.
+only suspected lines; their text is grouped exactly. Pass 3 drops the confirmed lines. The filters grow with the
+number of lines; beyond PASS_BITS the hash space is split and each part has filters and passes of its own, so a
+task's memory stays the same and the filters never fill up. False positives only mean more suspects.
 """
 
 from __future__ import annotations
@@ -18,12 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_below, written
+from .common import broadcast_below, join_counted, slices, small_batches, worker_cache, written
 
 BLANK = b" \t\n\x0b\x0c\r"
 SEGMENTS = 64
 FAN_IN = 64
 PROBES = 4
+#: Bits of a filter for each key, and of one pass at most (32 MB); more keys take more passes.
+BITS_PER_KEY = 8
+PASS_BITS = 1 << 28
 
 
 def line_key(line: bytes) -> bytes:
@@ -39,6 +43,11 @@ def doc_keys(raw: bytes, min_chars: int) -> set[bytes]:
     return {k for line in raw.split(b"\n") if len(line) >= min_chars and code_points(k := line_key(line)) >= min_chars}
 
 
+def digests_of(keys: list[bytes]) -> np.ndarray:
+    """128-bit digests as rows of two numbers; the first one serves the filters."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), "<u8").reshape(-1, 2)
+
+
 def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
     """PROBES bit positions for each 64-bit hash, by double hashing; bits is a power of two."""
     low, high = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
@@ -60,19 +69,27 @@ def bitmap(points: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(out, bitorder="little")
 
 
-def filter_bits(docs: DataFrame) -> int:
-    """About two bits for each byte of the input, from 2^20 to 2^28 bits (32 MB)."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return 1 << min(28, max(20, (2 * size).bit_length() - 3))
+def filter_bits(docs: DataFrame, min_chars: int) -> tuple[int, int]:
+    """Bits of the filter of a pass and the number of passes, both powers of two, from the number of long lines."""
+    # no more than the text has room for, nor than it has lines
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    n = docs.where(F.length("text") >= min_chars).agg(F.coalesce(F.sum(F.least(lines, F.floor(F.length("text") / min_chars))), F.lit(0))).first()[0]
+    bits = 1 << max(20, (BITS_PER_KEY * int(n)).bit_length())
+    return min(bits, PASS_BITS), max(1, bits // PASS_BITS)
+
 
+def of_pass(hashes: np.ndarray, number: int, passes: int) -> np.ndarray:
+    """Places of the hashes that belong to a pass: their highest bits are its number."""
+    return np.arange(len(hashes)) if passes == 1 else np.flatnonzero(hashes >> np.uint64(65 - passes.bit_length()) == number)
 
-def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
+
+def twice_filter(docs: DataFrame, min_chars: int, bits: int, number: int = 0, passes: int = 1) -> np.ndarray:
     segment = bits // SEGMENTS
-    spark = docs.sparkSession
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        worker_cache("lines")
         seen: list[np.ndarray] = []
         at = TaskContext.get().partitionId()
 
@@ -88,12 +105,12 @@ def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
                     yield pa.RecordBatch.from_pydict({"segment": pa.array([k], pa.int32()), "node": pa.array([at], pa.int64()), "once": [pack(bitmap(a, segment))], "twice": [pack(bitmap(b, segment))]})
 
         for batch in batches:
-            found = [xxhash.xxh3_64_intdigest(k) for t in batch.column(0).cast(pa.binary()).to_pylist() if t for k in doc_keys(t, min_chars)]
-            if found:
-                seen.append(np.array(found, np.uint64))
-            if sum(map(len, seen)) > 2_000_000:
-                yield from emit()
-                seen.clear()
+            for part in slices(batch, 2000):
+                found = digests_of([k for t in part.column(0).cast(pa.binary()).to_pylist() if t for k in doc_keys(t, min_chars)])[:, 0]
+                seen.append(found[of_pass(found, number, passes)])
+                if sum(map(len, seen)) > 1_000_000:
+                    yield from emit()
+                    seen.clear()
         if seen:
             yield from emit()
 
@@ -122,28 +139,43 @@ def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of the suspected lines, and (key, keep_doc, n_docs) of the confirmed ones."""
-    spark, bits = docs.sparkSession, filter_bits(docs)
-    twice = spark.sparkContext.broadcast(twice_filter(docs, min_chars, bits).tobytes())
+    """(doc_id, digest, key) of the suspected lines, and (digest, keep_doc, n) of the confirmed ones; n: the rows of
+    the suspects that have it."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    bits, passes = filter_bits(docs, min_chars)
+    found = None
+    for number in range(passes):
+        part = written(suspected(docs, min_chars, twice_filter(docs, min_chars, bits, number, passes), bits, number, passes))
+        found = part if found is None else found.unionByName(part)
+    in_docs = found.groupBy("key", "doc_id").agg(F.any_value("digest").alias("digest"), F.count("*").alias("n"))
+    confirmed = in_docs.groupBy("key").agg(F.any_value("digest").alias("digest"), F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_doc"), F.sum("n").alias("n"))
+    return found, written(confirmed.where(F.col("n_docs") >= min_docs).select("digest", "keep_doc", "n"))
+
+
+def suspected(docs: DataFrame, min_chars: int, twice: np.ndarray, bits: int, number: int, passes: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(twice.tobytes())  # PASS_BITS / 8 bytes at most
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.frombuffer(twice.value, np.uint8)
+        worker_cache("lines")
+        seen = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            ids, keys = [], []
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                if t and doc is not None:
-                    for k in doc_keys(t, min_chars):
-                        ids.append(doc)
-                        keys.append(k)
-            if not keys:
-                continue
-            at = positions(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), bits)
-            hit = np.flatnonzero(((seen[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0))
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[i] for i in hit], pa.int64()), "key": pa.array([keys[i] for i in hit], pa.binary())})
-
-    suspects = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(probe, "doc_id long, key binary"))
-    confirmed = suspects.distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_doc")).where(F.col("n_docs") >= min_docs)
-    return suspects, confirmed
+            for part in slices(batch, 2000, 1):
+                ids, keys = [], []
+                for doc, t in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                    if t and doc is not None:
+                        own = doc_keys(t, min_chars)
+                        ids += [doc] * len(own)
+                        keys += own
+                if not keys:
+                    continue
+                digests = digests_of(keys)
+                mine = of_pass(digests[:, 0], number, passes)
+                at = positions(digests[mine, 0], bits)
+                hit = mine[((seen[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)]
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[i] for i in hit], pa.int64()), "digest": pa.array([x.tobytes() for x in digests[hit]], pa.binary()), "key": pa.array([keys[i] for i in hit], pa.binary())})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(probe, "doc_id long, digest binary, key binary")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -152,30 +184,32 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     A line's key is the line without ASCII white space at its ends, A-Z in lower case. Keys of at least min_chars
     code points that at least min_docs documents hold lose all their lines but those in the largest doc_id.
     A null text counts as one empty line and becomes the empty text. Rows of one doc_id count as one document; a row
-    without doc_id loses nothing. An empty table gives an empty table. Other columns pass through.
+    without doc_id loses nothing. An empty table gives an empty table. Other columns pass through; columns named n_lines
+    and n_dropped are replaced.
     """
     suspects, confirmed = repeated_lines(docs, min_chars, min_docs)
-
-    def hashed(key: pa.Array) -> pa.Array:
-        return pa.array([xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in key.to_pylist()], pa.int64())
-
-    def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), hashed(b.column(1))], ["_drop_doc", "_drop_key"])
-
-    lost = suspects.distinct().join(confirmed, "key").where("doc_id <> keep_doc").select("doc_id", "key").mapInArrow(hash_rows, "_drop_doc long, _drop_key long")
-    lost = written(lost.groupBy("_drop_doc").agg(F.collect_set("_drop_key").alias("_drop_keys")))
+    # texts stay behind: digests alone are joined, and a line that many documents hold is joined where its rows are
+    lost = join_counted(suspects.select("doc_id", "digest"), confirmed, "digest", suspects.count()).where("doc_id <> keep_doc")
+    lost = written(lost.groupBy(F.col("doc_id").alias("_drop_doc")).agg(F.collect_set("digest").alias("_drop_keys")))
     n = lost.agg(F.count("*"), F.coalesce(F.sum(F.size("_drop_keys")), F.lit(0))).first()
-    lost = broadcast_below(lost, n[0] * 3 + n[1], 1_000_000)  # 8 bytes each, so at most some 10 MB
+    lost = broadcast_below(lost, n[0] * 2 + n[1], 500_000)  # 16 bytes each, so at most some 10 MB
 
     def cut(text: pa.Array, drop: pa.Array) -> pa.Array:
+        worker_cache("lines")
+        parts, at = [], 0
+        for part in slices(text, 2000):
+            parts.append(cut_slice(part, drop.slice(at, len(part))))
+            at += len(part)
+        return pa.concat_arrays(parts) if parts else cut_slice(text, drop)
+
+    def cut_slice(text: pa.Array, drop: pa.Array) -> pa.Array:
         kept, n_lines, n_dropped = [], [], []
         for t, d in zip(text.cast(pa.binary()).to_pylist(), drop.to_pylist(), strict=True):
             lines = (t or b"").split(b"\n")
             n_lines.append(len(lines))
             if d:
                 d = set(d)
-                left = [x for x in lines if len(x) < min_chars or code_points(k := line_key(x)) < min_chars or xxhash.xxh3_64_intdigest(k) - (1 << 63) not in d]
+                left = [x for x in lines if len(x) < min_chars or code_points(k := line_key(x)) < min_chars or xxhash.xxh3_128_digest(k) not in d]
                 n_dropped.append(len(lines) - len(left))
                 kept.append(b"\n".join(left))
             else:
