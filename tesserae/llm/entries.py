@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import class_lm, language
-from .common import crc_mod, table
+from .common import crc_mod, learning, table
 from .decontaminate import contaminated
 from .jaccard_join import near_duplicates
 from .line_dedup import line_dedup
-from .onebit_search import build_index, nearest
+from .onebit_search import build_index, nearest, usable
 from .pii import pseudonymise
 from .sentencepiece_scan import decode, encode
 from .token_files import token_files
@@ -26,26 +26,33 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def op2_pii(spark: SparkSession, sf_dir: str, key: str = "tesserae") -> DataFrame:
+#: The session's setting with the secret key of pseudonyms; without it the query uses the public trial key.
+PII_KEY, TRIAL_KEY = "spark.tesserae.pii.key", "public trial key"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str, key: str | None = None) -> DataFrame:
+    key = key or spark.conf.get(PII_KEY, TRIAL_KEY)
     return pseudonymise(table(spark, sf_dir, "documents"), key).select("doc_id", "text", "n_pii")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 3) == 1
-    out = score(docs, learn(docs, table(spark, sf_dir, "labels"), ~held_out))
+    """A row without doc_id is scored; it counts as not held out and no label is learned with it."""
+    docs, (known, held_out) = table(spark, sf_dir, "documents"), learning(crc_mod("doc_id", 3), 1)
+    out = score(docs, learn(docs, table(spark, sf_dir, "labels"), known))
     return out.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"), F.col("toxic_hits").alias("hits"))
 
 
 def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2
-    model = class_lm.train(docs.where(~held_out))
+    """A row without doc_id is scored; it counts as not held out and its text is not learned from."""
+    docs, (known, held_out) = table(spark, sf_dir, "documents"), learning(crc_mod("doc_id", 7), 2)
+    model = class_lm.train(docs.where(known))
     out = class_lm.score(docs, model)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op5_onebit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, dim = build_index(table(spark, sf_dir, "embeddings"))
-    return nearest(index, index.where("vec_id % 50 = 0").select("vec_id", "vector"), dim, k=5)
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(build_index(vectors), usable(vectors).where("vec_id % 50 = 0"), k=5)
 
 
 OP5_SQL = """
@@ -72,8 +79,9 @@ def op6_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str | None
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 4) == 2
-    out = language.identify(docs, language.learn(docs, ~held_out))
+    """A row without doc_id gets a language; it counts as not held out and is not learned from."""
+    docs, (known, held_out) = table(spark, sf_dir, "documents"), learning(crc_mod("doc_id", 4), 2)
+    out = language.identify(docs, language.learn(docs, known))
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 

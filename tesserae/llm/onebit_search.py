@@ -1,28 +1,43 @@
-"""Nearest neighbours by randomly rotated one-bit codes with error bounds.
-
-Index: each unit vector o is rotated by a fixed random orthogonal matrix; its code is the signs of the rotated
-components (D bits, packed), with one scalar s = <code, Ro>, where code has entries +-1/sqrt(D). For a query q the
-inner product <o, q> is estimated by <code, Rq> / s; with probability about 1 - 2 exp(-c * EPSILON^2) the error stays
-below sqrt((1 - s^2) / s^2) * EPSILON / sqrt(D - 1). Search: queries come in blocks of a fixed size, each block is
-broadcast and scanned against the codes. A row whose upper bound lies below the k-th largest exact score found so far
-is dropped; the rest is reranked by the exact cosine in double precision. Each task keeps k rows for each query, and
-only those are shuffled.
+"""Nearest neighbours by randomly rotated one-bit codes with error bounds, over coarse cells.
+
+Index: vectors of each dimension are indexed on their own. A sample of at most SAMPLE unit vectors gives the centroids of
+the cells; every row goes to the cell of its closest centroid, and a cell's radius is the largest angle between its rows
+and its centroid. Cells are dealt into blocks of a bounded size; a block packs ids, codes, scalars and original vectors.
+Each unit vector o is rotated by a fixed random orthogonal matrix; its code is the signs of the rotated components (D bits
+in 64-bit words), with one scalar s = <code, Ro>, where code has entries +-1/sqrt(D).
+
+Search: for a query q the inner product <o, q> is estimated by <code, Rq> / s. Rq is rounded to PLANES bits a component,
+so that the sum needs only AND and popcount on packed words. The estimate is off by at most the rounding (a fixed bound)
+and, with probability about 1 - 2 exp(-c * EPSILON^2), by sqrt((1 - s^2) / s^2) * EPSILON / sqrt(D - 1). Rows whose upper
+bound lies below the k-th best exact score known are dropped; only the others' original vectors are read, for the exact
+cosine in double precision. First each query is compared with its own cell, then with every cell that can hold a nearer
+row: one whose centroid's angle less its radius is small enough. Queries are packed into blocks and joined to the cells'
+blocks, so neither the driver nor the plan grows with their number; each pair of blocks returns k rows for each query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
-EPSILON = 3.0
-QUERY_BLOCK = 4096
-CODE_SCHEMA = "vec_id long, vector array<double>, code binary, scalar double"
+EPSILON = 4.0
+PLANES = 6
+#: Rows that the centroids of one dimension are fitted on (a bound in expectation by the hash of vec_id, and twice it at most).
+SAMPLE = 16384
+MAX_CELLS = 1024
+#: Bounds of a block of the index and of a block of queries.
+BLOCK_ROWS, BLOCK_BYTES, QUERY_ROWS = 8192, 4 << 20, 1024
+ROWS = "dim int, cell int, angle double, vec_id long, vector binary, code binary, scalar double"
+BLOCKS = "dim int, cell int, block int, ids binary, codes binary, scalars binary, vectors binary"
+FOUND = "query_id long, vec_id long, score double"
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -30,58 +45,175 @@ def rotation(dim: int, seed: int = 7) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def packed_words(bits: np.ndarray) -> np.ndarray:
+    """Rows of booleans as rows of 64-bit words, the last one filled up with zeros."""
+    raw = np.packbits(bits, axis=1, bitorder="little")
+    out = np.zeros((len(bits), -(-bits.shape[1] // 64) * 8), np.uint8)
+    out[:, : raw.shape[1]] = raw
+    return out.view("<u8")
+
+
 def encode_codes(units: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed signs and scalars of unit vectors."""
     turned = units @ turn.T
-    signs = turned >= 0
-    return np.packbits(signs, axis=1, bitorder="little"), np.abs(turned).sum(axis=1) / np.sqrt(units.shape[1])
-
-
-def signs_of(codes: np.ndarray, dim: int) -> np.ndarray:
-    bits = np.unpackbits(codes, axis=1, count=dim, bitorder="little")
-    return (bits.astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
+    return packed_words(turned >= 0), np.abs(turned).sum(axis=1) / np.sqrt(units.shape[1])
 
 
 def error_bound(scalars: np.ndarray, dim: int, epsilon: float) -> np.ndarray:
     return np.sqrt(np.maximum(0, 1 - scalars**2)) / scalars * epsilon / np.sqrt(max(1, dim - 1)) + 1e-5
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """Rows whose vector is not null, not zero and free of null or non-finite components."""
+class Queries:
+    """Rotated unit vectors, rounded to PLANES bits for each component."""
+
+    def __init__(self, units: np.ndarray, turn: np.ndarray):
+        turned = units @ turn.T
+        self.dim = units.shape[1]
+        self.low = turned.min(axis=1)
+        self.step = np.maximum(turned.max(axis=1) - self.low, 1e-12) / ((1 << PLANES) - 1)
+        whole = np.rint((turned - self.low[:, None]) / self.step[:, None]).astype(np.int64)
+        self.planes = [packed_words(whole >> p & 1 == 1) for p in range(PLANES)]
+        self.sums = turned.sum(axis=1)
+
+    def upper(self, codes: np.ndarray, scalars: np.ndarray, epsilon: float) -> np.ndarray:
+        """queries x rows: upper bounds of the inner products."""
+        ones = np.bitwise_count(codes).sum(axis=1, dtype=np.float64)
+        total = np.zeros((len(self.low), len(codes)), np.uint32)
+        for p, plane in enumerate(self.planes):
+            for w in range(codes.shape[1]):
+                total += np.bitwise_count(plane[:, w, None] & codes[None, :, w]).astype(np.uint32) << np.uint32(p)
+        out = total * self.step[:, None]
+        out += self.low[:, None] * ones  # the sum of the rounded components under one bits
+        out *= 2
+        out -= self.sums[:, None]
+        out += self.step[:, None] * ones  # half a step for each one bit, twice
+        out /= np.sqrt(self.dim) * scalars
+        return out + error_bound(scalars, self.dim, epsilon)
+
+
+def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, vector) of the rows whose vector is not null, not zero and free of null or non-finite components."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     v = F.col("vector")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
 
 
-def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(-1, dim)
+def matrices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each dimension in a column of lists: the dimension, the rows that have it, and their vectors."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        yield int(d), at, np.asarray(column.take(pa.array(at)).flatten()).reshape(-1, int(d))
 
 
 def norms(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", x, x))
 
 
-def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", dim: int | None = None) -> tuple[DataFrame, int]:
-    """The index table (vec_id, vector, code, scalar) and the dimension. Every usable row of that dimension is indexed.
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that squares don't overflow and cosines keep every bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
-    dim: None takes the dimension that most rows have (the smaller one of equals); others can't be compared with it."""
-    rows = usable(vectors, id_col, vector_col)
-    if dim is None:
-        found = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-        dim = found["d"] if found else 1
-    turn = rotation(dim)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def units_of(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / norms(x)[:, None]
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = scaled(a), scaled(b)
+    return np.einsum("ij,ij->i", a, b) / (norms(a) * norms(b))
+
+
+def raw_rows(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    x = np.ascontiguousarray(x)
+    size = x.shape[1] * x.itemsize
+    offsets = (np.arange(len(x) + 1) * size).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(x.tobytes())])
+
+
+@dataclass
+class Cells:
+    """The cells of one dimension; numbers by cell."""
+
+    centroids: np.ndarray
+    rows: np.ndarray
+    blocks: np.ndarray
+    radius: np.ndarray
+
+
+@dataclass
+class Index:
+    blocks: DataFrame  # BLOCKS
+    cells: dict[int, Cells]  # by dimension
+
+
+def centroids_of(sample: np.ndarray, n_rows: int) -> np.ndarray:
+    """Unit centroids of about sqrt(n_rows) / 8 cells, by a few rounds of spherical k-means."""
+    x = np.unique(units_of(sample), axis=0)
+    k = min(len(x), MAX_CELLS, max(1, int(np.sqrt(n_rows) / 8)))
+    out = x[np.random.default_rng(3).choice(len(x), k, replace=False)]
+    for _ in range(8):
+        sums = np.zeros_like(out)
+        np.add.at(sums, (x @ out.T).argmax(axis=1), x)
+        size = norms(sums)
+        out = np.where(size[:, None] > 1e-9, sums / np.maximum(size, 1e-9)[:, None], out)
+    return out
+
+
+def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> Index:
+    """Every usable row is indexed, each dimension on its own."""
+    spark = vectors.sparkSession
+    small_batches(spark)
+    rows = usable(vectors, id_col, vector_col)
+    counts = {r["dim"]: r["n"] for r in rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).collect()}  # a row for each dimension
+    centroids = {}
+    for dim, n in counts.items():
+        share = int(min(1.0, SAMPLE / n) * (1 << 20))
+        some = rows.where((F.size("vector") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) <= share)).limit(2 * SAMPLE).toArrow()
+        if not some.num_rows:  # a small table may have no row in the sample
+            some = rows.where(F.size("vector") == dim).limit(1).toArrow()
+        centroids[dim] = centroids_of(np.asarray(some.column("vector").combine_chunks().flatten()).reshape(-1, dim), n)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns: dict[int, np.ndarray] = {}
         for b in batches:
             if not b.num_rows:
                 continue
-            x = matrix(b.column(1), dim)
-            x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
-            codes, scalars = encode_codes(x / norms(x)[:, None], turn)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scalars)], ["vec_id", "vector", "code", "scalar"])
-
-    return written(rows.where(F.size("vector") == dim).mapInArrow(encode, CODE_SCHEMA)), dim
+            for dim, at, x in matrices(b.column(1)):
+                if dim not in turns:
+                    turns[dim] = rotation(dim)
+                units = units_of(x)
+                near = units @ centroids[dim].T
+                cell = near.argmax(axis=1)
+                angle = np.arccos(np.clip(near[np.arange(len(x)), cell], -1, 1))
+                codes, scalars = encode_codes(units, turns[dim])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(angle), b.column(0).take(pa.array(at)), raw_rows(x), raw_rows(codes), pa.array(scalars)], ["dim", "cell", "angle", "vec_id", "vector", "code", "scalar"])
+
+    coded = written(rows.mapInArrow(assign, ROWS))
+    cells = {dim: Cells(c, *(np.zeros(len(c), t) for t in (np.int64, np.int64, float))) for dim, c in centroids.items()}
+    for r in coded.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect():  # MAX_CELLS rows for each dimension
+        own = cells[r["dim"]]
+        size = max(64, min(BLOCK_ROWS, BLOCK_BYTES // (8 * r["dim"])))
+        own.rows[r["cell"]], own.blocks[r["cell"]], own.radius[r["cell"]] = r["n"], -(-r["n"] // size), r["radius"] + 1e-6
+    if not cells:
+        return Index(spark.createDataFrame([], BLOCKS), {})
+
+    def deal(dim: pa.Array, cell: pa.Array, n: pa.Array) -> pa.Array:
+        d, c, k = (np.asarray(x) for x in (dim, cell, n))
+        blocks = np.array([cells[i].blocks[j] for i, j in zip(d.tolist(), c.tolist(), strict=True)], np.int64)
+        return pa.array((k % np.maximum(blocks, 1)).astype(np.int32))
+
+    def pack(t: pa.Table) -> pa.Table:
+        joined = [b"".join(t.column(c).to_pylist()) for c in ("code", "vector")]
+        ids, scalars = (np.asarray(t.column(c).combine_chunks()).tobytes() for c in ("vec_id", "scalar"))
+        key = {c: pa.array([t.column(c)[0].as_py()], pa.int32()) for c in ("dim", "cell", "block")}
+        return pa.table(key | {"ids": pa.array([ids], pa.binary()), "codes": [joined[0]], "scalars": [scalars], "vectors": [joined[1]]})
+
+    numbered = coded.withColumn("block", F.arrow_udf(deal, "int")("dim", "cell", F.monotonically_increasing_id()))
+    return Index(written(numbered.groupBy("dim", "cell", "block").applyInArrow(pack, BLOCKS)), cells)
 
 
 def best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -93,79 +225,126 @@ def best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.n
     return order[place < k]
 
 
-def search_block(index: DataFrame, query_ids: np.ndarray, queries: np.ndarray, dim: int, k: int, epsilon: float) -> DataFrame:
-    sc = index.sparkSession.sparkContext
-    shared = sc.broadcast((query_ids, queries))  # QUERY_BLOCK vectors at most
+def search_block(queries: tuple[np.ndarray, ...], block: tuple[np.ndarray, ...], k: int, epsilon: float, turn: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(query, row, score) of each query's k best rows of the block that reach its floor.
+
+    queries: ids, vectors, floors (the k-th best score known); block: ids, codes, scalars, vectors."""
+    ids_q, full, floor = queries
+    ids, codes, scalars, x = block
+    coded, floor = Queries(units_of(full), turn), floor.copy()
+    parts = [], [], []
+    for a in range(0, len(ids_q), 128):
+        rows = slice(a, a + 128)
+        some = Queries.__new__(Queries)
+        some.dim, some.low, some.step, some.sums = coded.dim, coded.low[rows], coded.step[rows], coded.sums[rows]
+        some.planes = [p[rows] for p in coded.planes]
+        upper = some.upper(codes, scalars, epsilon)
+        other = ids[None, :] != ids_q[rows, None]
+        upper[~other] = -np.inf
+        done = np.zeros(upper.shape, bool)
+        if not np.isfinite(floor[rows]).all():  # no floor yet: one from the best bounds
+            first = np.argpartition(-upper, min(k, upper.shape[1] - 1), axis=1)[:, : k + 1]
+            np.put_along_axis(done, first, True, axis=1)
+            done &= other
+            q, r = np.nonzero(done)
+            score = cosine(full[rows][q], x[r])
+            kth = np.full(len(upper), -np.inf)
+            pick = best(q, ids[r], score, k)
+            n = np.bincount(q[pick], minlength=len(upper))
+            ends = np.cumsum(n)[n == k] - 1
+            kth[n == k] = score[pick][ends]
+            floor[rows] = np.maximum(floor[rows], kth)
+            parts[0].append(q + a)
+            parts[1].append(r)
+            parts[2].append(score)
+        q, r = np.nonzero((upper >= floor[rows, None]) & other & ~done)
+        for s in range(0, len(q), 50_000):
+            parts[0].append(q[s : s + 50_000] + a)
+            parts[1].append(r[s : s + 50_000])
+            parts[2].append(cosine(full[rows][q[s : s + 50_000]], x[r[s : s + 50_000]]))
+    q, r, score = (np.concatenate([np.zeros(0, t), *p]) for p, t in zip(parts, (np.int64, np.int64, float), strict=True))
+    keep = score >= floor[q]
+    q, r, score = q[keep], r[keep], score[keep]
+    pick = best(q, ids[r], score, k)
+    return q[pick], r[pick], score[pick]
+
+
+def scanned(blocks: DataFrame, packed: DataFrame, k: int, epsilon: float) -> DataFrame:
+    """FOUND for packed queries (dim, cell, block, query_ids, queries, floors) against the blocks of the index."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_q, full = shared.value
-        unit = full / np.abs(full).max(axis=1, keepdims=True)
-        unit = unit / norms(unit)[:, None]
-        turned = (unit @ rotation(dim).T).astype(np.float32)
-        kth = np.full(len(ids_q), -np.inf)
-        top = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                b = batch.slice(at, 2048)
-                ids, x = np.asarray(b.column(0)), matrix(b.column(1), dim)
-                codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
-                scalars = np.asarray(b.column(3))
-                upper = turned @ signs_of(codes, dim).T
-                upper = upper / scalars + error_bound(scalars, dim, epsilon)
-                left = np.ones(upper.shape, bool)
-                if not np.isfinite(kth).all():  # the first rows of a task: a floor from the best estimates
-                    some = np.argsort(-upper, axis=1, kind="stable")[:, : k + 1]
-                    keep = np.zeros(upper.shape, bool)
-                    np.put_along_axis(keep, some, True, axis=1)
-                    top, kth = rerank(top, keep, ids, x, ids_q, full, kth)
-                    left = ~keep
-                top, kth = rerank(top, left & (upper >= kth[:, None]), ids, x, ids_q, full, kth)
-        q, v, s = top
-        yield pa.RecordBatch.from_arrays([pa.array(ids_q[q]), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
-
-    def rerank(top, keep, ids, x, ids_q, full, kth):
-        q, r = np.nonzero(keep & (ids[None, :] != ids_q[:, None]))
-        score = np.empty(len(q))
-        for a in range(0, len(q), 100_000):
-            left, right = full[q[a : a + 100_000]], x[r[a : a + 100_000]]
-            score[a : a + 100_000] = cosine(left, right)
-        q, v, s = np.concatenate([top[0], q]), np.concatenate([top[1], ids[r]]), np.concatenate([top[2], score])
-        pick = best(q, v, s, k)
-        q, v, s = q[pick], v[pick], s[pick]
-        kth = np.full(len(ids_q), -np.inf)
-        ends = np.concatenate([q[1:] != q[:-1], [True]]) if len(q) else np.zeros(0, bool)
-        counts = np.bincount(q, minlength=len(ids_q))
-        kth[q[ends]] = np.where(counts[q[ends]] >= k, s[ends], -np.inf)
-        return (q, v, s), kth
-
-    return index.mapInArrow(scan, "query_id long, vec_id long, score double")
+        turns: dict[int, np.ndarray] = {}
+        for b in batches:
+            for row in range(b.num_rows):
+                dim = b.column("dim")[row].as_py()
+                if dim not in turns:
+                    turns[dim] = rotation(dim)
+                raw = lambda c, t: np.frombuffer(b.column(c)[row].as_buffer(), t)  # noqa: B023, E731
+                ids, ids_q = raw("ids", "<i8"), raw("query_ids", "<i8")
+                block = ids, raw("codes", "<u8").reshape(len(ids), -1), raw("scalars", "<f8"), raw("vectors", "<f8").reshape(-1, dim)
+                q, r, score = search_block((ids_q, raw("queries", "<f8").reshape(-1, dim), raw("floors", "<f8")), block, k, epsilon, turns[dim])
+                yield pa.RecordBatch.from_arrays([pa.array(ids_q[q]), pa.array(ids[r]), pa.array(score)], ["query_id", "vec_id", "score"])
 
+    return written(blocks.join(packed, ["dim", "cell", "block"]).mapInArrow(scan, FOUND))
 
-def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.einsum("ij,ij->i", a, b) / (norms(a) * norms(b))
 
+PACKED = "dim int, cell int, block int, query_ids binary, queries binary, floors binary"
 
-def nearest(index: DataFrame, queries: DataFrame, dim: int, k: int = 5, epsilon: float = EPSILON) -> DataFrame:
+
+def nearest(index: Index, queries: DataFrame, k: int = 5, epsilon: float = EPSILON) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows of the index by cosine, its own id left out.
 
-    queries: rows (vec_id, vector) with usable vectors. Ties go to the smaller vec_id. Rows that share a vec_id count as
-    candidates each, and as one query (the first by its vector). Fewer than k candidates: all of them. No usable
-    vector: an empty result. Null, zero and non-finite vectors and other dimensions take no part."""
-    spark = index.sparkSession
-    queries = written(queries.where(F.size("vector") == dim).groupBy("vec_id").agg(F.min("vector").alias("vector")))
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    found = None
-    for block in range(blocks):
-        rows = numbered.where(F.col("block") == block).select("vec_id", "vector").toArrow()
-        ids = rows.column("vec_id").to_numpy()
-        vectors = np.array(rows.column("vector").to_pylist(), np.float64).reshape(len(ids), dim)
-        for at in range(0, max(1, len(ids)), QUERY_BLOCK):
-            if len(ids):
-                part = search_block(index, ids[at : at + QUERY_BLOCK], vectors[at : at + QUERY_BLOCK], dim, k, epsilon)
-                found = part if found is None else found.unionByName(part)
-    if found is None:
+    queries: rows (vec_id, vector) with usable vectors; a query is compared with the rows of its own dimension. Ties go to
+    the smaller vec_id. Rows that share a vec_id count as candidates each, and as one query (the least by its vector).
+    Fewer than k candidates: all of them. No usable vector: an empty result. Null, zero and non-finite vectors take no
+    part."""
+    spark, cells = queries.sparkSession, index.cells
+    small_batches(spark)
+    if not cells:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            for dim, at, x in matrices(b.column(1)):
+                if dim in cells:
+                    near = (units_of(x) @ cells[dim].centroids.T).argmax(axis=1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), dim, np.int32)), pa.array(near), b.column(0).take(pa.array(at)), raw_rows(x)], ["dim", "home", "vec_id", "vector"])
+
+    single = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    placed = written(single.mapInArrow(home, "dim int, home int, vec_id long, vector binary").withColumn("n", F.monotonically_increasing_id()))
+    parts = lambda n: F.ceil(n / QUERY_ROWS)
+
+    def packs(t: pa.Table, floors: np.ndarray, targets: list[tuple[int, np.ndarray]]) -> pa.Table:
+        """Rows of PACKED: for each target cell the queries that mark picks, once for each of its blocks."""
+        dim, out = t.column("dim")[0].as_py(), []
+        ids, vectors = np.asarray(t.column("vec_id").combine_chunks()), t.column("vector").to_pylist()
+        for cell, mark in targets:
+            at = np.flatnonzero(mark)
+            if len(at):
+                row = ids[at].tobytes(), b"".join([vectors[i] for i in at.tolist()]), floors[at].tobytes()
+                out += [(dim, cell, b, *row) for b in range(int(cells[dim].blocks[cell]))]
+        types = [pa.int32()] * 3 + [pa.binary()] * 3
+        return pa.table({f.split()[0]: pa.array([o[j] for o in out], types[j]) for j, f in enumerate(PACKED.split(", "))})
+
+    def at_home(t: pa.Table) -> pa.Table:
+        return packs(t, np.full(t.num_rows, -np.inf), [(t.column("home")[0].as_py(), np.ones(t.num_rows, bool))])
+
+    def elsewhere(t: pa.Table) -> pa.Table:
+        dim = t.column("dim")[0].as_py()
+        own, floors, homes = cells[dim], np.asarray(t.column("floor").combine_chunks()), np.asarray(t.column("home").combine_chunks())
+        units = units_of(np.frombuffer(b"".join(t.column("vector").to_pylist()), "<f8").reshape(-1, dim))
+        angles = np.arccos(np.clip(units @ own.centroids.T, -1, 1))
+        bound = np.cos(np.maximum(0, angles - own.radius)) + 1e-9
+        return packs(t, floors, [(c, (bound[:, c] >= floors) & (homes != c)) for c in range(len(own.rows)) if own.rows[c]])
+
+    by_home = placed.join(F.broadcast(sized := written(placed.groupBy("dim", "home").agg(F.count("*").alias("size")))), ["dim", "home"])  # MAX_CELLS rows for each dimension
+    first = scanned(index.blocks, by_home.groupBy("dim", "home", F.pmod("n", parts(F.col("size"))).alias("deal")).applyInArrow(at_home, PACKED), k, epsilon)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    top = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    rest = placed.join(top, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    rest = rest.join(F.broadcast(sized.groupBy("dim").agg(F.sum("size").alias("size"))), "dim")  # a row for each dimension
+    second = scanned(index.blocks, rest.groupBy("dim", F.pmod("n", parts(F.col("size"))).alias("deal")).applyInArrow(elsewhere, PACKED), k, epsilon)
+    found = first.unionByName(second)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
