@@ -8,7 +8,7 @@ every document, and different values different ones:
     phone          area 200-999, exchange 200-999, line 0000-9999; all other areas and exchanges among themselves
     IPv4           all 2^32 addresses
     SSN            valid areas, groups and serials
-    date           days of a 400-year cycle from 1800 on (146,097 days), written in the same order and separators
+    date           days of a block of 400 years, written in the same order and separators; day and month first apart
     e-mail         local part: letters and digits inside their class, domain kept
 
 Numbers joined by single separators may hold several values or others beside them; from 13 digits on, such a run is
@@ -160,28 +160,94 @@ def ssn(m: Column, key: str) -> Column:
     return F.when((area >= 1) & (area <= 899) & (area != 666) & (group >= 1) & (serial >= 1), let(moved, written))
 
 
-CYCLE = 146097
+#: Years go in blocks of 400, which all have 146,097 days: 200-599, ..., 9400-9799. What is left at both ends of the four
+#: digits, 9800-9999 and then 1-199, makes one more block of 399 years.
+BLOCK_YEARS, FIRST_YEAR, LAST_YEAR = 400, 200, 9800
+BLOCK_DAYS, EDGE_DAYS = 5411 * 27, 1567 * 93
+#: Days of the edge block before year 1.
+EDGE_HEAD = 73048
+#: Days 13 and later of the months before each month, in a year without 29 February.
+LATE_DAYS = (0, 19, 35, 54, 72, 91, 109, 128, 147, 165, 184, 202, 221)
 
 
-def moved_day(day: Column, key: str) -> Column:
-    first = F.lit("1800-01-01").cast("date")
+def in_block(year: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f(place of a year in its block, years of the block)."""
+    edge = (year < FIRST_YEAR) | (year >= LAST_YEAR)
+    place = F.when(year >= LAST_YEAR, year - LAST_YEAR).when(year < FIRST_YEAR, year + 199).otherwise((year - FIRST_YEAR) % BLOCK_YEARS)
+    return f(long(place), F.when(edge, 399).otherwise(BLOCK_YEARS).cast("long"))
 
-    def move(since: Column) -> Column:
-        inside = F.pmod(since, F.lit(CYCLE).cast("long"))
-        return F.date_add(first, (since - inside + feistel(inside, F.lit(5411).cast("long"), F.lit(27).cast("long"), key, "date")).cast("int"))
 
-    return let(long(F.datediff(day, first)), move)
+def year_at(year: Column, place: Column) -> Column:
+    """The year at that place of the block that year lies in."""
+    edge = F.when(place < 200, LAST_YEAR + place).otherwise(place - 199)
+    return F.when((year < FIRST_YEAR) | (year >= LAST_YEAR), edge).otherwise(year - (year - FIRST_YEAR) % BLOCK_YEARS + place)
 
 
-def date(m: Column, key: str) -> Column:
-    """Year first, else day first, else month first, whichever the calendar allows."""
+def is_leap(year: Column) -> Column:
+    return (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
 
-    def written(order: str) -> Column:
-        read = F.to_date(F.when(F.try_to_timestamp(F.regexp_replace(m, "[/.]", "-"), F.lit(order)).isNotNull(), F.regexp_replace(m, "[/.]", "-")), order)
-        return F.replace(F.date_format(moved_day(read, key), order), F.lit("-"), F.regexp_extract(m, "([-/.])", 1))
 
-    year_first = m.rlike("^[0-9]{4}") & ~F.substring(m, 1, 4).eqNullSafe("0000")
-    return F.when(year_first, written("yyyy-MM-dd")).when(~m.rlike("0000$"), F.coalesce(written("dd-MM-yyyy"), written("MM-dd-yyyy")))
+def is_date(year: Column, month: Column, day: Column) -> Column:
+    most = F.when(month == 2, 28 + is_leap(year).cast("int")).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    return (year >= 1) & month.between(1, 12) & (day >= 1) & (day <= most)
+
+
+def moved_day(year: Column, month: Column, day: Column, key: str) -> Column:
+    """A date of the same block of years, by a permutation of its days."""
+    date, edge = F.make_date(year, month, day), (year < FIRST_YEAR) | (year >= LAST_YEAR)
+    first = lambda y: F.make_date(y, F.lit(1), F.lit(1))
+    start = first((year - (year - FIRST_YEAR) % BLOCK_YEARS).cast("int"))
+    inside = long(F.datediff(date, start))
+    ends = long(F.when(year >= LAST_YEAR, F.datediff(date, first(F.lit(LAST_YEAR)))).otherwise(F.datediff(date, first(F.lit(1))) + EDGE_HEAD))
+    moved = lambda x, a, b, kind: feistel(x, F.lit(a).cast("long"), F.lit(b).cast("long"), key, kind)
+    back = lambda x: F.when(x < EDGE_HEAD, F.date_add(first(F.lit(LAST_YEAR)), x.cast("int"))).otherwise(F.date_add(first(F.lit(1)), (x - EDGE_HEAD).cast("int")))
+    return F.when(edge, let(moved(ends, 1567, 93, "date edge"), back)).otherwise(F.date_add(start, moved(inside, 5411, 27, "date").cast("int")))
+
+
+def date_parts(m: Column, starts: tuple[int, int, int]) -> list[Column]:
+    """Year and two other numbers at these places."""
+    return [F.substring(m, at, n).cast("int") for at, n in zip(starts, (4, 2, 2), strict=True)]
+
+
+def ymd(m: Column, key: str) -> Column:
+    year, month, day = date_parts(m, (1, 6, 9))
+    written = lambda x: F.replace(F.date_format(x, "yyyy-MM-dd"), F.lit("-"), F.substring(m, 5, 1))
+    return F.when(is_date(year, month, day), let(moved_day(year, month, day, key), written))
+
+
+def dmy(m: Column, key: str) -> Column:
+    """A day and a month in either order, and a year.
+
+    Strings that can be read both ways (two numbers up to 12) are permuted among themselves, so are those with the day
+    first, and those with the month first: a pseudonym can be read just as its original, and no two of them meet. In the
+    latter two the days from 13 on go by their place in a year of 221 such days; 29 February is moved among leap years."""
+    year, one, two = date_parts(m, (7, 1, 4))
+    mark = F.substring(m, 3, 1)
+    text = lambda a, b, y: F.concat_ws("", padded(a, 2), mark, padded(b, 2), mark, padded(y, 4))
+
+    def both() -> Column:
+        value = in_block(year, lambda place, years: feistel(place * 144 + (one - 1) * 12 + two - 1, years, F.lit(144).cast("long"), key, "date either way"))
+        return let(value, lambda x: text(whole(x, 12) % 12 + 1, x % 12 + 1, year_at(year, whole(x, 144))))
+
+    before = F.array(*[F.lit(n) for n in LATE_DAYS])
+
+    def ordered(day: Column, month: Column, first: bool) -> Column:
+        write = lambda d, mo, y: text(d, mo, y) if first else text(mo, d, y)
+        place = long(F.element_at(before, month) + day - 13)
+        value = in_block(year, lambda at, years: feistel(at * 221 + place, years, F.lit(221).cast("long"), key, "date late"))
+
+        def late(x: Column) -> Column:
+            at = x % 221
+            return let(F.size(F.filter(before, lambda n: n <= at)), lambda mo: write(at - F.element_at(before, mo) + 13, mo, year_at(year, whole(x, 221))))
+
+        # the leap years of a block, by place: every fourth one but for three (the edge block: four) of its centuries
+        leaps = lambda years: F.filter(F.sequence(F.lit(0).cast("long"), years - 1), lambda at: is_leap(year_at(year, at)))
+        by = F.pmod(prf(key, "date leap day", F.lit(0)), F.lit(97).cast("long"))
+        leap = in_block(year, lambda at, years: let(leaps(years), lambda all_: F.element_at(all_, (F.pmod(F.array_position(all_, at) - 1 + by, F.size(all_)) + 1).cast("int"))))
+        return F.when((month == 2) & (day == 29), write(F.lit(29), F.lit(2), year_at(year, leap))).otherwise(let(value, late))
+
+    either = one.between(1, 12) & two.between(1, 12) & (year >= 1)
+    return F.when(either, both()).when((one > 12) & is_date(year, two, one), ordered(one, two, True)).when((two > 12) & is_date(year, one, two), ordered(two, one, False))
 
 
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
@@ -220,8 +286,8 @@ KINDS: list[tuple[str, Callable[[Column, str], Column]]] = [
     (EMAIL, email),
     (PHONE, phone),
     (SSN, ssn),
-    (YMD, date),
-    (DMY.replace(r"\2", r"\1"), date),
+    (YMD, ymd),
+    (DMY.replace(r"\2", r"\1"), dmy),
     (IPV4, ipv4),
     (CARD, card),
 ]
