@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, small_batches, worker_cache, written
 
 UNITS_WORDS = 767
 UNITS_SHAPES = 256
@@ -59,6 +59,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts; the end is the empty word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("class lm")
         for b in batches:
             words, n_words = tokens_of(b.column(0))
             found = words.value_counts()
@@ -71,11 +72,19 @@ def shape(word: str) -> int:
     return 1 + UNITS_WORDS + zlib.crc32(word[-3:].encode()) % UNITS_SHAPES
 
 
-def units_of(words: list[str], top: dict[str, int]) -> np.ndarray:
-    return np.array([top.get(w) or shape(w) for w in words], np.int64)
+def shapes(words: pa.Array) -> np.ndarray:
+    """shape() of all words; endings are few."""
+    ends = pc.utf8_slice_codeunits(words, -3).dictionary_encode()
+    return np.array([shape(e) for e in ends.dictionary.to_pylist()] or [0], np.int64)[np.asarray(ends.indices)]
 
 
-def unit_pairs(docs: DataFrame, top: dict[str, int]) -> np.ndarray:
+def units_of(words: pa.Array, top: pa.Array) -> np.ndarray:
+    """top: the words of units 1, 2, ..."""
+    found = pc.fill_null(pc.index_in(words, value_set=top), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.where(found >= 0, found + 1, shapes(words))
+
+
+def unit_pairs(docs: DataFrame, top: pa.Array) -> np.ndarray:
     """UNITS x UNITS counts of neighbouring units; each text starts after an end."""
     rows = UNITS // BLOCKS
 
@@ -88,7 +97,7 @@ def unit_pairs(docs: DataFrame, top: dict[str, int]) -> np.ndarray:
                 continue
             words, n_words = tokens_of(b.column(0))
             coded = words.dictionary_encode()
-            units = units_of(coded.dictionary.to_pylist(), top)[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.int64)
+            units = units_of(coded.dictionary, top)[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.int64)
             units = with_ends(units, n_words, 0)
             before = np.concatenate([[0], units[:-1]])
             total += np.bincount(before * UNITS + units, minlength=UNITS * UNITS)
@@ -177,28 +186,57 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
 CONTEXT = np.dtype([("at", "u1"), ("n", "<u4")])
 
 
-def contexts(docs: DataFrame, top: dict[str, int], of: np.ndarray) -> DataFrame:
-    """(word, contexts) for each word outside top: the packed counts of each batch in a list."""
+def contexts(docs: DataFrame, top: pa.Array, of: np.ndarray) -> DataFrame:
+    """(word, contexts) for each word outside top: packed counts in a list, summed in a tree so that no list is long."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        worker_cache("class lm")
+        at_node = TaskContext.get().partitionId()
         for b in batches:
             words, n_words = tokens_of(b.column(0))
             if not len(words):
                 continue
             coded = words.dictionary_encode()
-            units, index = units_of(coded.dictionary.to_pylist(), top), np.asarray(coded.indices).astype(np.int64)
+            units, index = units_of(coded.dictionary, top), np.asarray(coded.indices).astype(np.int64)
             classes, index = with_ends(of[units][index], n_words, of[0]), with_ends(np.where(units[index] > UNITS_WORDS, index, -1), n_words, -1)
             at = np.flatnonzero(index >= 0)
             before, after = np.where(at > 0, classes[at - 1], of[0]), classes[at + 1]  # an end is behind each word
             keys, n = np.unique(np.concatenate([index[at] * 2 * CLASSES + before, (index[at] * 2 + 1) * CLASSES + after]), return_counts=True)
-            entries = np.zeros(len(keys), CONTEXT)
-            entries["at"], entries["n"] = keys % (2 * CLASSES), n
-            word, first = np.unique(keys // (2 * CLASSES), return_index=True)
-            offsets = np.append(first, len(keys)).astype(np.int32) * CONTEXT.itemsize
-            packed = pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(word)), packed], ["word", "contexts"])
+            word, packed = packed_contexts(keys, n)
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(word)), pa.array(np.full(len(word), at_node)), packed], ["word", "node", "contexts"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = summed_contexts(b.column(2), b.num_rows)
+            row, at = np.nonzero(counts)
+            word, packed = packed_contexts(row * 2 * CLASSES + at, counts[row, at])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(word)), b.column(1).take(pa.array(word)), packed], ["word", "node", "contexts"])
+
+    source, schema = docs.select("text"), "word string, node long, contexts binary"
+    parts, tree = source.rdd.getNumPartitions(), source.mapInArrow(count, schema)
+    while parts > FAN_IN:
+        lists = tree.withColumn("node", F.floor(F.col("node") / FAN_IN)).groupBy("word", "node").agg(F.collect_list("contexts").alias("contexts"))
+        parts, tree = -(-parts // FAN_IN), lists.mapInArrow(merge, schema)
+    return tree.groupBy("word").agg(F.collect_list("contexts").alias("contexts"))
 
-    return docs.select("text").mapInArrow(count, "word string, contexts binary").groupBy("word").agg(F.collect_list("contexts").alias("contexts"))
+
+def packed_contexts(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Words and their packed entries; keys: ascending, word * 2 * CLASSES + place."""
+    entries = np.zeros(len(keys), CONTEXT)
+    entries["at"], entries["n"] = keys % (2 * CLASSES), n
+    word, first = np.unique(keys // (2 * CLASSES), return_index=True)
+    offsets = np.append(first, len(keys)).astype(np.int32) * CONTEXT.itemsize
+    return word, pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
+
+
+def summed_contexts(lists: pa.Array, n_rows: int) -> np.ndarray:
+    """rows x 2 * CLASSES: the sums of each row's packed counts."""
+    flat = lists.flatten()
+    entries = np.frombuffer(b"".join(flat.to_pylist()), CONTEXT)
+    rows = np.repeat(np.asarray(pc.list_parent_indices(lists)).astype(np.int64), np.asarray(pc.binary_length(flat)) // CONTEXT.itemsize)
+    return np.bincount(rows * 2 * CLASSES + entries["at"], entries["n"], n_rows * 2 * CLASSES).reshape(n_rows, 2 * CLASSES)
 
 
 def assigned(found: DataFrame, pairs: np.ndarray, of: np.ndarray) -> DataFrame:
@@ -211,15 +249,11 @@ def assigned(found: DataFrame, pairs: np.ndarray, of: np.ndarray) -> DataFrame:
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(1)
-            flat = lists.flatten()
-            entries = np.frombuffer(b"".join(flat.to_pylist()), CONTEXT)
-            rows = np.repeat(np.asarray(pc.list_parent_indices(lists)).astype(np.int64), np.asarray(pc.binary_length(flat)) // CONTEXT.itemsize)
-            counts = np.bincount(rows * 2 * CLASSES + entries["at"], entries["n"], b.num_rows * 2 * CLASSES).reshape(b.num_rows, 2 * CLASSES)
+            counts = summed_contexts(b.column(1), b.num_rows)
             n = counts[:, :CLASSES].sum(axis=1).astype(np.int64)
             best = 1 + np.round(counts @ gain[:, 1:], 6).argmax(axis=1)  # class 0 is the end's; ties go to the smaller class
-            for k in np.flatnonzero(n < MIN_COUNT):
-                best[k] = of[shape(b.column(0)[int(k)].as_py())]
+            rare = np.flatnonzero(n < MIN_COUNT)
+            best[rare] = of[shapes(b.column(0).take(pa.array(rare)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(best.astype(np.int32))], ["word", "n", "class"])
 
     return found.mapInArrow(choose, "word string, n long, class int")
@@ -228,27 +262,27 @@ def assigned(found: DataFrame, pairs: np.ndarray, of: np.ndarray) -> DataFrame:
 class Coder:
     """Texts as classes: those of the head at once, those of other words (-1) as rows to be joined."""
 
-    def __init__(self, words: list[str], classes: np.ndarray, of: np.ndarray):
-        self.place, self.classes, self.of = {w: k for k, w in enumerate(words)}, classes, of
+    def __init__(self, words: pa.Array, classes: np.ndarray, of: np.ndarray):
+        self.words, self.classes, self.of = words, classes, of  # words[0]: the end
 
     def code(self, texts: pa.Array) -> None:
         words, self.n_words = tokens_of(texts)
         coded = words.dictionary_encode()
         self.dictionary = coded.dictionary
         index = np.asarray(coded.indices).astype(np.int64)
-        places = np.array([self.place.get(w, -1) for w in coded.dictionary.to_pylist()], np.int64)
+        places = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         self.index = with_ends(index, self.n_words, -1)
-        self.places = with_ends(places[index] if len(index) else index, self.n_words, self.place[END])
+        self.places = with_ends(places[index] if len(index) else index, self.n_words, 0)
         self.now = np.where(self.places >= 0, self.classes[self.places], -1)
-        self.before = np.concatenate([self.classes[[self.place[END]]], self.now[:-1]])
+        self.before = np.concatenate([self.classes[:1], self.now[:-1]])
         self.rows = np.repeat(np.arange(len(texts)), self.n_words + 1)
 
     def tail(self, keys: np.ndarray) -> dict[str, pa.Array]:
         at = np.flatnonzero(self.now < 0)
         used, inverse = np.unique(self.index[at], return_inverse=True)
         words = self.dictionary.take(pa.array(used))
-        other = np.array([self.of[shape(w)] for w in words.to_pylist()], np.int32)
-        numbers = {"pos": at, "other": other[inverse] if len(at) else at, "before": self.before[at], "after": self.now[at + 1] if len(at) else at}
+        other = self.of[shapes(words)].astype(np.int32)
+        numbers = {"pos": at, "other": other[inverse], "before": self.before[at], "after": self.now[at + 1] if len(at) else at}
         return {"key": pa.array(keys[self.rows[at]]), "word": words.take(pa.array(inverse))} | {c: pa.array(x.astype(np.int32)) for c, x in numbers.items()}
 
 
@@ -271,9 +305,9 @@ def class_pairs_of(docs: DataFrame, head, of: np.ndarray, counts: DataFrame) ->
         words, _, classes = head.value
         coder, at = Coder(words, classes, of), TaskContext.get().partitionId() << 36
         total = np.zeros(CLASSES * CLASSES, np.int64)
+        worker_cache("class lm")
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                b = batch.slice(k, 2000)
+            for b in slices(batch, 2000):
                 coder.code(b.column(0))
                 known = (coder.now >= 0) & (coder.before >= 0)
                 total += np.bincount(coder.before[known] * CLASSES + coder.now[known], minlength=CLASSES * CLASSES)
@@ -305,51 +339,81 @@ class Model:
     log_room: np.ndarray  # by class: log10 of the emissions' denominator
     tokens: int  # N
     types: int  # V
-    head: dict[str, int]  # counts of the most frequent words
-    head_class: np.ndarray  # in the order of head
+    head: pa.Array  # the end and the most frequent words
+    head_n: np.ndarray
+    head_class: np.ndarray
     counts: DataFrame | None = None  # (word, n, class)
 
 
-def best_alpha(spectrum: list[tuple[int, int]], tokens: int, types: int) -> float:
-    """The additive constant with the best leave-one-out likelihood; spectrum: (count, number of words)."""
+def spectrum_of(counts: DataFrame) -> list:
+    """(lowest count, words, tokens) for groups of words with equal counts, from 1024 on with similar ones, the lowest
+    first: some 4,000 rows at most."""
+    n = F.col("n")
+    group = F.when(n < 1024, n).otherwise(1024 + F.floor((F.log2(n) - 10) * 64))
+    return counts.groupBy(group.alias("group")).agg(F.min("n").alias("least"), F.count("*").alias("words"), F.sum("n").alias("tokens")).orderBy("group").collect()
+
+
+def head_of(counts: DataFrame, spectrum: list, size: int) -> tuple[pa.Array, np.ndarray, int]:
+    """The words and counts of the most frequent words, at most size, by count and word; and their least count.
+
+    The bound is found from the spectrum, so nothing is sorted but the words that are kept."""
+    least, total = 1 << 62, 0
+    for r in reversed(spectrum):
+        if total + r["words"] > size:
+            break
+        least, total = r["least"], total + r["words"]
+    rows = counts.where((F.col("n") >= least) & (F.col("word") != END)).select("word", "n").toArrow()
+    if rows.num_rows < UNITS_WORDS:  # more words than fit have equal counts: some of these by their text
+        more = counts.where((F.col("n") < least) & (F.col("word") != END)).orderBy(F.desc("n"), "word").limit(UNITS_WORDS - rows.num_rows)
+        rows = pa.concat_tables([rows, more.select("word", "n").toArrow()])
+    rows = rows.combine_chunks().sort_by([("n", "descending"), ("word", "ascending")])
+    words = pa.concat_arrays(rows.column("word").chunks) if rows.num_rows else pa.array([], pa.string())
+    return words.cast(pa.string()), rows.column("n").to_numpy(), least
+
+
+def best_alpha(spectrum: list, tokens: int, types: int) -> float:
+    """The additive constant with the best leave-one-out likelihood."""
     if not tokens:
         return 1.0
-    c, m = np.array(spectrum, np.float64).T
+    n, m = (np.array([r[c] for r in spectrum], np.float64) for c in ("tokens", "words"))
 
     def fit(a: float) -> float:
-        return float((c * m * np.log(c - 1 + a)).sum() - tokens * np.log(max(tokens - 1, 0) + a * (types + 1)))
+        return float((n * np.log(n / m - 1 + a)).sum() - tokens * np.log(max(tokens - 1, 0) + a * (types + 1)))
 
     return max((0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0), key=fit)
 
 
 def train(docs: DataFrame, head: int = HEAD) -> Model:
     """From all texts of docs. No text at all: every token is unknown."""
+    spark = docs.sparkSession
+    small_batches(spark)
     counts = written(word_counts(docs))
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, types = int(totals[0]), int(totals[1])
-    rank = lambda c, k: c.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(k).toArrow()
-    top = {w: k + 1 for k, w in enumerate(rank(counts, UNITS_WORDS).column("word").to_pylist())}
+    spectrum = spectrum_of(counts)
+    words, n, _ = head_of(counts, spectrum, max(head, UNITS_WORDS))
+    top = words.slice(0, UNITS_WORDS)
     pairs = unit_pairs(docs, top)
     of = exchange(pairs)
     member = np.zeros((UNITS, CLASSES))
     member[np.arange(UNITS), of] = 1
-    top_rows = F.broadcast(docs.sparkSession.createDataFrame([(w, int(of[k])) for w, k in [(END, 0), *top.items()]], "word string, class int"))
+    top_rows = F.broadcast(spark.createDataFrame([(w, int(of[k])) for k, w in enumerate([END, *top.to_pylist()])], "word string, class int"))
     rest = assigned(contexts(docs, top, of), member.T @ pairs @ member, of)
     counts = written(counts.join(top_rows, "word").select("word", "n", "class").union(rest))
-    ranked = rank(counts, max(head, UNITS_WORDS))  # a fixed number of rows at most
-    words, n = [END, *ranked.column("word").to_pylist()], [int(pairs[:, 0].sum()), *ranked.column("n").to_pylist()]
-    head_class = np.array([of[0], *ranked.column("class").to_pylist()], np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((words, n, head_class))
-    class_pairs = class_pairs_of(docs, shared, of, counts)
+    kept = F.broadcast(spark.createDataFrame(pa.table({"word": words})))  # HEAD words at most
+    class_at = dict(zip(*(x.to_pylist() for x in counts.join(kept, "word").select("word", "class").toArrow().columns), strict=True))
+    words = pa.concat_arrays([pa.array([END]), words])
+    n = np.concatenate([[int(pairs[:, 0].sum())], n]).astype(np.int64)
+    head_class = np.array([of[0], *(class_at[w] for w in words.to_pylist()[1:])], np.int64)
+    class_pairs = class_pairs_of(docs, spark.sparkContext.broadcast((words, n, head_class)), of, counts)
     class_n, class_types = class_pairs.sum(axis=0), np.zeros(CLASSES)
     for r in counts.groupBy("class").agg(F.count("*").alias("n")).collect():  # CLASSES rows
         class_types[r["class"]] = r["n"]
     prior = (class_n + 1) / (class_n.sum() + CLASSES)
     transition = (class_pairs + TRANSITION_PRIOR * prior) / (class_pairs.sum(axis=1, keepdims=True) + TRANSITION_PRIOR)
-    spectrum = [(r["n"], r["m"]) for r in counts.groupBy("n").agg(F.count("*").alias("m")).collect()]  # some sqrt(2 N) rows
     alpha = best_alpha(spectrum, tokens, types)
     room = class_n + alpha * (class_types + 1)
-    return Model(of, np.log10(transition), alpha, np.log10(room), tokens, types, dict(zip(words, n, strict=True)), head_class, counts)
+    return Model(of, np.log10(transition), alpha, np.log10(room), tokens, types, words, n, head_class, counts)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -358,7 +422,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     A null or empty text is one end. Rows are scored one by one, so repeated rows (and repeated or null doc_ids) give a
     result each; other columns don't matter. base_score is the additively smoothed unigram log10 probability."""
     counts = model.counts
-    head = docs.sparkSession.sparkContext.broadcast((list(model.head), np.array(list(model.head.values()), np.int64), model.head_class))  # HEAD words and the end at most
+    small_batches(docs.sparkSession)
+    head = docs.sparkSession.sparkContext.broadcast((model.head, model.head_n, model.head_class))  # HEAD words and the end at most
     of, transition, alpha, room = model.class_of, model.transition, model.alpha, model.log_room
     base_room = float(np.log10(model.tokens + model.types + 1))
 
@@ -368,9 +433,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         words_h, n_h, classes = head.value
         coder = Coder(words_h, classes, of)
         at = TaskContext.get().partitionId() << 36
+        worker_cache("class lm")
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                b = batch.slice(k, 2000)
+            for b in slices(batch, 2000, 1):
                 coder.code(b.column(1))
                 before, now, known = coder.before, coder.now, coder.places >= 0
                 n = n_h[coder.places]
