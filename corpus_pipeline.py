@@ -1,4 +1,8 @@
-"""Five stages over the documents: toxicity, line dedup, near duplicates, decontamination, SentencePiece encoding."""
+"""Five stages over the documents: toxicity, line dedup, near duplicates, decontamination, SentencePiece encoding.
+
+Every stage takes null and empty texts, rows without doc_id, repeated rows, empty tables and further columns of any name:
+such columns pass through, except that n_chars is counted anew where texts change and the last stage sets piece_ids.
+"""
 
 from __future__ import annotations
 
@@ -12,28 +16,31 @@ from tesserae.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below 0.7; the lexicon is learned from the labels of these documents."""
+    """Documents with a toxicity score below 0.7; the lexicon is learned from the labels of these documents. A null or empty
+    text stays; repeated rows have one score."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents hold stay in one; n_chars follows the text. Every document stays."""
+    """Lines that many documents hold stay in one; n_chars follows the text. Every document stays; a null text becomes the
+    empty one. Rows of one doc_id count as one document, a row without doc_id loses nothing."""
     out = line_dedup.line_dedup(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates: of the least doc_id, one of repeated rows. Rows without doc_id and
+    texts without a word stay."""
     return jaccard_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Rows without doc_id stay."""
     return decontaminate.keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with piece_ids."""
+    """The documents with piece_ids; a null or empty text has none."""
     import public_tokenizers
 
     return sentencepiece_scan.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
