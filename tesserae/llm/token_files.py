@@ -28,7 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, worker_cache, written
+from .common import BATCH_BYTES, shared_dir, slices, small_batches, worker_cache, written
+from .words import WordTable
 
 MAGIC = b"TRNS0001"
 SCALE = 18
@@ -37,7 +38,10 @@ BLOCK_IDS = 1 << 20
 LANES = 2048
 CHECKPOINT_STEPS = 128
 SEGMENT_IDS = 1 << 22
-CACHE_PIECES = 400_000
+#: What the files hold for a document without doc_id.
+NO_ID = -(1 << 63)
+#: Bytes of pieces and their ids that a worker keeps.
+CACHE_BYTES = 160 << 20
 
 
 # --- coder ---------------------------------------------------------------------------------------------------------
@@ -152,8 +156,12 @@ def decode_file(raw: bytes, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 # --- tokenizer -----------------------------------------------------------------------------------------------------
 
+# White space as Unicode has it, which the pre-tokenizer's pattern goes by.
+WHITE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: A space with white space before it and white space or the end behind it: there the pre-tokenizer doesn't cut.
-JOINED = r"\s \s|\s \z"
+JOINED = f"{WHITE} {WHITE}|{WHITE} \\z"
+#: Pieces that could meet their neighbours' white space when joined to them (the empty one becomes a lone space).
+ALONE = f"\\A(?:\\z|{WHITE}|[\\x1C-\\x1F])"
 
 
 class PieceEncoder:
@@ -161,107 +169,112 @@ class PieceEncoder:
 
     The byte-level pre-tokenizer cuts before every single space, so a text is the concatenation of its first piece and
     of its other pieces with their space in front; texts where that doesn't hold, or with a special token's string,
-    go to the library whole.
-    """
+    go to the library whole. Pieces and their ids stay in Arrow and numpy arrays; pool[0] is the end."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = 0):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has a core; threads of its own cost memory and time
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.special = [x.content for x in added.values()]
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        vocab = self.tokenizer.get_vocab()
+        if max(vocab.values()) >= 1 << 16:
+            raise ValueError("token files hold ids below 65,536")
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = np.zeros(1 << 16, bool)
-        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "\u0120"]] = True  # a space's byte
+        self.spaced[[i for token, i in vocab.items() if token[0] == "\u0120"]] = True  # a space's byte
         self.reset()
 
     def reset(self) -> None:
-        self.first: dict[str, int] = {}
-        self.inner: dict[str, int] = {}
-        self.starts, self.sizes, self.ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
-        self.count, self.n_ids = 0, 0
+        self.first, self.inner = WordTable(), WordTable()
+        self.offsets, self.ids = np.array([0, 1], np.int32), np.array([self.end_id], np.uint16)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes and ids of pieces that hold one space, in front: joined, each starts at the next id with a space."""
-        groups = ["".join(pieces[i : i + 500]) for i in range(0, len(pieces), 500)]
-        ids = np.concatenate([np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)])
-        starts = np.flatnonzero(self.spaced[ids])
-        return np.diff(starts, append=len(ids)), ids
-
-    def encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sizes, starts and ids; pieces that could meet their neighbours' white space, or have no space, go on their own."""
-        alone = np.array([p[:1] != " " or p[1:2] in "" or p[1].isspace() for p in pieces])
-        sizes, parts = np.zeros(len(pieces), np.int64), [np.zeros(0, np.uint16)]
-        order = np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])
-        if not alone.all():
-            sizes[~alone], ids = self.apart([p for p, x in zip(pieces, alone, strict=True) if not x])
-            parts.append(ids)
-        solo = self.whole([p for p, x in zip(pieces, alone, strict=True) if x])
-        sizes[alone] = [len(x) for x in solo]
-        ids = np.concatenate(parts + solo)
-        starts = np.empty(len(pieces), np.int64)
-        starts[order] = np.cumsum(sizes[order]) - sizes[order]
-        return sizes, starts, ids
-
-    def numbers(self, known: dict[str, int], pieces: list[str], space: str) -> np.ndarray:
-        """The pieces' places in .starts and .sizes; new ones are encoded."""
-        out = [known.get(p, -1) for p in pieces]
-        new = list(dict.fromkeys(p for p, k in zip(pieces, out, strict=True) if k < 0))
-        if new:
-            sizes, starts, ids = self.encoded([space + p for p in new])
-            known.update(zip(new, range(self.count, self.count + len(new)), strict=True))
-            self.starts.append(self.n_ids + starts)
-            self.sizes.append(sizes)
-            self.ids.append(ids)
-            self.count, self.n_ids = self.count + len(new), self.n_ids + len(ids)
-            out = [known[p] if k < 0 else k for p, k in zip(pieces, out, strict=True)]
-        return np.array(out, np.int64)
-
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        if self.count > CACHE_PIECES:
-            self.reset()
+        """Sizes and ids of pieces that get one space in front: joined, each starts at the next id with a space."""
+        groups = [" " + " ".join(pieces[i : i + 100]) for i in range(0, len(pieces), 100)]
+        ids = np.concatenate([np.zeros(0, np.uint16), *self.whole(groups)])
+        return np.diff(np.flatnonzero(self.spaced[ids]), append=len(ids)), ids
+
+    def numbers(self, known: WordTable, words: pa.Array, space: str) -> np.ndarray:
+        """The words' places in the pool; new ones are encoded."""
+        coded = words.dictionary_encode()
+        out = known.find(coded.dictionary)
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new = coded.dictionary.take(pa.array(missing))
+            alone = pc.match_substring_regex(new, ALONE).to_numpy(zero_copy_only=False) if space else np.ones(len(new), bool)
+            together, solo = np.flatnonzero(~alone), np.flatnonzero(alone)
+            sizes, ids = self.apart(new.take(pa.array(together)).to_pylist())
+            lone = self.whole([space + p for p in new.take(pa.array(solo)).to_pylist()])
+            out[missing[np.concatenate([together, solo])]] = len(self.offsets) - 1 + np.arange(len(new))
+            sizes = np.concatenate([sizes, [len(x) for x in lone]]).astype(np.int64)
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)]).astype(np.int32)
+            self.ids = np.concatenate([self.ids, ids, *lone])
+            known.add(new, out[missing])
+        return out[np.asarray(coded.indices)]
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """For each text its ids and the end, as little-endian 16-bit numbers in a binary value."""
         bad = pc.match_substring_regex(texts, JOINED)
         for s in self.special:
             bad = pc.or_(bad, pc.match_substring(texts, s))
-        bad = bad.to_numpy(zero_copy_only=False)
-        out: list = [None] * len(texts)
-        for i, ids in zip(np.flatnonzero(bad), self.whole(texts.filter(pa.array(bad)).to_pylist()), strict=True):
-            out[i] = ids
-        easy = texts.filter(pa.array(~bad))
-        if not len(easy):
-            return out
-        parts = pc.split_pattern(easy, " ")
-        bounds = np.asarray(parts.offsets).astype(np.int64) - parts.offsets[0].as_py()
-        words = parts.flatten().dictionary_encode()
-        at = self.numbers(self.inner, words.dictionary.to_pylist(), " ")[np.asarray(words.indices)]
-        heads = parts.flatten().take(pa.array(bounds[:-1]))
-        at[bounds[:-1]] = self.numbers(self.first, heads.to_pylist(), "")
-        self.starts, self.sizes, self.ids = [np.concatenate(self.starts)], [np.concatenate(self.sizes)], [np.concatenate(self.ids)]
-        sizes = self.sizes[0][at]
-        total = np.cumsum(sizes)
-        flat = self.ids[0][np.repeat(self.starts[0][at] - (total - sizes), sizes) + np.arange(total[-1])]
-        ends = total[bounds[1:] - 1]
-        for i, a, b in zip(np.flatnonzero(~bad), np.concatenate([[0], ends[:-1]]), ends, strict=True):
-            out[i] = flat[a:b]
-        return out
+        easy = self.easy(texts.filter(pc.invert(bad)))
+        if not pc.any(bad).as_py():
+            return easy
+        end = np.array([self.end_id], np.uint16)
+        odd = [np.concatenate([x, end]).tobytes() for x in self.whole(texts.filter(bad).to_pylist())]
+        order = np.argsort(bad.to_numpy(zero_copy_only=False), kind="stable")  # easy ones first
+        return pa.concat_arrays([easy, pa.array(odd, pa.binary())]).take(pa.array(np.argsort(order)))
+
+    def easy(self, texts: pa.Array) -> pa.Array:
+        if not len(texts):
+            return pa.array([], pa.binary())
+        if self.first.nbytes + self.inner.nbytes + self.offsets.nbytes + self.ids.nbytes > CACHE_BYTES:
+            self.reset()
+        parts = pc.split_pattern(texts, " ")
+        ends = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))
+        starts, flat = np.concatenate([[0], ends[:-1]]), parts.flatten()
+        inner = np.ones(len(flat), bool)
+        inner[starts] = False
+        at = np.zeros(len(flat) + len(texts), np.int64)  # behind each text the end, pool[0]
+        room = np.arange(len(flat)) + np.repeat(np.arange(len(texts)), ends - starts)
+        at[room[starts]] = self.numbers(self.first, flat.take(pa.array(starts)), "")
+        at[room[inner]] = self.numbers(self.inner, flat.filter(pa.array(inner)), " ")
+        pool = pa.ListArray.from_arrays(pa.array(self.offsets), pa.array(self.ids))
+        taken = pool.take(pa.array(at))
+        bounds = np.asarray(taken.offsets)[np.concatenate([[0], ends + np.arange(1, len(texts) + 1)])].astype(np.int64) * 2
+        raw = np.ascontiguousarray(np.asarray(taken.values).astype("<u2", copy=False))
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(raw)])
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids as little-endian uint16) with the end id appended; a null text counts as empty."""
+    """(doc_id, ids as little-endian uint16, counts) with the end id appended; a null text counts as empty.
+
+    counts is null but for one row of each task, which has no ids: how often each id occurs in the task's rows (int64)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end = worker_cache(), np.array([end_id], np.uint16)
-        encoder = cache.setdefault(("pieces", tokenizer_path), None) or PieceEncoder(tokenizer_path)
-        cache["pieces", tokenizer_path] = encoder
+        cache, names = worker_cache("token files"), ["doc_id", "ids", "counts"]
+        if tokenizer_path not in cache:
+            cache[tokenizer_path] = PieceEncoder(tokenizer_path, end_id)
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
-                ids = [np.concatenate([x, end]).astype("<u2").tobytes() for x in encoder.encode(pc.fill_null(part.column(1), ""))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for part in slices(batch, batch.num_rows, 1, BATCH_BYTES):  # the larger, the fewer lookups
+                ids = cache[tokenizer_path].encode(pc.fill_null(part.column(1), ""))
+                total += np.bincount(values_of(ids), minlength=1 << 16)
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.nulls(part.num_rows, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([zlib.compress(total.tobytes(), 1)])], names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary, counts binary")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary")
+def values_of(ids: pa.Array) -> np.ndarray:
+    """All 16-bit numbers of binary values, one after the other."""
+    ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, ids.offset * 4)
+    return np.frombuffer(ids.buffers()[2], "<u2", (ends[-1] - ends[0]) // 2, int(ends[0])) if len(ids) and ends[-1] > ends[0] else np.zeros(0, np.uint16)
 
 
 # --- files ---------------------------------------------------------------------------------------------------------
@@ -279,23 +292,25 @@ def put(folder: str, name: str, data: bytes) -> None:
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
-    """How often each id occurs; 2^16 numbers at most."""
+    """How often each id occurs, summed from the tasks' counts; 2^16 numbers at most."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u2"), minlength=1 << 16)
+            for raw in b.column(0).to_pylist():
+                total += np.frombuffer(zlib.decompress(raw), np.int64)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["id", "n"])
 
     out = np.zeros(1 << 16, np.int64)
-    for row in tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    counts = tokens.where(F.col("counts").isNotNull()).select("counts")
+    for row in counts.mapInArrow(add, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[row["id"]] = row["n"]
     return out
 
 
 def write_token_files(tokens: DataFrame, folder: str) -> DataFrame:
-    """Writes (doc_id, ids) in ascending doc_id order; returns the manifest (part, segment, name, n_docs, n_tokens)."""
+    """Writes the rows of tokenize() in ascending doc_id order; returns the manifest (part, segment, name, n_docs, n_tokens)."""
     spark = tokens.sparkSession
     freqs = scaled(id_counts(tokens))
     put(folder, "freqs.bin", freqs.astype("<u4").tobytes())
@@ -324,7 +339,9 @@ def write_token_files(tokens: DataFrame, folder: str) -> DataFrame:
             yield flush()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    order = ["doc_id", F.xxhash64("ids"), F.monotonically_increasing_id()]  # rows of one doc_id may go to several tasks
+    named = tokens.where(F.col("ids").isNotNull()).select("doc_id", "ids", *[c.alias(f"by{k}") for k, c in enumerate(order[1:])])
+    ordered = named.repartitionByRange(parts, "doc_id", "by0", "by1").sortWithinPartitions("doc_id", "by0", "by1").select("doc_id", "ids")
     return written(ordered.mapInArrow(write, "part int, segment int, name string, n_docs long, n_tokens long"))
 
 
@@ -364,12 +381,13 @@ def read_token_files(manifest: DataFrame, folder: str, row_of: Callable[[np.ndar
 def token_files(docs: DataFrame, tokenizer_path: str, row_of: Callable[[np.ndarray], dict], schema: str, end_id: int = 0) -> DataFrame:
     """Tokenizes docs (doc_id, text), writes token files to the shared folder, and reads them back.
 
-    Null and empty texts become the end id alone. Rows that share a doc_id follow each other in the order of their
-    ids; a null doc_id comes first and is stored as -2^63. An empty table gives no file and no row. Only doc_id and
-    text are read, so other columns don't matter."""
+    Null and empty texts become the end id alone. Rows that share a doc_id follow each other, in the order of a hash of
+    their ids; rows without doc_id come first (the files hold -2^63 for none). An empty table gives no file and no row.
+    Only doc_id and text are read, so other columns don't matter. The vocabulary's ids must lie below 65,536."""
     folder = shared_dir(docs.sparkSession)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     manifest = write_token_files(written(tokenize(docs, tokenizer_path, end_id)), folder)
     if manifest.isEmpty():
         return docs.sparkSession.createDataFrame([], f"doc_id long, start long, n_tokens long, {schema}")
-    return read_token_files(manifest, folder, row_of, schema)
+    return read_token_files(manifest, folder, row_of, schema).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
