@@ -14,8 +14,8 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from tesserae.llm import class_lm, components, decontaminate, entries, jaccard_join, language, line_dedup, onebit_search, pii, sentencepiece_scan, token_files, toxicity
-from tesserae.llm.shingles import shingle_sets
+from tesserae.llm import class_lm, components, decontaminate, entries, jaccard_join, language, line_dedup, onebit_search, pii, sentencepiece_scan, token_files, toxicity, words
+from tesserae.llm.shingles import shingle_sets, window_hashes
 
 ODD = [(1, None, "x"), (2, "", "x"), (3, "same words in this very short text", "x"), (3, "same words in this very short text", "x"), (4, "\n \t\n", None), (5, "a" * 70_000, "y"), (6, "word " * 15_000, "y")]
 ODD_DDL = "doc_id long, text string, score string"  # score: a name that operators use as well
@@ -62,7 +62,18 @@ def test_tiles_equal_the_definition():
     for _ in range(150):
         item, doc = ([r.randint(0, 3) for _ in range(r.randint(0, 18))] for _ in range(2))
         got = decontaminate.tiles(np.array(item, np.uint64), np.array(doc, np.uint64), 3)
-        assert [x[0] for x in got] == [x[0] for x in slow_tiles(item, doc, 3)]
+        assert got == slow_tiles(item, doc, 3)
+        if len(doc) >= 3 and len(item) >= 3:
+            item, doc = np.array(item, np.uint64) + np.uint64(1), np.array(doc, np.uint64) + np.uint64(1)
+            places = np.flatnonzero(np.isin(window_hashes(doc, 3), window_hashes(item, 3)))
+            assert decontaminate.doc_tiles(item, doc, places, 3) == got
+
+
+def test_tiles_of_repetitive_texts_take_little():
+    item, doc = np.ones(10_000, np.uint64), np.ones(200_000, np.uint64)
+    assert decontaminate.tiles(item, doc) == [(10_000, 0, 0)]
+    mixed = np.tile(np.array([1, 1, 2], np.uint64), 20_000)
+    assert sum(n for n, _, _ in decontaminate.tiles(mixed[:3000], mixed)) == 3000
 
 
 def test_contaminated_finds_reordered_passages(spark, odd, empty):
@@ -216,7 +227,7 @@ def test_words_get_the_class_of_their_contexts(spark, monkeypatch):
     # transitions are counted with these classes
     of = {w: c for w, (_, c) in got.items()}
     pairs = Counter((of[a], of[b]) for t in texts for a, b in zip(["", *t.split()], [*t.split(), ""], strict=True))
-    head = spark.sparkContext.broadcast((list(model.head), list(model.head.values()), model.head_class))
+    head = spark.sparkContext.broadcast((model.head, model.head_n, model.head_class))
     counted = class_lm.class_pairs_of(docs, head, model.class_of, model.counts)
     assert {(int(a), int(b)): int(counted[a, b]) for a, b in zip(*np.nonzero(counted), strict=True)} == pairs
 
@@ -230,29 +241,56 @@ def test_language_model_odd_rows(spark, odd, empty):
 # --- 5 ---
 
 
-def test_search_equals_brute_force(spark):
+def slow_search(rows, k=5):
+    """Cosines by the definition, in plain Python numbers."""
+    good = [(i, v) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = []
+    for q, a in sorted((r for r in good if r[0] % 50 == 0), key=lambda r: r[0]):
+        near = [(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)), i) for i, b in good if i != q and len(a) == len(b)]
+        out += [(q, n + 1, i, s) for n, (s, i) in enumerate(sorted(near, key=lambda t: (-round(t[0], 12), t[1]))[:k])]
+    return out
+
+
+def found_by(vectors, k=5):
+    index = onebit_search.build_index(vectors)
+    rows = onebit_search.nearest(index, onebit_search.usable(vectors).where("vec_id % 50 = 0"), k).orderBy("query_id", "rank").collect()
+    return [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows]
+
+
+def test_search_equals_brute_force_in_every_dimension(spark, monkeypatch):
+    monkeypatch.setattr(onebit_search, "BLOCK_ROWS", 70)
+    monkeypatch.setattr(onebit_search, "QUERY_ROWS", 2)
     r = np.random.default_rng(5)
     x = r.standard_normal((400, 16)).astype(np.float32)
-    x[50:90] = x[50]
-    rows = [(k, x[k].tolist(), k) for k in range(400)] + [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [1.0, None] * 8, 0), (904, [1.0, 2.0], 0)]
-    index, dim = onebit_search.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").repartition(5))
-    got = onebit_search.nearest(index, index.where("vec_id % 50 = 0").select("vec_id", "vector"), dim).orderBy("query_id", "rank").collect()
-    y = x.astype(np.float64)
-    y /= np.sqrt((y * y).sum(1))[:, None]
-    want = []
-    for q in range(0, 400, 50):
-        s = np.round(y @ y[q], 12)
-        want += [(q, int(k)) for k in np.lexsort((np.arange(400), -s)) if k != q][:5]
-    assert [(g["query_id"], g["vec_id"]) for g in got] == want
+    x[50:90] = x[50]  # ties, of a query as well
+    x[200:330] += 6 * x[200]  # a cluster
+    rows = [(k, x[k].tolist()) for k in range(400)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, None] * 8), (950, [])]
+    rows += [(k, v) for k in range(1000, 1060) for v in [r.standard_normal(3).tolist()]] + [(1100, [1e300, 1e300]), (1101, [1e300, 1.0]), (1150, [5.0])]
+    vectors = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, score int").repartition(5)
+    got = found_by(vectors)
+    want = slow_search([(i, v if v is None else [x / 1e300 for x in v] if i in (1100, 1101) else v) for i, v in rows])
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12)
+    assert {q for q, *_ in got} >= {1000, 1050, 1100} and 1150 not in {q for q, *_ in got}
+
+
+def test_bounds_hold():
+    r = np.random.default_rng(6)
+    x, q = (onebit_search.units_of(r.standard_normal((n, 70))) for n in (2000, 20))
+    turn = onebit_search.rotation(70)
+    codes, scalars = onebit_search.encode_codes(x, turn)
+    assert codes.shape == (2000, 2)
+    upper, exact = onebit_search.Queries(q, turn).upper(codes, scalars, onebit_search.EPSILON), q @ x.T
+    assert (upper >= exact).mean() > 0.9999
+    assert np.abs(onebit_search.Queries(q, turn).upper(codes, scalars, 0.0) - exact).mean() < 0.15
 
 
 def test_search_small_tables(spark):
-    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    index, dim = onebit_search.build_index(none)
-    assert onebit_search.nearest(index, index.select("vec_id", "vector"), dim).count() == 0
-    two = spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 1.0])], "vec_id long, embedding array<float>")
-    index, dim = onebit_search.build_index(two)
-    assert onebit_search.nearest(index, index.select("vec_id", "vector"), dim).count() == 2
+    schema = "vec_id long, embedding array<float>"
+    assert found_by(spark.createDataFrame([], schema)) == []
+    assert found_by(spark.createDataFrame([(50, [1.0, 2.0])], schema)) == []
+    two = found_by(spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 1.0]), (50, [1.0, 1.0])], schema))
+    assert [x[:3] for x in two] == [(0, 1, 50), (0, 2, 50), (50, 1, 0)]
 
 
 # --- 6 ---
@@ -277,11 +315,20 @@ def test_frequencies_keep_rare_ids():
     assert f.sum() == 1 << token_files.SCALE and (f > 0).tolist() == [True, True, False, True]
 
 
-def test_pieces_equal_the_library():
+def encoded_whole(e, texts):
+    return [np.append(x, np.uint16(e.end_id)).tobytes() for x in e.whole(texts)]
+
+
+def test_pieces_equal_the_library(monkeypatch):
     e = token_files.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
     r = random.Random(4)
-    texts = ["", " ", "a  b", "a   b ", "x \n y", "\n x", " <|endoftext|> a", "\x00 a \x00b", "\xa0 \xa0x"] + ["".join(r.choice("ab \n.é1") for _ in range(r.randint(0, 40))) for _ in range(600)]
-    assert all(np.array_equal(a, b) for a, b in zip(e.encode(pa.array(texts)), e.whole(texts), strict=True))
+    texts = ["", " ", "a  b", "a   b ", "x \n y", "\n x", " <|endoftext|> a", "\x00 a \x00b", "\xa0 \xa0x", " \xa0 \xa0\n\x1f.\x1c1"] + ["".join(r.choice("ab \n.é1") for _ in range(r.randint(0, 40))) for _ in range(600)]
+    assert e.encode(pa.array(texts)).to_pylist() == encoded_whole(e, texts)
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()] + ["\u180e", "\u200b", "\ufeff"]  # all white space and what looks like it
+    texts = ["".join(r.choice([r.choice(spaces), " ", r.choice("a.1'sé")]) for _ in range(r.randint(1, 12))) for _ in range(20_000)]
+    monkeypatch.setattr(token_files, "CACHE_BYTES", 2 << 20)
+    for k in range(0, len(texts), 2000):
+        assert e.encode(pa.array(texts[k : k + 2000])).to_pylist() == encoded_whole(e, texts[k : k + 2000])
 
 
 def test_token_files(spark, odd, empty, tmp_path):
@@ -291,6 +338,8 @@ def test_token_files(spark, odd, empty, tmp_path):
     assert [g["doc_id"] for g in got] == [1, 2, 3, 3, 4, 5, 6] and all(g["last"] == 0 for g in got)
     assert [g["start"] for g in got] == [0, *np.cumsum([g["n_tokens"] for g in got])[:-1].tolist()]
     assert token_files.token_files(empty, path, count, "last long").count() == 0
+    none = spark.createDataFrame([(None, "b"), (None, "b"), (-5, "a")], "doc_id long, text string")
+    assert [g["doc_id"] for g in token_files.token_files(none, path, count, "last long").orderBy("start").collect()] == [None, None, -5]
 
 
 def test_token_file_digests(spark, sf):
@@ -475,6 +524,25 @@ def test_near_duplicates_odd_rows(odd, empty):
     assert jaccard_join.near_duplicates(odd).count() == 7 and jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_word_table_equals_a_dictionary(monkeypatch):
+    r, table, known = random.Random(12), words.WordTable(), {}
+    for k in range(30):
+        some = list({"".join(r.choice("abé日") for _ in range(r.choice((0, 1, 3, 6, 40)))) for _ in range(3000)})
+        found = table.find(pa.array(some, pa.string()))
+        assert found.tolist() == [known.get(w, -1) for w in some]
+        new = [w for w in some if w not in known]
+        numbers = np.arange(len(known), len(known) + len(new))
+        table.add(pa.array(new, pa.string()), numbers)
+        known |= {w: int(n) for w, n in zip(new, numbers, strict=True) if len(w.encode()) <= words.LONGEST}
+
+
+def test_words_with_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(words, "hashes_of", lambda w: (np.full(len(w), 5, np.uint64), np.ones(len(w), np.int64)))
+    table = words.WordTable()
+    table.add(pa.array(["a", "b"]), np.array([1, 2]))
+    assert table.find(pa.array(["a", "b", "c"])).tolist() == [1, -1, -1]
+
+
 def test_shingles_ignore_case_and_marks():
     a, b, c = shingle_sets(pa.array(["One, two three FOUR five six", "one two three four five six", "one two"]), 5)
     assert np.array_equal(a, b) and len(a) == 2 and len(c) == 1
