@@ -7,8 +7,8 @@ minus infinity, and the path of greatest weight is the library's encoding, for a
 Short texts: words are looked up or run through the lattice one by one, as no piece holds a space behind a letter.
 Giant texts: cut into chunks of CHUNK characters at fixed places. A boundary state is a piece that ends at most
 MAX_PIECE - 1 characters before the boundary, such that the next piece crosses it. Each chunk yields the max-plus matrix
-from the states at its start to those at its end; one task for each text takes its matrices in turn, from the last on,
-which gives the state at every boundary; then each chunk is traced back on its own.
+from the states at its start to those at its end; the matrices are multiplied in a tree with a fan-in of FAN_IN, whose
+way down gives the state at every boundary; then each chunk is traced back on its own.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache, written
+from .common import slices, small_batches, worker_cache, written
+from .words import WordTable
 
 SPACE = "▁"
 CHUNK = 16384
 #: Texts of more characters are cut into chunks.
 GIANT = 4 * CHUNK
-CACHE_WORDS = 500_000
+#: Chunks of a task, and matrices that a task multiplies.
+TASK_CHUNKS, FAN_IN = 8, 16
+#: Bytes of words and their ids that a worker keeps.
+CACHE_BYTES = 96 << 20
 NEVER = -np.inf
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 INFINITE = float("inf")
@@ -217,25 +222,25 @@ class Lattice:
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The max-plus product of two matrices."""
-    return np.max(a[:, :, None] + b[None, :, :], axis=1) if a.size and b.size else np.full((a.shape[0], b.shape[1]), NEVER)
-
-
-def boundary_choice(matrices: list[np.ndarray]) -> list[int]:
-    """The state at the end of every chunk on the best path, by a scan over suffix products from the right."""
-    suffix = [np.zeros((matrices[-1].shape[1], 1))]
-    for m in reversed(matrices[1:]):
-        suffix.append(combine(m, suffix[-1]))
-    suffix.reverse()
-    at, out = 0, []
-    for m, rest in zip(matrices, suffix, strict=True):
-        at = int(np.argmax(m[at] + rest[:, 0]))
+    """The max-plus product of two matrices of 0 and minus infinity: 0 where a way leads through."""
+    return np.where((a == 0).astype(np.float32) @ (b == 0).astype(np.float32) > 0, 0.0, NEVER)
+
+
+def boundary_choice(matrices: list[np.ndarray], start: int = 0, end: int = 0) -> list[int]:
+    """The state at the end of every matrix on the best path from a start state to an end state."""
+    rest = [matrices[-1][:, [end]]]
+    for m in reversed(matrices[1:-1]):
+        rest.append(combine(m, rest[-1]))
+    rest.reverse()
+    at, out = start, []
+    for m, after in zip(matrices[:-1], rest, strict=False):
+        at = int(np.argmax(m[at] + after[:, 0]))
         out.append(at)
-    return out
+    return [*out, end]
 
 
 def lattice(model_path: str) -> Lattice:
-    cache = worker_cache()
+    cache = worker_cache("sentencepiece")
     if ("lattice", model_path) not in cache:
         cache["lattice", model_path] = Lattice(model_path)
     return cache["lattice", model_path]
@@ -298,8 +303,10 @@ class BatchLattice:
         hashes = self.prefix_hashes(chars)[np.arange(len(texts)), sizes]
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array([lat.whole[t] for t in texts], np.int32)[order]
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[self.hashes >> np.uint64(44)] = True
+        # of each value of the highest 20 bits, the first hash that has it
+        self.first = np.searchsorted(self.hashes, np.arange((1 << 20) + 1, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
+        self.first[-1] = len(self.hashes)
+        self.most = int(np.diff(self.first).max(initial=0))
         self.unknown = len(lat.texts)
         self.lengths = np.array([*map(len, lat.texts), 1], np.int64)
 
@@ -321,9 +328,17 @@ class BatchLattice:
     def piece(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 for others."""
         out = np.full(len(hashes), -1, np.int32)
-        some = np.flatnonzero(self.bits[hashes >> np.uint64(44)])
-        at = np.minimum(np.searchsorted(self.hashes, hashes[some]), len(self.hashes) - 1)
-        out[some] = np.where(self.hashes[at] == hashes[some], self.ids[at], -1)
+        slot = (hashes >> np.uint64(44)).astype(np.int64)
+        at, end = self.first[slot], self.first[slot + 1]
+        left = np.flatnonzero(at < end)
+        for _ in range(self.most):
+            here = at[left]
+            hit = self.hashes[here] == hashes[left]
+            out[left[hit]] = self.ids[here[hit]]
+            at[left] += 1
+            left = left[~hit & (here + 1 < end[left])]
+            if not len(left):
+                break
         return out
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -399,57 +414,47 @@ class BatchLattice:
 
 
 class WordEncoder:
-    """Encodes batches of texts, each distinct word once as long as the cache has room."""
+    """Encodes batches of texts, each distinct word once as long as the cache has room. A word is kept without the space
+    in front that every word has; words and their ids stay in Arrow and numpy arrays."""
 
     def __init__(self, lat: Lattice):
         self.batch = BatchLattice(lat)
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.sizes, self.starts, self.ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        self.n_ids = 0
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        out = [self.known.get(w, -1) for w in words]
-        new = [w for w, k in zip(words, out, strict=True) if k < 0]
-        if new:
-            sizes, starts, ids = self.batch.encode(new)
-            base = len(self.known)
-            self.known.update(zip(new, range(base, base + len(new)), strict=True))
-            self.sizes.append(sizes)
-            self.starts.append(self.n_ids + starts)
-            self.ids.append(ids)
-            self.n_ids += len(ids)
-            out = [self.known[w] if k < 0 else k for w, k in zip(words, out, strict=True)]
-        return np.array(out, np.int64)
+        self.known, self.offsets, self.ids = WordTable(), np.zeros(1, np.int32), np.zeros(0, np.int32)
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The words' places in offsets; new ones are encoded."""
+        coded = words.dictionary_encode()
+        out = self.known.find(coded.dictionary)
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new = coded.dictionary.take(pa.array(missing))
+            sizes, starts, ids = self.batch.encode([SPACE + w for w in new.to_pylist()])
+            order = np.argsort(starts, kind="stable")  # of their ids; no word is without one
+            out[missing[order]] = len(self.offsets) - 1 + np.arange(len(new))
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes[order])]).astype(np.int32)
+            self.ids = np.concatenate([self.ids, ids])
+            self.known.add(new, out[missing])
+        return out[np.asarray(coded.indices)]
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """Lists of ids; a null text counts as empty."""
-        if len(self.known) > CACHE_WORDS:
+        if self.known.nbytes + self.offsets.nbytes + self.ids.nbytes > CACHE_BYTES:
             self.reset()
         texts = pc.fill_null(texts, "")
-        odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.match_substring(texts, SPACE), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " "))))
-        if pc.any(odd).as_py():  # runs of spaces: cut with care
-            rows = [WORDS.findall(SPACE + t.replace(" ", SPACE)) if x else [SPACE + w for w in t.split(" ")] if t else [] for t, x in zip(texts.to_pylist(), odd.to_pylist(), strict=True)]
-            n_words = np.array([len(r) for r in rows], np.int64)
-            n_words[np.asarray(pc.equal(texts, "").to_numpy(zero_copy_only=False))] = 0
-            flat = pa.array([w for r, n in zip(rows, n_words, strict=True) for w in r[:n]], pa.string()).dictionary_encode()
-            words = flat.dictionary.to_pylist()
-        else:
-            parts = pc.split_pattern(texts, " ")
-            n_words = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-            empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
-            flat = parts.flatten().filter(pa.array(np.repeat(~empty, n_words))).dictionary_encode()
-            n_words[empty] = 0
-            words = [SPACE + w for w in flat.dictionary.to_pylist()]
-        at = self.numbers(words)[np.asarray(flat.indices)] if len(flat) else np.zeros(0, np.int64)
-        self.sizes, self.starts, self.ids = [np.concatenate(self.sizes)], [np.concatenate(self.starts)], [np.concatenate(self.ids)]
-        starts = self.starts[0]
-        sizes = self.sizes[0][at]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[0][np.repeat(starts[at] - total[:-1], sizes) + np.arange(total[-1])]
-        return pa.ListArray.from_arrays(pa.array(total[np.concatenate([[0], np.cumsum(n_words)])].astype(np.int32)), pa.array(ids, pa.int32()))
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.match_substring(texts, SPACE), pc.or_(pc.starts_with(texts, " "), pc.or_(pc.ends_with(texts, " "), pc.equal(texts, "")))))
+        odd = odd.to_numpy(zero_copy_only=False).astype(bool)
+        parts = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        # runs of spaces are cut with care
+        rows = [[w[1:] for w in WORDS.findall(SPACE + t.replace(" ", SPACE))] if t else [] for t in texts.filter(pa.array(odd)).to_pylist()]
+        n_words = np.concatenate([pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64), np.array([len(r) for r in rows], np.int64)])
+        at = self.numbers(pa.concat_arrays([parts.flatten(), pa.array([w for r in rows for w in r], pa.string())]))
+        taken = pa.ListArray.from_arrays(pa.array(self.offsets), pa.array(self.ids)).take(pa.array(at))
+        ends = np.asarray(taken.offsets)[np.concatenate([[0], np.cumsum(n_words)])]
+        out = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), taken.values)
+        return out.take(pa.array(np.argsort(np.argsort(odd, kind="stable")))) if odd.any() else out
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "piece_ids") -> DataFrame:
@@ -458,14 +463,15 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
     A null or empty text has no pieces. Repeated rows are encoded each; other columns pass through (a column named
     out_col is replaced); an empty table gives an empty table."""
     docs = docs.drop(out_col)
+    small_batches(docs.sparkSession)
     size = F.coalesce(F.length(text_col), F.lit(0))
 
     def small(texts: pa.Array) -> pa.Array:
-        cache, lat = worker_cache(), lattice(model_path)
+        cache, lat = worker_cache("sentencepiece"), lattice(model_path)
         if ("words", model_path) not in cache:
             cache["words", model_path] = WordEncoder(lat)
         encoder = cache["words", model_path]
-        parts = [encoder.encode(texts.slice(k, 1000)) for k in range(0, len(texts), 1000)]
+        parts = [encoder.encode(part) for part in slices(texts, 4000)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     short = docs.where(size <= GIANT).withColumn(out_col, F.arrow_udf(small, "array<int>")(text_col))
@@ -486,29 +492,20 @@ def encode_giants(giants: DataFrame, model_path: str, text_col: str, out_col: st
                     low = max(0, begin - 64)  # room for the states before the start
                     yield pa.RecordBatch.from_pydict({"key": pa.array([key], pa.int64()), "chunk": pa.array([k], pa.int32()), "last": [k == n - 1], "begin": pa.array([begin - low], pa.int32()), "part": [text[low:end]]})
 
-    schema = "key long, chunk int, last boolean, begin int, part string"
-    chunks = written(giants.select("_key", text_col).mapInArrow(cut, schema).repartition("key", "chunk"))
+    chunks = written(giants.select("_key", text_col).mapInArrow(cut, "key long, chunk int, last boolean, begin int, part string"))
+    n_chunks, last = chunks.agg(F.count("*"), F.max("chunk")).first()
+    tasks = max(1, min(-(-n_chunks // TASK_CHUNKS), 16 * int(giants.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    chunks = chunks.repartition(tasks, "key", "chunk")  # the number is given, so small rows are not put together again
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model_path)
         for b in batches:
             for r in b.to_pylist():
                 m = lat.transfer(r["part"], r["begin"], len(r["part"]), r["chunk"] == 0, r["last"])
-                yield pa.RecordBatch.from_pydict({"key": pa.array([r["key"]], pa.int64()), "chunk": pa.array([r["chunk"]], pa.int32()), "width": pa.array([m.shape[1]], pa.int32()), "reach": [zlib.compress(np.packbits(m == 0).tobytes())], "height": pa.array([m.shape[0]], pa.int32())})
-
-    def choose(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("chunk")
-        matrices = []
-        for h, w, raw in zip(pdf["height"], pdf["width"], pdf["reach"], strict=True):
-            bits = np.unpackbits(np.frombuffer(zlib.decompress(raw), np.uint8), count=h * w).reshape(h, w)
-            matrices.append(np.where(bits == 1, 0.0, NEVER))
-        ends = boundary_choice(matrices)
-        return pd.DataFrame({"key": pdf["key"], "chunk": pdf["chunk"], "start_state": [0, *ends[:-1]], "end_state": ends})
+                yield pa.RecordBatch.from_pylist([{"key": r["key"], "node": r["chunk"]} | packed_matrix(m)], pa.schema([("key", pa.int64()), ("node", pa.int32()), *MATRIX]))
 
-    matrices = chunks.mapInArrow(transfers, "key long, chunk int, width int, reach binary, height int")
-    chosen = matrices.groupBy("key").applyInPandas(choose, "key long, chunk int, start_state int, end_state int")
+    chosen = tree_choice(written(chunks.mapInArrow(transfers, f"key long, node int, {MATRIX_DDL}")), last)
+    chosen = chosen.withColumnRenamed("node", "chunk")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model_path)
@@ -525,6 +522,54 @@ def encode_giants(giants: DataFrame, model_path: str, text_col: str, out_col: st
     return giants.join(whole, giants["_key"] == whole["key"]).drop("_key", "key")
 
 
+MATRIX = [("height", pa.int32()), ("width", pa.int32()), ("reach", pa.binary())]
+MATRIX_DDL = "height int, width int, reach binary"
+
+
+def packed_matrix(m: np.ndarray) -> dict:
+    return {"height": m.shape[0], "width": m.shape[1], "reach": zlib.compress(np.packbits(m == 0).tobytes())}
+
+
+def unpacked(t: pa.Table) -> list[np.ndarray]:
+    out = []
+    for h, w, raw in zip(*(t.column(c).to_pylist() for c, _ in MATRIX), strict=True):
+        bits = np.unpackbits(np.frombuffer(zlib.decompress(raw), np.uint8), count=h * w).reshape(h, w)
+        out.append(np.where(bits == 1, 0.0, NEVER))
+    return out
+
+
+def tree_choice(matrices: DataFrame, last: int) -> DataFrame:
+    """(key, node, start_state, end_state) on the best path of each key, from the matrices of its nodes 0 .. last at most.
+
+    Up: the matrices of FAN_IN neighbours are multiplied, level by level, until one is left for each key. Down: between a
+    parent's states those of its children are chosen. A task never holds more than FAN_IN matrices of a key."""
+    levels = [matrices]
+    up = F.floor(F.col("node") / FAN_IN).cast("int")
+
+    def multiply(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        out = reduce(combine, unpacked(t))
+        row = {"key": t.column("key")[0].as_py(), "node": t.column("parent")[0].as_py()} | packed_matrix(out)
+        return pa.Table.from_pylist([row], pa.schema([("key", pa.int64()), ("node", pa.int32()), *MATRIX]))
+
+    def choose(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        start, end = t.column("start_state")[0].as_py(), t.column("end_state")[0].as_py()
+        ends = boundary_choice(unpacked(t), start, end)
+        return pa.table({"key": t.column("key"), "node": t.column("node"), "start_state": pa.array([start, *ends[:-1]], pa.int32()), "end_state": pa.array(ends, pa.int32())})
+
+    while last:
+        below = levels[-1].withColumn("parent", up)
+        levels.append(written(below.groupBy("key", "parent").applyInArrow(multiply, f"key long, node int, {MATRIX_DDL}")))
+        last //= FAN_IN
+    states = levels.pop().select("key", "node", F.lit(0).alias("start_state"), F.lit(0).alias("end_state"))
+    while levels:
+        parents = states.withColumnRenamed("node", "parent")
+        below = levels.pop().withColumn("parent", up).join(parents, ["key", "parent"])
+        states = written(below.groupBy("key", "parent").applyInArrow(choose, "key long, node int, start_state int, end_state int"))
+    return states
+
+
 def decode(rows: DataFrame, model_path: str, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
     """rows with out_col, the text of the pieces: every list decodes on its own, bytes back to characters, less the
     leading space. A null or empty list gives the empty text; bytes that are no UTF-8 become U+FFFD."""
