@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,12 +19,14 @@ def eta_minutes(remaining: Column, rpm: Column, avg_seconds: Column, workers: Co
     return F.greatest(floor, remaining * avg_seconds / 60 / F.greatest(workers, F.lit(1)))
 
 
-def scheduled(arrivals: list[float], spacing: float) -> list[float]:
-    """When requests start if two of them are at least spacing apart."""
-    out: list[float] = []
-    for a in arrivals:
-        out.append(a if not out else max(a, out[-1] + spacing))
-    return out
+def scheduled(rows: DataFrame, key: str, arrival: str, order: list[str], spacing: float) -> DataFrame:
+    """Adds start: a request starts when it arrives, or spacing after the one before if that is later.
+
+    Unrolled, the k-th start is the largest of arrival_j + (k - j) * spacing over all j up to k: a running maximum."""
+    w = Window.partitionBy(key).orderBy(arrival, *order)
+    waited = (F.row_number().over(w) - 1) * F.lit(spacing)
+    ahead = F.max(F.col(arrival) - F.col("_waited")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_waited", waited).withColumn("start", ahead + F.col("_waited")).drop("_waited")
 
 
 def likeness(query: str | None, *fields: str | None) -> float:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import rules, rulesets
+from ..functions import registration, rules, rulesets
 from ..operators import graph
 from .registry import Inline, query, table
 
@@ -134,14 +133,12 @@ def drive_ids(spark, d):
     return rows.select("url", "id", "kind", export.alias("export_url"), F.concat("id", F.when(F.col("kind") == "document", ".txt").otherwise(".bin")).alias("file"))
 
 
-@query("resolved_links", "2.12")
+@query("resolved_links", "2.12", f"""
+SELECT DISTINCT page_id, regexp_replace(CASE WHEN regexp_matches(link, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN link WHEN starts_with(link, '//') THEN regexp_extract(url, '^([a-z]+:)', 1) || link WHEN starts_with(link, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || link
+  ELSE regexp_extract(url, '^([a-z]+://[^?#]*/)', 1) || link END, '#.*$', '') AS resolved FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '{HREF}', 1)) AS link FROM pages) WHERE NOT contains(link, '..') AND NOT starts_with(link, '?')
+""")
 def resolved_links(spark, d):
     """Links made absolute against their page, without fragment."""
-
-    def resolve(base: pa.Array, link: pa.Array) -> pa.Array:
-        from urllib.parse import urldefrag, urljoin
-
-        return pa.array([urldefrag(urljoin(b or "", x or ""))[0] for b, x in zip(base.to_pylist(), link.to_pylist(), strict=True)], pa.string())
-
     rows = table(spark, d, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("link"))
-    return rows.select("page_id", F.arrow_udf(resolve, "string")("url", "link").alias("resolved")).distinct()
+    rows = rows.where(~F.col("link").contains("..") & ~F.col("link").startswith("?"))
+    return rows.select("page_id", F.arrow_udf(registration.resolved, "string")("url", "link").alias("resolved")).distinct()

@@ -183,3 +183,23 @@ def page_scan(spark, d):
 
     files = spark.createDataFrame([("a.pdf", b"one\f?\fthree"), ("b.pdf", b"bad"), ("c.txt", b"plain \xff text"), ("d.html", b"<p>seen</p><script>no</script>")], "path string, content binary")
     return readers.by_format(files, extract)
+
+
+def office_file(paragraphs: list[str]) -> bytes:
+    import io
+    import zipfile
+
+    out, space = io.BytesIO(), "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "".join(f"<w:p><w:r><w:t>{p[:3]}</w:t></w:r><w:r><w:t>{p[3:]}</w:t></w:r></w:p>" for p in paragraphs)
+    with zipfile.ZipFile(out, "w") as archive:
+        archive.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+@query("office_text", "S15", "SELECT n_nationkey || '.docx' AS path, n_name || chr(10) || 'region ' || n_regionkey AS text, NULL AS error FROM nation UNION ALL SELECT 'broken.docx', NULL, 'BadZipFile: File is not a zip file' UNION ALL SELECT 'x.rtf', 'by a converter', NULL")
+def office_text(spark, d):
+    """Office documents by their paragraphs, other formats by a converter of one's own, broken files as errors."""
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()  # 25 rows stand for files
+    files = [(f"{r[0]}.docx", office_file([r[1], f"region {r[2]}"])) for r in rows] + [("broken.docx", b"no zip"), ("x.rtf", b"{}")]
+    df = spark.createDataFrame(files, "path string, content binary")
+    return readers.by_format(df, converters={".rtf": lambda raw: ["by a converter"]}).select("path", "text", "error")

@@ -73,10 +73,18 @@ def question_points(spark, d):
     return numbered_questions(spark, d).groupBy("doc").agg(F.sum(F.coalesce("points", F.lit(0.0))).alias("points"))
 
 
-@query("graded_blocks", "X07")
+GRADED = Inline("doc string, text string", [("a", "1.i trees 3 / 5 pts ok\n1.ii heaps 4.5 / 4.5 pts\n2.iv none here\n3.x late\nmore lines\n 0/2 pt"), ("b", "no blocks, 3 / 5 pts"), ("c", "")])
+
+
+@query("graded_blocks", "X07", rf"""
+WITH l AS ({SQL_LINES.format(rows=GRADED.sql())}),
+h AS (SELECT doc, text, off, regexp_extract(line, '^\s*(\d+\.[ivx]+)\b', 1) AS label, length(regexp_extract(line, '^\s*\d+\.[ivx]+')) AS n FROM l WHERE regexp_matches(line, '^\s*\d+\.[ivx]+\b')),
+b AS (SELECT doc, label, off, substr(text, (off + n)::BIGINT + 1, (coalesce(lead(off) OVER (PARTITION BY doc ORDER BY off), length(text)) - off - n)::BIGINT) AS body FROM h),
+s AS (SELECT *, regexp_extract(body, '(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)\s*pts?', 1) AS got, regexp_extract(body, '(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)\s*pts?', 2) AS most FROM b)
+SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY off) - 1)::INT AS place, label, try_cast(got AS DOUBLE) AS score, try_cast(most AS DOUBLE) AS max_score, trim(body, ' ' || chr(10)) AS body FROM s WHERE got <> ''
+""")
 def graded_blocks(spark, d):
-    rows = Inline("doc string, text string", [("a", "1.i trees 3 / 5 pts ok\n1.ii heaps 4.5 / 4.5 pts\n2.iv none here")]).df(spark)
-    return records.split_rows(rows, records.graded_blocks, "label string, score double, max_score double, body string")
+    return records.split_rows(GRADED.df(spark), records.graded_blocks, "label string, score double, max_score double, body string")
 
 
 @query("thin_captions", "W07")
@@ -97,10 +105,14 @@ def packed_pieces(spark, d):
     return pieces.select("doc_id", "piece", F.length("part").alias("chars"))
 
 
-@query("markdown_sections", "X10")
+SUMMARIES = Inline("doc string, text string", [("a", "## 6 Formulas\nx = 1\ny = 2\n## 7 Other\nno\n## 8 Pitfalls\nlast"), ("b", "nothing"), ("c", "##6\n\n## 8. x\n"), ("d", "# 6 no\n### 8 no")])
+
+
+@query("markdown_sections", "X10", rf"""
+SELECT doc, coalesce(regexp_extract(text || chr(10) || '## ', '(?s)##\s*6[^\n]*\n(.*?)\n##\s', 1), '') AS six, coalesce(regexp_extract(text || chr(10) || '## ', '(?s)##\s*8[^\n]*\n(.*?)\n##\s', 1), '') AS eight FROM {SUMMARIES.sql()}
+""")
 def markdown_sections(spark, d):
-    rows = Inline("doc string, text string", [("a", "## 6 Formulas\nx = 1\ny = 2\n## 7 Other\nno\n## 8 Pitfalls\nlast"), ("b", "nothing")]).df(spark)
-    return rows.select("doc", records.sections(F.col("text"), "6").alias("six"), records.sections(F.col("text"), "8").alias("eight"))
+    return SUMMARIES.df(spark).select("doc", records.sections(F.col("text"), "6").alias("six"), records.sections(F.col("text"), "8").alias("eight"))
 
 
 HEADS = Inline("doc string, start int, length int", [("a", 0, 100), ("a", 40, 100), ("a", 70, 100), ("b", 5, 9)])

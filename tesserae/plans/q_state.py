@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import retrieve, state
+from ..shared import shared_dir
+from ..sources import sinks
 from .registry import Inline, query, table
 
 
@@ -92,10 +94,28 @@ def memo_lookup(spark, d):
     return state.memoized(requests, F.broadcast(memo), "k", F.concat(F.lit("computed "), "lang"), "val").select("doc_id", "k", "val", "hit")
 
 
-@query("seeded_sample", "T11")
+@query("seeded_sample", "T11", "SELECT p_partkey, p_name FROM part ORDER BY md5('7|' || p_partkey), p_partkey LIMIT 25")
 def seeded_sample(spark, d):
     """A sample of fixed size by a seeded hash: the same rows on any cluster."""
-    return table(spark, d, "part").select("p_partkey", "p_name").orderBy(F.xxhash64(F.lit(7), "p_partkey"), "p_partkey").limit(25)
+    return table(spark, d, "part").select("p_partkey", "p_name").orderBy(F.md5(F.concat(F.lit("7|"), F.col("p_partkey").cast("string"))), "p_partkey").limit(25)
+
+
+@query("partition_rebuild", "K04 O11", """
+SELECT doc_id, lang, CASE WHEN lang = 'en' THEN 'new' ELSE 'old' END AS version FROM documents WHERE lang IS NOT NULL AND (lang <> 'en' OR length(text) > 500)
+""")
+def partition_rebuild(spark, d):
+    """Stored rows in partitions; one is dropped and built anew, the others are not touched."""
+    path = shared_dir(spark)
+    docs = table(spark, d, "documents").where("lang IS NOT NULL")
+    docs.select("doc_id", F.lit("old").alias("version"), "lang").write.partitionBy("lang").parquet(path)
+    sinks.overwrite_partition(docs.where("lang = 'en' AND length(text) > 500").select("doc_id", F.lit("new").alias("version"), "lang"), path, "lang")
+    return spark.read.schema("doc_id long, version string, lang string").parquet(path).select("doc_id", "lang", "version")
+
+
+@query("json_rows", "K11", "SELECT to_json({'key': n_nationkey, 'name': n_name, 'region': n_regionkey})::VARCHAR AS body FROM nation")
+def json_rows(spark, d):
+    """A table as JSON rows, for a service that answers with them."""
+    return table(spark, d, "nation").select(F.to_json(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))).alias("body"))
 
 
 @query("append_log", "Z05 D23", "SELECT user_id, ts::DATE AS day, string_agg(event_type, '>' ORDER BY ts, event_id) AS trail FROM events GROUP BY ALL")

@@ -104,15 +104,15 @@ def collision_suffix(spark, d):
     return f.withColumn("k", k).select("owner", "name", F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat(F.regexp_replace("name", r"\.pdf$", ""), F.lit("-"), F.col("k").cast("string"), F.lit(".pdf"))).alias("saved"))
 
 
-@query("rate_limit_schedule", "R05")
-def rate_limit_schedule(spark, d):
-    rows = Inline("region string, arrival double", [("a", 0.0), ("a", 1.0), ("a", 20.0), ("b", 0.0)]).df(spark)
+ARRIVALS = Inline("region string, n int, arrival double", [("a", 1, 0.0), ("a", 2, 1.0), ("a", 3, 20.0), ("a", 4, 50.0), ("a", 5, 50.0), ("a", 6, 51.5), ("b", 1, 3.0)])
 
-    def plan(pdf):
-        pdf = pdf.sort_values("arrival")
-        return pdf.assign(start=telemetry.scheduled(pdf["arrival"].tolist(), 12.0))
 
-    return rows.groupBy("region").applyInPandas(plan, "region string, arrival double, start double")
+@query("rate_limit_schedule", "R05", f"""
+WITH RECURSIVE s AS (SELECT region, n, arrival, arrival AS start FROM {ARRIVALS.sql()} WHERE n = 1 UNION ALL SELECT a.region, a.n, a.arrival, greatest(a.arrival, s.start + 12) FROM s JOIN {ARRIVALS.sql()} a ON a.region = s.region AND a.n = s.n + 1) SELECT region, arrival, start FROM s
+""")
+def rate_limit_schedule(spark, d):
+    """When requests start if two of a region are at least twelve seconds apart, in one pass over each region."""
+    return telemetry.scheduled(ARRIVALS.df(spark), "region", "arrival", ["n"], 12.0).select("region", "arrival", "start")
 
 
 COURSES = Inline("id int, name string, code string", [(1, "Intro to Statistics", "ACMS 101"), (2, "Computer Architecture", "CSE 321"), (3, "Programming Paradigms", "CSE 332"), (4, None, "COMP ARCH LAB"), (5, "zzz", None)])

@@ -67,6 +67,18 @@ def chunk_documents(spark, d):
     return docs.select("doc_id", F.posexplode(text.chunks("text")).alias("chunk", "chunk_text"))
 
 
+LENGTHS = Inline("doc string, text string", [(f"n{n}", "x" * (n - 1) + "é") for n in (1, 1299, 1300, 1301, 1400, 1500, 1501, 2600, 2700)] + [("blank", " \n\t "), ("empty", ""), ("nbsp", "\u00a0 inside\u00a0"), ("astral", "😀" * 1400), ("none", None)])
+
+
+@query("chunk_edges", "X01 Q1", f"""
+WITH s AS (SELECT doc, trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS t FROM {LENGTHS.sql()})
+SELECT doc, (i // 1300)::INT AS chunk, length(substr(t, i + 1, 1500))::INT AS chars, md5(substr(t, i + 1, 1500)) AS digest FROM (SELECT doc, t, unnest(range(0, length(t), 1300)) AS i FROM s)
+""")
+def chunk_edges(spark, d):
+    rows = LENGTHS.df(spark).select("doc", F.posexplode(text.chunks("text")).alias("chunk", "part"))
+    return rows.select("doc", "chunk", F.length("part").alias("chars"), F.md5("part").alias("digest"))
+
+
 @query("dedup_keep_first", "A13 O10 Q2", f"SELECT doc_id, sha1({SQUEEZED.format('text')}) AS content_hash FROM {CORPUS}")
 def dedup_keep_first(spark, d):
     rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.content_hash("text").alias("content_hash"))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The folder of a local session without spark.checkpoint.dir, by application.
 _LOCAL: dict[str, tempfile.TemporaryDirectory] = {}
+#: Folders made so far, by application.
+_MADE: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
         if sc.applicationId not in _LOCAL:
             _LOCAL[sc.applicationId] = tempfile.TemporaryDirectory(prefix="tesserae-", ignore_cleanup_errors=True)
         top = "file://" + _LOCAL[sc.applicationId].name
-    return f"{top.rstrip('/')}/tesserae-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/tesserae-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes what this session has put into the shared folder. Call it when results are saved: frames that still read
+    these tables can't be used any longer."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def written(df: DataFrame) -> DataFrame:

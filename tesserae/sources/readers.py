@@ -46,21 +46,25 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*", skip_dirs: tu
     return spark.createDataFrame(found, "path string, size long")
 
 
-def by_format(files: DataFrame, extract_pdf: Callable[[bytes], list] | None = None) -> DataFrame:
-    """(path, page, text, error) of files (path, content): HTML stripped, plain text as it is, PDF pages by the given function.
+def by_format(files: DataFrame, extract_pdf: Callable[[bytes], list] | None = None, converters: dict[str, Callable[[bytes], list]] | None = None) -> DataFrame:
+    """(path, page, text, error) of files (path, content): HTML stripped, plain text as it is, PDF pages by the given
+    function, office documents by docx_text, other extensions by converters.
 
-    The function returns a text for each page, or an exception for one that can't be read; if it raises, the file gives a
+    A function returns a text for each page, or an exception for one that can't be read; if it raises, the file gives a
     single row. Such rows have an error and no text, so nothing is lost without a trace."""
 
+    extractors = {".docx": docx_text, ".pdf": extract_pdf or (lambda raw: [])} | (converters or {})
+
     def pages(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for pdf in batches:
             rows = []
             for path, raw in zip(pdf["path"], pdf["content"], strict=True):
-                if path.lower().endswith(".pdf"):
+                extract = extractors.get("." + path.lower().rpartition(".")[2])
+                if extract:
                     try:
-                        found = extract_pdf(raw) if extract_pdf else []
+                        found = extract(raw)
                     except Exception as e:
                         rows.append((path, None, None, f"{type(e).__name__}: {e}"))
                         continue
@@ -75,6 +79,18 @@ def by_format(files: DataFrame, extract_pdf: Callable[[bytes], list] | None = No
     return rows.withColumn("text", F.when(is_html, text.html_to_text("text")).otherwise(F.col("text")))
 
 
+def docx_text(raw: bytes) -> list[str]:
+    """The paragraphs of an office document (a zip with WordprocessingML), as one page; a broken one raises."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(io.BytesIO(raw)) as archive:
+        root = ElementTree.fromstring(archive.read("word/document.xml"))
+    space = root.tag.partition("}")[0] + "}"
+    return ["\n".join("".join(t.text or "" for t in p.iter(f"{space}t")) for p in root.iter(f"{space}p")).strip()]
+
+
 def magic_kind(content: str, content_type: str | None = None):
     """Kind of a binary by its first bytes and, if a column of declared types is named, by these."""
     head = F.substring(content, 1, 4)

@@ -189,5 +189,11 @@ def test_packing_loses_no_letters(text):
     assert "".join(out).replace(" ", "").replace("\n", "") == text.replace(" ", "").replace("\n", "")
 
 
-def test_schedule_keeps_the_spacing():
-    assert telemetry.scheduled([0, 1, 20], 12) == [0, 12, 24]
+def test_schedule_equals_a_step_by_step_one(spark):
+    r = random.Random(5)
+    arrivals = sorted(r.choice((0, 5, 7.5, 20, 21, 60, 100)) * 1.0 for _ in range(30))
+    want: list[float] = []
+    for a in arrivals:
+        want.append(max(a, want[-1] + 12) if want else a)
+    df = spark.createDataFrame([("x", k, a) for k, a in enumerate(arrivals)], "region string, n int, arrival double")
+    assert [x["start"] for x in telemetry.scheduled(df, "region", "arrival", ["n"], 12.0).orderBy("n").collect()] == want

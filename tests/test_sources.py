@@ -34,3 +34,31 @@ def test_overwrite_touches_only_its_partitions(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "b")], "course int, v string").write.partitionBy("course").parquet(path)
     sinks.overwrite_partition(spark.createDataFrame([(1, "z")], "course int, v string"), path, "course")
     assert sorted((r["course"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, "z"), (2, "b")]
+
+
+def test_shared_tables_are_removed_when_asked(spark):
+    import os
+
+    from tesserae import shared
+
+    kept = shared.written(spark.range(3))
+    folder = shared._MADE[spark.sparkContext.applicationId][-1].removeprefix("file://")
+    assert kept.count() == 3 and os.path.isdir(folder)
+    shared.clean(spark)
+    assert not os.path.exists(folder)
+
+
+def test_scans_are_dealt_only_where_tasks_are_few(spark):
+    from tesserae.shared import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == cores
+    assert spread(spark.range(0, 100, 1, cores + 3)).rdd.getNumPartitions() == cores + 3
+
+
+def test_listing_does_not_enter_skipped_folders(spark, tmp_path):
+    for name in ("a/x.pdf", "a/skip/y.pdf", "b/z.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("12")
+    got = {(r["path"].rsplit("/", 1)[1], r["size"]) for r in readers.list_files(spark, f"file://{tmp_path}", "*.pdf", ("skip",)).collect()}
+    assert got == {("x.pdf", 2)}
