@@ -9,10 +9,12 @@ in 64-bit words), with one scalar s = <code, Ro>, where code has entries +-1/sqr
 Search: for a query q the inner product <o, q> is estimated by <code, Rq> / s. Rq is rounded to PLANES bits a component,
 so that the sum needs only AND and popcount on packed words. The estimate is off by at most the rounding (a fixed bound)
 and, with probability about 1 - 2 exp(-c * EPSILON^2), by sqrt((1 - s^2) / s^2) * EPSILON / sqrt(D - 1). Rows whose upper
-bound lies below the k-th best exact score known are dropped; only the others' original vectors are read, for the exact
-cosine in double precision. First each query is compared with its own cell, then with every cell that can hold a nearer
-row: one whose centroid's angle less its radius is small enough. Queries are packed into blocks and joined to the cells'
-blocks, so neither the driver nor the plan grows with their number; each pair of blocks returns k rows for each query.
+bound lies below the k-th best score known are dropped. Only the others' original vectors are read, in single precision
+first; for the few that can still be among the k best the exact cosine in double precision is taken.
+
+First each query is compared with its own cell, then with every cell that can hold a nearer row: one whose centroid's
+angle less its radius is small enough. Queries are packed into blocks and joined to the cells' blocks, so neither the
+driver nor the plan grows with their number; each pair of blocks returns k rows for each query.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .common import small_batches, written
 
 EPSILON = 4.0
 PLANES = 6
+#: How far a cosine in single precision may be off.
+ROUGH = 1e-4
 #: Rows that the centroids of one dimension are fitted on (a bound in expectation by the hash of vec_id, and twice it at most).
 SAMPLE = 16384
 MAX_CELLS = 1024
@@ -226,47 +230,52 @@ def best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.n
 
 
 def search_block(queries: tuple[np.ndarray, ...], block: tuple[np.ndarray, ...], k: int, epsilon: float, turn: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(query, row, score) of each query's k best rows of the block that reach its floor.
+    """(query's id, row's id, score) of each query's k best rows of the block that reach its floor.
 
     queries: ids, vectors, floors (the k-th best score known); block: ids, codes, scalars, vectors."""
     ids_q, full, floor = queries
-    ids, codes, scalars, x = block
-    coded, floor = Queries(units_of(full), turn), floor.copy()
-    parts = [], [], []
+    keep = first_of_equals(block[0], block[3], k + 1)
+    ids, codes, scalars, x = (part[keep] for part in block)
+    units, floor = units_of(full), floor.copy()
+    single, rows32 = units.astype(np.float32), units_of(x).astype(np.float32)
+    found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     for a in range(0, len(ids_q), 128):
         rows = slice(a, a + 128)
-        some = Queries.__new__(Queries)
-        some.dim, some.low, some.step, some.sums = coded.dim, coded.low[rows], coded.step[rows], coded.sums[rows]
-        some.planes = [p[rows] for p in coded.planes]
-        upper = some.upper(codes, scalars, epsilon)
-        other = ids[None, :] != ids_q[rows, None]
-        upper[~other] = -np.inf
-        done = np.zeros(upper.shape, bool)
-        if not np.isfinite(floor[rows]).all():  # no floor yet: one from the best bounds
-            first = np.argpartition(-upper, min(k, upper.shape[1] - 1), axis=1)[:, : k + 1]
-            np.put_along_axis(done, first, True, axis=1)
-            done &= other
-            q, r = np.nonzero(done)
-            score = cosine(full[rows][q], x[r])
-            kth = np.full(len(upper), -np.inf)
-            pick = best(q, ids[r], score, k)
-            n = np.bincount(q[pick], minlength=len(upper))
-            ends = np.cumsum(n)[n == k] - 1
-            kth[n == k] = score[pick][ends]
-            floor[rows] = np.maximum(floor[rows], kth)
-            parts[0].append(q + a)
-            parts[1].append(r)
-            parts[2].append(score)
-        q, r = np.nonzero((upper >= floor[rows, None]) & other & ~done)
-        for s in range(0, len(q), 50_000):
-            parts[0].append(q[s : s + 50_000] + a)
-            parts[1].append(r[s : s + 50_000])
-            parts[2].append(cosine(full[rows][q[s : s + 50_000]], x[r[s : s + 50_000]]))
-    q, r, score = (np.concatenate([np.zeros(0, t), *p]) for p, t in zip(parts, (np.int64, np.int64, float), strict=True))
-    keep = score >= floor[q]
-    q, r, score = q[keep], r[keep], score[keep]
-    pick = best(q, ids[r], score, k)
-    return q[pick], r[pick], score[pick]
+        upper = Queries(units[rows], turn).upper(codes, scalars, epsilon)
+        upper[ids[None, :] == ids_q[rows, None]] = -np.inf
+        if not np.isfinite(floor[rows]).all() and upper.shape[1] > k:  # no floor yet: one from the best bounds
+            first = np.argpartition(-upper, k, axis=1)[:, :k]
+            near = np.einsum("ij,ikj->ik", single[rows], rows32[first])
+            near[~np.isfinite(np.take_along_axis(upper, first, 1))] = -np.inf
+            floor[rows] = np.maximum(floor[rows], near.min(axis=1) - ROUGH)
+        q, r = np.nonzero(upper >= np.where(np.isfinite(floor[rows]), floor[rows], -2.0)[:, None])
+        ends = np.searchsorted(q, np.arange(len(upper) + 1))
+        left = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for i in range(len(upper)):  # the vectors left, in single precision, before the few that can be among the k best
+            own = r[ends[i] : ends[i + 1]]
+            near = rows32[own] @ single[a + i]
+            least = floor[a + i] if len(own) <= k else max(floor[a + i], np.partition(near, -k)[-k])
+            own = own[near >= least - ROUGH]
+            left.append((np.full(len(own), a + i), own))
+        q, r = (np.concatenate(p) for p in zip(*left, strict=True))
+        for at in range(0, len(q), 16_384):
+            some = q[at : at + 16_384], r[at : at + 16_384]
+            q_, r_, score = (np.concatenate(p) for p in zip(found, (*some, cosine(full[some[0]], x[some[1]])), strict=True))
+            pick = best(q_, ids[r_], score, k)
+            found = q_[pick], r_[pick], score[pick]
+    q, r, score = found
+    return ids_q[q], ids[r], score
+
+
+def first_of_equals(ids: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """Places of the rows that can be among a query's nearest: of equal vectors, which all score alike, the n least ids."""
+    raw = np.ascontiguousarray(x).view(np.uint64)
+    with np.errstate(over="ignore"):
+        keys = (raw * np.random.default_rng(5).integers(1, 1 << 64, x.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    order = np.lexsort((ids, keys))
+    new = np.concatenate([[True], (raw[order[1:]] != raw[order[:-1]]).any(axis=1)]) if len(ids) else np.zeros(0, bool)
+    place = np.arange(len(ids))
+    return np.sort(order[place - np.maximum.accumulate(np.where(new, place, 0)) < n])
 
 
 def scanned(blocks: DataFrame, packed: DataFrame, k: int, epsilon: float) -> DataFrame:
@@ -283,7 +292,7 @@ def scanned(blocks: DataFrame, packed: DataFrame, k: int, epsilon: float) -> Dat
                 ids, ids_q = raw("ids", "<i8"), raw("query_ids", "<i8")
                 block = ids, raw("codes", "<u8").reshape(len(ids), -1), raw("scalars", "<f8"), raw("vectors", "<f8").reshape(-1, dim)
                 q, r, score = search_block((ids_q, raw("queries", "<f8").reshape(-1, dim), raw("floors", "<f8")), block, k, epsilon, turns[dim])
-                yield pa.RecordBatch.from_arrays([pa.array(ids_q[q]), pa.array(ids[r]), pa.array(score)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(r), pa.array(score)], ["query_id", "vec_id", "score"])
 
     return written(blocks.join(packed, ["dim", "cell", "block"]).mapInArrow(scan, FOUND))
 

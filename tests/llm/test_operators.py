@@ -274,6 +274,14 @@ def test_search_equals_brute_force_in_every_dimension(spark, monkeypatch):
     assert {q for q, *_ in got} >= {1000, 1050, 1100} and 1150 not in {q for q, *_ in got}
 
 
+def test_of_equal_vectors_the_least_ids_are_enough():
+    r = np.random.default_rng(7)
+    x = r.integers(0, 2, (300, 3)).astype(np.float64)
+    ids = r.permutation(300)
+    want = sorted(int(k) for row in np.unique(x, axis=0) for same in [np.flatnonzero((x == row).all(axis=1))] for k in same[np.argsort(ids[same])][:4])
+    assert onebit_search.first_of_equals(ids, x, 4).tolist() == want
+
+
 def test_bounds_hold():
     r = np.random.default_rng(6)
     x, q = (onebit_search.units_of(r.standard_normal((n, 70))) for n in (2000, 20))
