@@ -39,7 +39,7 @@ def state_left_joins(spark, d):
     return out.select("doc_id", fill("quality", 0).alias("quality"), fill("toxic", 0).alias("toxic"), fill("starred", False).alias("starred"), fill("label", -1).alias("attempts"))
 
 
-@query("anti_not_done", "J04 U06 M10 O15", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("anti_not_done", "J04 U06 O15", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 def anti_not_done(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 

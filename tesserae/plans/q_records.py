@@ -47,7 +47,7 @@ def split_preambles(spark, d):
     return records.split_rows(TEXTS.df(spark), records.preamble_spans, records.PREAMBLE)
 
 
-@query("titled_records", "X08")
+@query("titled_records", "X08 Q12")
 def titled_records(spark, d):
     return records.split_rows(TEXTS.df(spark), records.titled_spans, records.TITLED_RECORD)
 

@@ -234,7 +234,7 @@ COURSES = Inline("course int", [(1,), (2,), (9,)])
 GRAPHS = Inline("course int, key string, label string", [(1, "a", "Start"), (1, "b", "Next"), (2, "x", "Loop"), (0, "s", "Statistics")])
 
 
-@query("graph_for_course", "G05", f"""
+@query("graph_for_course", "G05 Q19", f"""
 SELECT c.course, coalesce(g.key, f.key) AS key, coalesce(g.label, f.label) AS label, g.key IS NULL AS fallback FROM {COURSES.sql()} c LEFT JOIN {GRAPHS.sql()} g ON g.course = c.course LEFT JOIN {GRAPHS.sql()} f ON f.course = 0 AND g.key IS NULL
 """)
 def graph_for_course(spark, d):
@@ -246,3 +246,37 @@ def graph_for_course(spark, d):
     return out.select("course", F.coalesce("key", "d_key").alias("key"), F.coalesce("label", "d_label").alias("label"), "fallback")
 
 
+BODIES = Inline("id int, body string", [(1, "see https://a.org/x, and https://a.org/x. Also (https://a.org/y)"), (2, "https://a.org/x\\ https://a.org/z?q=1;"), (3, "none"), (4, "http://a.org/x")])
+
+
+@query("normalized_links", "Q18 A18 S21", rf"""
+SELECT link, count(*)::BIGINT AS n FROM (SELECT rtrim(unnest(regexp_extract_all(body, 'https?://[^\s<>"]+')), '.,;:)]\') AS link FROM {BODIES.sql()}) GROUP BY link
+""")
+def normalized_links(spark, d):
+    """Links of running text, trailing marks and backslashes off in the one place where links are read."""
+    found = F.explode(F.regexp_extract_all("body", F.lit(r'https?://[^\s<>"]+'), F.lit(0))).alias("raw")
+    links = BODIES.df(spark).select(found).select(F.regexp_replace("raw", r"[.,;:)\]\\]+$", "").alias("link"))
+    return links.groupBy("link").agg(F.count("*").alias("n"))
+
+
+BULK = Inline("job string, item int, cached boolean, ok boolean", [("a", 1, True, None), ("a", 2, False, True), ("a", 3, False, False), ("a", 4, None, True), ("b", 1, True, True)])
+
+
+@query("bulk_counters", "Q21 A21", f"SELECT job, count(*) FILTER (cached)::BIGINT AS skipped, count(*) FILTER (NOT coalesce(cached, FALSE) AND ok)::BIGINT AS done, count(*) FILTER (NOT coalesce(cached, FALSE) AND NOT coalesce(ok, FALSE))::BIGINT AS failed FROM {BULK.sql()} GROUP BY job")
+def bulk_counters(spark, d):
+    """Items that were there already are counted as skipped, apart from those done and failed."""
+    there, ok = F.coalesce("cached", F.lit(False)), F.coalesce("ok", F.lit(False))
+    return BULK.df(spark).groupBy("job").agg(F.count_if(there).alias("skipped"), F.count_if(~there & ok).alias("done"), F.count_if(~there & ~ok).alias("failed"))
+
+
+ORDERED = ["exams", "practice", "homeworks", "in_class"]
+SOURCES = Inline("category string, path string, stem string", [("practice", "p1", "Find X"), ("exams", "e1", "find x"), ("homeworks", "h1", "other"), ("in_class", "c1", "OTHER"), ("tables", "t1", "left out")])
+
+
+@query("category_order", "Q13 A14", f"SELECT arg_min(path, (o, path)) AS path, arg_min(category, (o, path)) AS category FROM (SELECT *, list_position(['exams', 'practice', 'homeworks', 'in_class'], category) AS o FROM {SOURCES.sql()}) WHERE o > 0 GROUP BY lower(stem)")
+def category_order(spark, d):
+    """Categories are walked in a fixed order, which decides between equal records."""
+    place = F.array_position(F.array(*[F.lit(c) for c in ORDERED]), F.col("category"))
+    rows = SOURCES.df(spark).withColumn("o", place).where("o > 0")
+    by = F.struct("o", "path")
+    return rows.groupBy(F.lower("stem")).agg(F.min_by("path", by).alias("path"), F.min_by("category", by).alias("category")).select("path", "category")
