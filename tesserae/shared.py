@@ -42,9 +42,12 @@ def clean(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows are written to the shared folder and read from there."""
+    """Cuts the lineage: the rows are written to the shared folder and read from there.
+
+    Zstandard works on heap buffers, while the default codec keeps direct ones as large as the largest page; small row
+    groups bound what a writer buffers."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**{"compression": "zstd", "parquet.block.size": str(16 << 20)}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
