@@ -18,7 +18,7 @@ from ..shared import shared_dir, written  # noqa: F401
 
 MB = 1 << 20
 #: Bytes that an Arrow batch on its way to a Python worker, and a slice that a kernel works on, have at most (one row at least).
-BATCH_BYTES, SLICE_BYTES = 8 * MB, 4 * MB
+BATCH_BYTES, SLICE_BYTES = 4 * MB, MB
 #: A key is heavy if more than one row of HEAVY_SHARE has it, so there are fewer heavy keys than that.
 HEAVY_SHARE = 10_000
 
@@ -95,7 +95,7 @@ def worker_cache(owner: str) -> dict:
 
 
 def give_back() -> None:
-    """Returns freed memory of this worker to the system."""
+    """Returns freed memory of this worker to the system. Kernels call it when a task ends, as idle workers stay alive."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, worker_cache, written
+from .common import give_back, slices, small_batches, worker_cache, written
 from .shingles import window_hashes, word_hashes
 
 MIN_MATCH = 5
@@ -224,6 +224,7 @@ def scanning(spark, rows: list, coverage: float, k: int):
                     types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
                     names = ["number", "doc_id", "item_id", "n_tiles", "matched_words", "item_words", "coverage"]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        give_back()
 
     return scan
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_below, join_counted, slices, small_batches, worker_cache, written
+from .common import broadcast_below, give_back, join_counted, slices, small_batches, worker_cache, written
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -161,6 +161,7 @@ def classed(docs: DataFrame, k: int, threshold: float) -> DataFrame:
                 sets = shingle_sets(b.column(1), k)
                 bands = [band_keys(minhash(s)).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.binary())], ["doc_id", "set_key", "size", "bands"])
+        give_back()
 
     signed = written(docs.mapInArrow(sign, "doc_id long, set_key binary, size long, bands binary"))
     filled = signed.where(F.col("set_key").isNotNull())
@@ -208,6 +209,7 @@ def compared(docs: DataFrame, members: DataFrame, n_rows: int, k: int, threshold
             for b in slices(batch, 1000):
                 sets = [s for s in shingle_sets(b.column(0), k) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([minhash(s).tobytes() for s in sets], pa.binary())], ["set_key", "shingles", "signature"])
+        give_back()
 
     reps = broadcast_below(members.select("rep").distinct(), n_rows, BROADCAST_ROWS)  # a number a row; beyond that, a shuffled join
     sets = docs.join(reps, docs["doc_id"] == reps["rep"]).select("text").mapInArrow(prepare, "set_key binary, shingles binary, signature binary")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_below, join_counted, slices, small_batches, worker_cache, written
+from .common import broadcast_below, give_back, join_counted, slices, small_batches, worker_cache, written
 
 BLANK = b" \t\n\x0b\x0c\r"
 SEGMENTS = 64
@@ -113,6 +113,8 @@ def twice_filter(docs: DataFrame, min_chars: int, bits: int, number: int = 0, pa
                     seen.clear()
         if seen:
             yield from emit()
+            seen.clear()
+        give_back()
 
     def merge(pdf):
         import pandas as pd
@@ -174,6 +176,7 @@ def suspected(docs: DataFrame, min_chars: int, twice: np.ndarray, bits: int, num
                 at = positions(digests[mine, 0], bits)
                 hit = mine[((seen[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[i] for i in hit], pa.int64()), "digest": pa.array([x.tobytes() for x in digests[hit]], pa.binary()), "key": pa.array([keys[i] for i in hit], pa.binary())})
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(probe, "doc_id long, digest binary, key binary")
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, worker_cache, written
+from .common import SLICE_BYTES, slices, small_batches, worker_cache, written
 from .words import WordTable
 
 SPACE = "▁"
@@ -34,7 +34,7 @@ GIANT = 4 * CHUNK
 #: Chunks of a task, and matrices that a task multiplies.
 TASK_CHUNKS, FAN_IN = 8, 16
 #: Bytes of words and their ids that a worker keeps.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 64 << 20
 NEVER = -np.inf
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 INFINITE = float("inf")
@@ -471,7 +471,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
         if ("words", model_path) not in cache:
             cache["words", model_path] = WordEncoder(lat)
         encoder = cache["words", model_path]
-        parts = [encoder.encode(part) for part in slices(texts, 4000)]
+        parts = [encoder.encode(part) for part in slices(texts, 4000, size_bytes=2 * SLICE_BYTES)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     short = docs.where(size <= GIANT).withColumn(out_col, F.arrow_udf(small, "array<int>")(text_col))
