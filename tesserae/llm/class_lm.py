@@ -4,7 +4,8 @@ Counts come from all training texts. The classes are found on units: the UNITS_W
 text, and for all other words one of UNITS_SHAPES groups by their last letters. Unit pairs are counted per task in one
 matrix, and the matrices are summed in a tree with a fan-in of 64, so what a task or the driver holds doesn't depend on
 the corpus. Then every other word seen MIN_COUNT times or more goes to the class that its own counted contexts (classes
-before and after it) gain most from; contexts and (word, n, class) stay distributed tables. The last letters decide only
+before and after it) gain most from; contexts and (word, n, class) stay distributed tables. In VOCABULARY_SWEEPS further
+passes they all choose anew, by the classes that the HEAD most frequent words have by then. The last letters decide only
 for words seen less often or never. Class transitions are counted anew with these classes.
 
     log10 P(text) = sum over tokens of log10 P(class | class before) + log10 P(word | class)
@@ -26,11 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, small_batches, worker_cache, written
+from .words import WordTable
 
 UNITS_WORDS = 767
 UNITS_SHAPES = 256
 UNITS = 1 + UNITS_WORDS + UNITS_SHAPES  # unit 0: the end
 CLASSES = 64
+#: Passes over the vocabulary after the first, in which all words outside the units choose anew.
+VOCABULARY_SWEEPS = 1
 #: Words seen so often have a class of their own contexts.
 MIN_COUNT = 2
 SWEEPS = 6
@@ -186,21 +190,28 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
 CONTEXT = np.dtype([("at", "u1"), ("n", "<u4")])
 
 
-def contexts(docs: DataFrame, top: pa.Array, of: np.ndarray) -> DataFrame:
-    """(word, contexts) for each word outside top: packed counts in a list, summed in a tree so that no list is long."""
+def contexts(docs: DataFrame, top: pa.Array, of: np.ndarray, head=None) -> DataFrame:
+    """(word, contexts) for each word outside top: packed counts in a list, summed in a tree so that no list is long.
+
+    The neighbours' classes are those of their units; with head, a broadcast of words, counts and classes, its words have
+    the classes there."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         worker_cache("class lm")
-        at_node = TaskContext.get().partitionId()
+        at_node, table = TaskContext.get().partitionId(), head and numbered(head.value[0])
         for b in batches:
             words, n_words = tokens_of(b.column(0))
             if not len(words):
                 continue
             coded = words.dictionary_encode()
             units, index = units_of(coded.dictionary, top), np.asarray(coded.indices).astype(np.int64)
-            classes, index = with_ends(of[units][index], n_words, of[0]), with_ends(np.where(units[index] > UNITS_WORDS, index, -1), n_words, -1)
+            class_of = of[units]
+            if table:
+                place = table.find(coded.dictionary)
+                class_of = np.where(place >= 0, head.value[2][place], class_of)
+            classes, index = with_ends(class_of[index], n_words, of[0]), with_ends(np.where(units[index] > UNITS_WORDS, index, -1), n_words, -1)
             at = np.flatnonzero(index >= 0)
             before, after = np.where(at > 0, classes[at - 1], of[0]), classes[at + 1]  # an end is behind each word
             keys, n = np.unique(np.concatenate([index[at] * 2 * CLASSES + before, (index[at] * 2 + 1) * CLASSES + after]), return_counts=True)
@@ -259,18 +270,25 @@ def assigned(found: DataFrame, pairs: np.ndarray, of: np.ndarray) -> DataFrame:
     return found.mapInArrow(choose, "word string, n long, class int")
 
 
+def numbered(words: pa.Array) -> WordTable:
+    """The places of the words."""
+    out = WordTable()
+    out.add(words, np.arange(len(words)))
+    return out
+
+
 class Coder:
     """Texts as classes: those of the head at once, those of other words (-1) as rows to be joined."""
 
     def __init__(self, words: pa.Array, classes: np.ndarray, of: np.ndarray):
-        self.words, self.classes, self.of = words, classes, of  # words[0]: the end
+        self.places_of, self.classes, self.of = numbered(words), classes, of  # words[0]: the end
 
     def code(self, texts: pa.Array) -> None:
         words, self.n_words = tokens_of(texts)
         coded = words.dictionary_encode()
         self.dictionary = coded.dictionary
         index = np.asarray(coded.indices).astype(np.int64)
-        places = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        places = self.places_of.find(coded.dictionary)
         self.index = with_ends(index, self.n_words, -1)
         self.places = with_ends(places[index] if len(index) else index, self.n_words, 0)
         self.now = np.where(self.places >= 0, self.classes[self.places], -1)
@@ -398,14 +416,17 @@ def train(docs: DataFrame, head: int = HEAD) -> Model:
     member = np.zeros((UNITS, CLASSES))
     member[np.arange(UNITS), of] = 1
     top_rows = F.broadcast(spark.createDataFrame([(w, int(of[k])) for k, w in enumerate([END, *top.to_pylist()])], "word string, class int"))
-    rest = assigned(contexts(docs, top, of), member.T @ pairs @ member, of)
-    counts = written(counts.join(top_rows, "word").select("word", "n", "class").union(rest))
     kept = F.broadcast(spark.createDataFrame(pa.table({"word": words})))  # HEAD words at most
-    class_at = dict(zip(*(x.to_pylist() for x in counts.join(kept, "word").select("word", "class").toArrow().columns), strict=True))
-    words = pa.concat_arrays([pa.array([END]), words])
-    n = np.concatenate([[int(pairs[:, 0].sum())], n]).astype(np.int64)
-    head_class = np.array([of[0], *(class_at[w] for w in words.to_pylist()[1:])], np.int64)
-    class_pairs = class_pairs_of(docs, spark.sparkContext.broadcast((words, n, head_class)), of, counts)
+    head_words, head_n = pa.concat_arrays([pa.array([END]), words]), np.concatenate([[int(pairs[:, 0].sum())], n]).astype(np.int64)
+    all_counts, shared = counts, None
+    for _ in range(1 + VOCABULARY_SWEEPS):
+        rest = assigned(contexts(docs, top, of, shared), member.T @ pairs @ member, of)
+        counts = written(all_counts.join(top_rows, "word").select("word", "n", "class").union(rest))
+        class_at = dict(zip(*(x.to_pylist() for x in counts.join(kept, "word").select("word", "class").toArrow().columns), strict=True))
+        head_class = np.array([of[0], *(class_at[w] for w in words.to_pylist())], np.int64)
+        shared = spark.sparkContext.broadcast((head_words, head_n, head_class))
+    words, n = head_words, head_n
+    class_pairs = class_pairs_of(docs, shared, of, counts)
     class_n, class_types = class_pairs.sum(axis=0), np.zeros(CLASSES)
     for r in counts.groupBy("class").agg(F.count("*").alias("n")).collect():  # CLASSES rows
         class_types[r["class"]] = r["n"]
