@@ -21,6 +21,8 @@ MB = 1 << 20
 BATCH_BYTES, SLICE_BYTES = 4 * MB, MB
 #: A key is heavy if more than one row of HEAVY_SHARE has it, so there are fewer heavy keys than that.
 HEAVY_SHARE = 10_000
+#: Narrow rows of a task, and the fewest tasks, of dealt().
+ROWS_PER_TASK, LEAST_TASKS = 200_000, 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +56,13 @@ def join_counted(rows: DataFrame, per_key: DataFrame, key: str, n_rows: int, n:
     return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
 
 
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """Fewer tasks for a table of so many narrow rows, where the session's shuffles have more: steps that are repeated many
+    times spend no time on empty partitions. Nothing is shuffled for it, and a large table keeps all its tasks."""
+    tasks = max(LEAST_TASKS, -(-rows // ROWS_PER_TASK))
+    return df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def crc_mod(key: str | Column, n: int) -> Column:
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key) % n
 
@@ -94,9 +103,10 @@ def worker_cache(owner: str) -> dict:
     return cache.values
 
 
-def give_back() -> None:
+def give_back(collect: bool = True) -> None:
     """Returns freed memory of this worker to the system. Kernels call it when a task ends, as idle workers stay alive."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, written
+from .common import dealt, join_counted, written
 
 
 def stars(edges: DataFrame, n_edges: int, large: bool) -> DataFrame:
@@ -17,7 +17,7 @@ def stars(edges: DataFrame, n_edges: int, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    least = written(least.select("u", F.least("u", "m").alias("m"), "n"))
+    least = written(dealt(least.select("u", F.least("u", "m").alias("m"), "n"), n_edges))
     moved = join_counted(both, least, "u", n_edges * (2 if large else 1))
     if large:
         return moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     now, before = state(edges), None
     while now[0] and now != before:
-        edges = written(stars(edges, now[0], large=True))
-        edges = written(stars(edges, edges.count(), large=False))
+        edges = written(dealt(stars(edges, now[0], large=True), now[0]))
+        edges = written(dealt(stars(edges, now[0], large=False), now[0]))
         now, before = state(edges), now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

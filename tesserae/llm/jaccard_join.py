@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_below, give_back, join_counted, slices, small_batches, worker_cache, written
+from .common import broadcast_below, dealt, give_back, join_counted, slices, small_batches, worker_cache, written
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -175,28 +175,29 @@ def classed(docs: DataFrame, k: int, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column(0)), BANDS)), pa.array(band)], ["node", "band"])
 
     bands = nodes.select("node", "bands").mapInArrow(explode, "node long, band long")
-    least = written(bands.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1"))
-    links = join_counted(bands, least, "band", nodes.count() * BANDS).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    groups = written(components(links).join(nodes.select("node", "set_key", "rep", "copies", "size"), "node"))
+    n_nodes = nodes.count()
+    least = written(dealt(bands.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1"), n_nodes * BANDS))
+    links = join_counted(bands, least, "band", n_nodes * BANDS).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    groups = written(dealt(components(links).join(nodes.select("node", "set_key", "rep", "copies", "size"), "node"), n_nodes))
     n_grouped = groups.count()
-    found = written(compared(docs, dealt(groups, n_grouped), n_grouped, k, threshold))
+    found = written(compared(docs, blocked(groups, n_grouped), n_grouped, k, threshold))
 
     n_links = found.where("kind = 0").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
-    classes = written(components(found.where("kind = 1").select("u", "v")).join(groups.select("node", "set_key", "rep"), "node"))
-    per_class = written(classes.groupBy("root").agg(F.min(F.struct("rep", "set_key")).alias("kept"), F.count("*").alias("n")))
+    classes = written(dealt(components(found.where("kind = 1").select("u", "v")).join(groups.select("node", "set_key", "rep"), "node"), n_grouped))
+    per_class = written(dealt(classes.groupBy("root").agg(F.min(F.struct("rep", "set_key")).alias("kept"), F.count("*").alias("n")), n_grouped))
     classes = join_counted(classes.select("node", "root"), per_class, "root", classes.count()).select("node", F.col("kept.rep").alias("class_id"), F.col("kept.set_key").alias("kept_key"))
     merged = nodes.join(n_links, "node", "left").join(classes, "node", "left")
-    merged = written(merged.select("set_key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("kept_key", "set_key").alias("kept_key"), "copies"))
+    merged = written(merged.select("set_key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("kept_key", "set_key").alias("kept_key"), "copies").transform(dealt, n_nodes))
     cols = "doc_id", "class_id", "n_links", "set_key", "kept_key"
     out = join_counted(filled.select("doc_id", "set_key"), merged, "set_key", filled.count(), "copies").select(*cols)
     blank = signed.where(F.col("set_key").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "set_key", F.col("set_key").alias("kept_key"))
     return out.unionByName(blank)
 
 
-def dealt(groups: DataFrame, n_rows: int) -> DataFrame:
+def blocked(groups: DataFrame, n_rows: int) -> DataFrame:
     """groups with block and blocks: how its group is split."""
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.col("size") * 8).alias("bytes"))
-    sizes = written(sizes.select("root", "n", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")))
+    sizes = written(sizes.select("root", "n", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")).transform(dealt, n_rows))
     return join_counted(groups, sizes, "root", n_rows).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
