@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, slices, small_batches, worker_cache, written
+from .common import SLICE_BYTES, give_back, slices, small_batches, worker_cache, written
 from .words import WordTable
 
 SPACE = "▁"
@@ -34,7 +34,7 @@ GIANT = 4 * CHUNK
 #: Chunks of a task, and matrices that a task multiplies.
 TASK_CHUNKS, FAN_IN = 8, 16
 #: Bytes of words and their ids that a worker keeps.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 32 << 20
 NEVER = -np.inf
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 INFINITE = float("inf")
@@ -85,7 +85,7 @@ class Lattice:
             return True
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 300_000:
+            if len(self.pairs) > 100_000:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.seam(self.texts[a], self.texts[b])
         return known
@@ -472,6 +472,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
             cache["words", model_path] = WordEncoder(lat)
         encoder = cache["words", model_path]
         parts = [encoder.encode(part) for part in slices(texts, 4000, size_bytes=2 * SLICE_BYTES)]
+        give_back(collect=False)
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     short = docs.where(size <= GIANT).withColumn(out_col, F.arrow_udf(small, "array<int>")(text_col))
@@ -503,6 +504,7 @@ def encode_giants(giants: DataFrame, model_path: str, text_col: str, out_col: st
             for r in b.to_pylist():
                 m = lat.transfer(r["part"], r["begin"], len(r["part"]), r["chunk"] == 0, r["last"])
                 yield pa.RecordBatch.from_pylist([{"key": r["key"], "node": r["chunk"]} | packed_matrix(m)], pa.schema([("key", pa.int64()), ("node", pa.int32()), *MATRIX]))
+        give_back()
 
     chosen = tree_choice(written(chunks.mapInArrow(transfers, f"key long, node int, {MATRIX_DDL}")), last)
     chosen = chosen.withColumnRenamed("node", "chunk")
@@ -516,6 +518,7 @@ def encode_giants(giants: DataFrame, model_path: str, text_col: str, out_col: st
                 stop = (end, 0) if r["last"] else lat.states(part, end)[r["end_state"]]
                 ids = lat.backtrace(part, begin, end, start, stop)
                 yield pa.RecordBatch.from_pydict({"key": pa.array([r["key"]], pa.int64()), "chunk": pa.array([r["chunk"]], pa.int32()), "ids": pa.array([ids], pa.list_(pa.int32()))})
+        give_back()
 
     traced = chunks.join(chosen, ["key", "chunk"]).mapInArrow(trace, "key long, chunk int, ids array<int>")
     whole = traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda c: c["ids"])).alias(out_col))
