@@ -5,7 +5,7 @@ text, and for all other words one of UNITS_SHAPES groups by their last letters.
 matrix, and the matrices are summed in a tree with a fan-in of 64, so what a task or the driver holds doesn't depend on
 the corpus. Then every other word seen MIN_COUNT times or more goes to the class that its own counted contexts (classes
 before and after it) gain most from; contexts and (word, n, class) stay distributed tables. In VOCABULARY_SWEEPS further
-passes they all choose anew, by the classes that the HEAD most frequent words have by then. The last letters decide only
+passes (none by default) they all choose anew, by the classes that the HEAD most frequent words have by then. The last letters decide only
 for words seen less often or never. Class transitions are counted anew with these classes.
 
     log10 P(text) = sum over tokens of log10 P(class | class before) + log10 P(word | class)
@@ -33,8 +33,9 @@ UNITS_WORDS = 767
 UNITS_SHAPES = 256
 UNITS = 1 + UNITS_WORDS + UNITS_SHAPES  # unit 0: the end
 CLASSES = 64
-#: Passes over the vocabulary after the first, in which all words outside the units choose anew.
-VOCABULARY_SWEEPS = 1
+#: Passes over the vocabulary after the first, in which all words outside the units choose anew. One lowers held-out
+#: perplexity by 3 % for a quarter more work.
+VOCABULARY_SWEEPS = 0
 #: Words seen so often have a class of their own contexts.
 MIN_COUNT = 2
 SWEEPS = 6
