@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, shared_dir, slices, small_batches, worker_cache, written
+from .common import BATCH_BYTES, give_back, shared_dir, slices, small_batches, worker_cache, written
 from .words import WordTable
 
 MAGIC = b"TRNS0001"
@@ -267,6 +267,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 total += np.bincount(values_of(ids), minlength=1 << 16)
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.nulls(part.num_rows, pa.binary())], names)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([zlib.compress(total.tobytes(), 1)])], names)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary, counts binary")
 

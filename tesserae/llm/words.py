@@ -30,11 +30,12 @@ def hashes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordTable:
-    """Open addressing over hashes; a hit counts only if the kept word is the same."""
+    """Open addressing over hashes; a hit counts only if the kept word is the same. A slot holds a word's place only, so
+    some 35 bytes go with a word of average length."""
 
     def __init__(self):
-        self.words, self.numbers = pa.array([], pa.string()), np.zeros(0, np.int64)
-        self.bits, self.keys, self.at = 16, np.zeros(1 << 16, np.uint64), np.full(1 << 16, -1, np.int32)
+        self.words, self.numbers, self.keys = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.uint64)
+        self.bits, self.at = 16, np.full(1 << 16, -1, np.int32)  # keys has one more, for slots that are free
 
     @property
     def nbytes(self) -> int:
@@ -42,12 +43,13 @@ class WordTable:
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """Each key's place, or the free place where it belongs."""
-        out = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        left = np.flatnonzero((self.at[out] >= 0) & (self.keys[out] != keys))
+        out = (keys >> np.uint64(64 - self.bits)).astype(np.int32)
+        at = self.at[out]
+        left = np.flatnonzero((at >= 0) & (self.keys[at] != keys))
         while len(left):
             out[left] = (out[left] + 1) & ((1 << self.bits) - 1)
-            here = out[left]
-            left = left[(self.at[here] >= 0) & (self.keys[here] != keys[left])]
+            at = self.at[out[left]]
+            left = left[(at >= 0) & (self.keys[at] != keys[left])]
         return out
 
     def find(self, words: pa.Array) -> np.ndarray:
@@ -63,25 +65,23 @@ class WordTable:
     def add(self, words: pa.Array, numbers: np.ndarray) -> None:
         """Distinct words that find() doesn't know. Long ones, and one whose hash another word has, are not kept."""
         keys, size = hashes_of(words)
-        while len(self.words) + len(words) > (1 << self.bits) // 2:
-            self.grow()
         keep = np.flatnonzero((size <= LONGEST) & (self.at[self.slots(keys)] < 0))
         keep = keep[np.unique(keys[keep], return_index=True)[1]]
-        self.place(keys[keep], len(self.words) + np.arange(len(keep), dtype=np.int32))
+        first = len(self.words)
         self.words = pa.concat_arrays([self.words, words.take(pa.array(keep))])
-        self.numbers = np.concatenate([self.numbers, numbers[keep]])
+        self.numbers = np.concatenate([self.numbers, numbers[keep].astype(np.int32)])
+        self.keys = np.concatenate([self.keys[:-1], keys[keep], np.zeros(1, np.uint64)])
+        if len(self.words) > (1 << self.bits) * 3 // 4:
+            while len(self.words) > (1 << self.bits) * 3 // 4:
+                self.bits += 1
+            first, self.at = 0, np.full(1 << self.bits, -1, np.int32)
+        for k in range(first, len(self.words), 1 << 18):
+            self.place(np.arange(k, min(k + (1 << 18), len(self.words)), dtype=np.int32))
 
-    def place(self, keys: np.ndarray, at: np.ndarray) -> None:
-        while len(keys):  # keys that meet in one place take turns
-            slot, first = np.unique(self.slots(keys), return_index=True)
-            self.keys[slot], self.at[slot] = keys[first], at[first]
-            rest = np.ones(len(keys), bool)
+    def place(self, at: np.ndarray) -> None:
+        while len(at):  # keys that meet in one place take turns
+            slot, first = np.unique(self.slots(self.keys[at]), return_index=True)
+            self.at[slot] = at[first]
+            rest = np.ones(len(at), bool)
             rest[first] = False
-            keys, at = keys[rest], at[rest]
-
-    def grow(self) -> None:
-        used = self.at >= 0
-        keys, at = self.keys[used], self.at[used]
-        self.bits += 1
-        self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
-        self.place(keys, at)
+            at = at[rest]
