@@ -13,12 +13,15 @@ bound lies below the k-th best score known are dropped. Only the others' origina
 first; for the few that can still be among the k best the exact cosine in double precision is taken.
 
 First each query is compared with its own cell, then with every cell that can hold a nearer row: one whose centroid's
-angle less its radius is small enough. Queries are packed into blocks and joined to the cells' blocks, so neither the
-driver nor the plan grows with their number; each pair of blocks returns k rows for each query.
+angle less its radius is small enough. The index's blocks are dealt over parts. Queries are packed into decks, and a deck
+goes once to each part that holds a cell one of its queries needs, not once to each block: what is shuffled is the index
+and, for each part, the queries. A merge join streams a part's blocks past the decks, one pair at a time. Neither the
+driver nor the plan grows with the queries; each pair returns k rows for each query.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,13 +37,16 @@ EPSILON = 4.0
 PLANES = 6
 #: How far a cosine in single precision may be off.
 ROUGH = 1e-4
-#: Rows that the centroids of one dimension are fitted on (a bound in expectation by the hash of vec_id, and twice it at most).
-SAMPLE = 16384
+#: Rows, and bytes of them, that the centroids of one dimension are fitted on (bounds in expectation by the hash of vec_id,
+#: and twice that at most).
+SAMPLE, SAMPLE_BYTES = 16384, 16 << 20
 MAX_CELLS = 1024
-#: Bounds of a block of the index and of a block of queries.
+#: Bounds of a block of the index and of a deck of queries.
 BLOCK_ROWS, BLOCK_BYTES, QUERY_ROWS = 8192, 4 << 20, 1024
+#: The fewest parts, and the most blocks in one of more parts; bytes of queries that a merge join holds for one part.
+LEAST_PARTS, PART_BLOCKS, WAVE_BYTES = 32, 128, 128 << 20
 ROWS = "dim int, cell int, angle double, vec_id long, vector binary, code binary, scalar double"
-BLOCKS = "dim int, cell int, block int, ids binary, codes binary, scalars binary, vectors binary"
+BLOCKS = "dim int, cell int, part int, ids binary, codes binary, scalars binary, vectors binary"
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -130,6 +136,25 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / (norms(a) * norms(b))
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """In single precision, if that keeps every component."""
+    with np.errstate(over="ignore"):
+        y = x.astype("<f4")
+    return y if (y == x).all() else x
+
+
+def packed_vectors(values: list[bytes], dim: int) -> bytes:
+    """Vectors behind each other; if some need double precision, all get it."""
+    if len({len(v) for v in values}) > 1:
+        values = [v if len(v) == 8 * dim else np.frombuffer(v, "<f4").astype("<f8").tobytes() for v in values]
+    return b"".join(values)
+
+
+def unpacked(raw, n: int, dim: int) -> np.ndarray:
+    """n packed vectors as a matrix in double precision."""
+    return np.frombuffer(raw, "<f4" if memoryview(raw).nbytes == 4 * n * dim else "<f8").reshape(n, dim).astype(np.float64)
+
+
 def raw_rows(x: np.ndarray) -> pa.Array:
     """The rows of a matrix as binary values."""
     x = np.ascontiguousarray(x)
@@ -147,10 +172,24 @@ class Cells:
     blocks: np.ndarray
     radius: np.ndarray
 
+    def parts(self) -> int:
+        n = int(self.blocks.sum())
+        return min(n, max(LEAST_PARTS, -(-n // PART_BLOCKS)))
+
+    def holds(self) -> np.ndarray:
+        """cells x parts: whether the part has a block of the cell; blocks are dealt in turn, cell by cell."""
+        first, n = np.cumsum(self.blocks) - self.blocks, self.parts()
+        return (np.arange(n)[None, :] - first[:, None]) % n < self.blocks[:, None]
+
+    def bounds(self, units: np.ndarray, some: slice = slice(None)) -> np.ndarray:
+        """queries x cells: no row of the cell has a larger cosine."""
+        angles = np.arccos(np.clip(units @ self.centroids[some].T, -1, 1))
+        return np.cos(np.maximum(0, angles - self.radius[some])) + 1e-9
+
 
 @dataclass
 class Index:
-    blocks: DataFrame  # BLOCKS
+    blocks: DataFrame  # BLOCKS, several rows for each part
     cells: dict[int, Cells]  # by dimension
 
 
@@ -161,7 +200,8 @@ def centroids_of(sample: np.ndarray, n_rows: int) -> np.ndarray:
     out = x[np.random.default_rng(3).choice(len(x), k, replace=False)]
     for _ in range(8):
         sums = np.zeros_like(out)
-        np.add.at(sums, (x @ out.T).argmax(axis=1), x)
+        for a in range(0, len(x), 2048):
+            np.add.at(sums, (x[a : a + 2048] @ out.T).argmax(axis=1), x[a : a + 2048])
         size = norms(sums)
         out = np.where(size[:, None] > 1e-9, sums / np.maximum(size, 1e-9)[:, None], out)
     return out
@@ -175,11 +215,21 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     counts = {r["dim"]: r["n"] for r in rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).collect()}  # a row for each dimension
     centroids = {}
     for dim, n in counts.items():
-        share = int(min(1.0, SAMPLE / n) * (1 << 20))
-        some = rows.where((F.size("vector") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) <= share)).limit(2 * SAMPLE).toArrow()
-        if not some.num_rows:  # a small table may have no row in the sample
-            some = rows.where(F.size("vector") == dim).limit(1).toArrow()
-        centroids[dim] = centroids_of(np.asarray(some.column("vector").combine_chunks().flatten()).reshape(-1, dim), n)
+        most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+        share = int(min(1.0, most / n) * (1 << 20))
+
+        def fit(batches: Iterator[pa.RecordBatch], dim: int = dim, n: int = n) -> Iterator[pa.RecordBatch]:
+            some = [np.asarray(b.column(0).flatten()).reshape(-1, dim) for b in batches if b.num_rows]
+            if some:
+                yield pa.RecordBatch.from_arrays([raw_rows(centroids_of(np.concatenate(some), n))], ["centroid"])
+
+        # the sample stays in one task, the driver gets MAX_CELLS rows for each dimension
+        own = rows.where(F.size("vector") == dim).select("vec_id", "vector")
+        for some in (own.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) <= share).limit(2 * most), own.limit(1)):  # a small table may have no row in the sample
+            found = some.select("vector").mapInArrow(fit, "centroid binary").toArrow().column(0).to_pylist()
+            if found:
+                centroids[dim] = unpacked(b"".join(found), len(found), dim)
+                break
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
@@ -194,7 +244,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
                 cell = near.argmax(axis=1)
                 angle = np.arccos(np.clip(near[np.arange(len(x)), cell], -1, 1))
                 codes, scalars = encode_codes(units, turns[dim])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(angle), b.column(0).take(pa.array(at)), raw_rows(x), raw_rows(codes), pa.array(scalars)], ["dim", "cell", "angle", "vec_id", "vector", "code", "scalar"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(angle), b.column(0).take(pa.array(at)), raw_rows(narrow(x)), raw_rows(codes), pa.array(scalars)], ["dim", "cell", "angle", "vec_id", "vector", "code", "scalar"])
 
     coded = written(rows.mapInArrow(assign, ROWS))
     cells = {dim: Cells(c, *(np.zeros(len(c), t) for t in (np.int64, np.int64, float))) for dim, c in centroids.items()}
@@ -211,10 +261,11 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
         return pa.array((k % np.maximum(blocks, 1)).astype(np.int32))
 
     def pack(t: pa.Table) -> pa.Table:
-        joined = [b"".join(t.column(c).to_pylist()) for c in ("code", "vector")]
+        dim, cell, block = (t.column(c)[0].as_py() for c in ("dim", "cell", "block"))
         ids, scalars = (np.asarray(t.column(c).combine_chunks()).tobytes() for c in ("vec_id", "scalar"))
-        key = {c: pa.array([t.column(c)[0].as_py()], pa.int32()) for c in ("dim", "cell", "block")}
-        return pa.table(key | {"ids": pa.array([ids], pa.binary()), "codes": [joined[0]], "scalars": [scalars], "vectors": [joined[1]]})
+        part = (int(cells[dim].blocks[:cell].sum()) + block) % cells[dim].parts()
+        key = {c: pa.array([v], pa.int32()) for c, v in (("dim", dim), ("cell", cell), ("part", part))}
+        return pa.table(key | {"ids": pa.array([ids], pa.binary()), "codes": [b"".join(t.column("code").to_pylist())], "scalars": [scalars], "vectors": [packed_vectors(t.column("vector").to_pylist(), dim)]})
 
     numbered = coded.withColumn("block", F.arrow_udf(deal, "int")("dim", "cell", F.monotonically_increasing_id()))
     return Index(written(numbered.groupBy("dim", "cell", "block").applyInArrow(pack, BLOCKS)), cells)
@@ -278,26 +329,54 @@ def first_of_equals(ids: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return np.sort(order[place - np.maximum.accumulate(np.where(new, place, 0)) < n])
 
 
-def scanned(blocks: DataFrame, packed: DataFrame, k: int, epsilon: float) -> DataFrame:
-    """FOUND for packed queries (dim, cell, block, query_ids, queries, floors) against the blocks of the index."""
+PACKED = "dim int, part int, wave int, cells array<int>, query_ids binary, homes binary, queries binary, floors binary"
+
+
+def needed(own: Cells, units: np.ndarray, homes: np.ndarray, floors: np.ndarray, at_home: bool, some: slice = slice(None)) -> np.ndarray:
+    """queries x cells: whether the cell is to be scanned, at first a query's own, later each other that can hold a nearer row."""
+    mine = homes[:, None] == np.arange(len(own.rows))[None, some]
+    return mine if at_home else ~mine & (own.rows[None, some] > 0) & (own.bounds(units, some) >= floors[:, None])
+
+
+def scanned(index: Index, packed: DataFrame, waves: int, k: int, epsilon: float, at_home: bool) -> DataFrame:
+    """FOUND for the decks of queries (PACKED) against the blocks of the index, in the cells that each query needs."""
+    cells = index.cells
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
         for b in batches:
             for row in range(b.num_rows):
-                dim = b.column("dim")[row].as_py()
+                dim, cell = (b.column(c)[row].as_py() for c in ("dim", "cell"))
                 if dim not in turns:
                     turns[dim] = rotation(dim)
                 raw = lambda c, t: np.frombuffer(b.column(c)[row].as_buffer(), t)  # noqa: B023, E731
-                ids, ids_q = raw("ids", "<i8"), raw("query_ids", "<i8")
-                block = ids, raw("codes", "<u8").reshape(len(ids), -1), raw("scalars", "<f8"), raw("vectors", "<f8").reshape(-1, dim)
-                q, r, score = search_block((ids_q, raw("queries", "<f8").reshape(-1, dim), raw("floors", "<f8")), block, k, epsilon, turns[dim])
+                ids, ids_q, floors = raw("ids", "<i8"), raw("query_ids", "<i8"), raw("floors", "<f8")
+                full = unpacked(b.column("queries")[row].as_buffer(), len(ids_q), dim)
+                at = np.flatnonzero(needed(cells[dim], units_of(full), raw("homes", "<i4"), floors, at_home, slice(cell, cell + 1))[:, 0])
+                if not len(at):
+                    continue
+                block = ids, raw("codes", "<u8").reshape(len(ids), -1), raw("scalars", "<f8"), unpacked(b.column("vectors")[row].as_buffer(), len(ids), dim)
+                q, r, score = search_block((ids_q[at], full[at], floors[at]), block, k, epsilon, turns[dim])
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(r), pa.array(score)], ["query_id", "vec_id", "score"])
 
-    return written(blocks.join(packed, ["dim", "cell", "block"]).mapInArrow(scan, FOUND))
-
-
-PACKED = "dim int, cell int, block int, query_ids binary, queries binary, floors binary"
+    # the left side of a merge join is streamed, the right side's rows of one key are held: a wave's queries, never blocks
+    blocks = index.blocks.withColumn("wave", F.explode(F.sequence(F.lit(0), F.lit(waves - 1))))
+    pairs = blocks.hint("merge").join(packed, ["dim", "part", "wave"]).where(F.array_contains("cells", F.col("cell")))
+    return written(pairs.mapInArrow(scan, FOUND))
+
+
+def dealt_decks(sizes: list[tuple[int, int, int]]) -> dict[tuple[int, int], tuple[int, int]]:
+    """(dim, home) -> its first deck and how many it has, from (dim, home, queries). Small homes share a deck."""
+    out, following, room, last = {}, 0, 0, None
+    for dim, home, n in sorted(sizes):
+        own = -(-n // QUERY_ROWS)
+        if own > 1 or n > room or dim != last:
+            first, following = following, following + own
+            room = QUERY_ROWS - n if own == 1 else 0
+        else:
+            first, room = following - 1, room - n
+        out[dim, home], last = (first, own), dim
+    return out
 
 
 def nearest(index: Index, queries: DataFrame, k: int = 5, epsilon: float = EPSILON) -> DataFrame:
@@ -319,41 +398,44 @@ def nearest(index: Index, queries: DataFrame, k: int = 5, epsilon: float = EPSIL
             for dim, at, x in matrices(b.column(1)):
                 if dim in cells:
                     near = (units_of(x) @ cells[dim].centroids.T).argmax(axis=1).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), dim, np.int32)), pa.array(near), b.column(0).take(pa.array(at)), raw_rows(x)], ["dim", "home", "vec_id", "vector"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), dim, np.int32)), pa.array(near), b.column(0).take(pa.array(at)), raw_rows(narrow(x))], ["dim", "home", "vec_id", "vector"])
 
     single = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     placed = written(single.mapInArrow(home, "dim int, home int, vec_id long, vector binary").withColumn("n", F.monotonically_increasing_id()))
-    parts = lambda n: F.ceil(n / QUERY_ROWS)
-
-    def packs(t: pa.Table, floors: np.ndarray, targets: list[tuple[int, np.ndarray]]) -> pa.Table:
-        """Rows of PACKED: for each target cell the queries that mark picks, once for each of its blocks."""
-        dim, out = t.column("dim")[0].as_py(), []
-        ids, vectors = np.asarray(t.column("vec_id").combine_chunks()), t.column("vector").to_pylist()
-        for cell, mark in targets:
-            at = np.flatnonzero(mark)
+    sizes = [(r["dim"], r["home"], r["size"]) for r in placed.groupBy("dim", "home").agg(F.count("*").alias("size")).collect()]  # MAX_CELLS rows for each dimension
+    decks, by_dim = dealt_decks(sizes), Counter()
+    for dim, _, n in sizes:
+        by_dim[dim] += 8 * dim * n
+    waves = max([1, *(-(-size // WAVE_BYTES) for size in by_dim.values())])
+
+    def deal(dim: pa.Array, home: pa.Array, n: pa.Array) -> pa.Array:
+        first, own = np.array([decks[i] for i in zip(dim.to_pylist(), home.to_pylist(), strict=True)], np.int64).reshape(-1, 2).T
+        return pa.array((first + np.asarray(n) % np.maximum(own, 1)).astype(np.int32))
+
+    def packs(t: pa.Table, floors: np.ndarray, at_home: bool) -> pa.Table:
+        """Rows of PACKED: for each part the queries that need one of its cells."""
+        dim, deck, out = t.column("dim")[0].as_py(), t.column("deck")[0].as_py(), []
+        own, vectors = cells[dim], t.column("vector").to_pylist()
+        ids, homes = (np.asarray(t.column(c).combine_chunks()) for c in ("vec_id", "home"))
+        need = needed(own, units_of(unpacked(packed_vectors(vectors, dim), len(ids), dim)), homes, floors, at_home)
+        for part, held in enumerate(own.holds().T):
+            at = np.flatnonzero(need[:, held].any(axis=1))
             if len(at):
-                row = ids[at].tobytes(), b"".join([vectors[i] for i in at.tolist()]), floors[at].tobytes()
-                out += [(dim, cell, b, *row) for b in range(int(cells[dim].blocks[cell]))]
-        types = [pa.int32()] * 3 + [pa.binary()] * 3
+                out.append((dim, part, deck % waves, np.flatnonzero(held & need.any(axis=0)).tolist(), ids[at].tobytes(), homes[at].tobytes(), packed_vectors([vectors[i] for i in at.tolist()], dim), floors[at].tobytes()))
+        types = [pa.int32()] * 3 + [pa.list_(pa.int32())] + [pa.binary()] * 4
         return pa.table({f.split()[0]: pa.array([o[j] for o in out], types[j]) for j, f in enumerate(PACKED.split(", "))})
 
     def at_home(t: pa.Table) -> pa.Table:
-        return packs(t, np.full(t.num_rows, -np.inf), [(t.column("home")[0].as_py(), np.ones(t.num_rows, bool))])
+        return packs(t, np.full(t.num_rows, -np.inf), True)
 
     def elsewhere(t: pa.Table) -> pa.Table:
-        dim = t.column("dim")[0].as_py()
-        own, floors, homes = cells[dim], np.asarray(t.column("floor").combine_chunks()), np.asarray(t.column("home").combine_chunks())
-        units = units_of(np.frombuffer(b"".join(t.column("vector").to_pylist()), "<f8").reshape(-1, dim))
-        angles = np.arccos(np.clip(units @ own.centroids.T, -1, 1))
-        bound = np.cos(np.maximum(0, angles - own.radius)) + 1e-9
-        return packs(t, floors, [(c, (bound[:, c] >= floors) & (homes != c)) for c in range(len(own.rows)) if own.rows[c]])
-
-    by_home = placed.join(F.broadcast(sized := written(placed.groupBy("dim", "home").agg(F.count("*").alias("size")))), ["dim", "home"])  # MAX_CELLS rows for each dimension
-    first = scanned(index.blocks, by_home.groupBy("dim", "home", F.pmod("n", parts(F.col("size"))).alias("deal")).applyInArrow(at_home, PACKED), k, epsilon)
+        return packs(t, np.asarray(t.column("floor").combine_chunks()), False)
+
+    placed = placed.withColumn("deck", F.arrow_udf(deal, "int")("dim", "home", "n"))
+    first = scanned(index, placed.groupBy("dim", "home", "deck").applyInArrow(at_home, PACKED), waves, k, epsilon, True)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
     rest = placed.join(top, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    rest = rest.join(F.broadcast(sized.groupBy("dim").agg(F.sum("size").alias("size"))), "dim")  # a row for each dimension
-    second = scanned(index.blocks, rest.groupBy("dim", F.pmod("n", parts(F.col("size"))).alias("deal")).applyInArrow(elsewhere, PACKED), k, epsilon)
+    second = scanned(index, rest.groupBy("dim", "deck").applyInArrow(elsewhere, PACKED), waves, k, epsilon, False)
     found = first.unionByName(second)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import os
 import random
 import re
 import zlib
@@ -275,6 +276,27 @@ def test_search_equals_brute_force_in_every_dimension(spark, monkeypatch):
     assert {q for q, *_ in got} >= {1000, 1050, 1100} and 1150 not in {q for q, *_ in got}
 
 
+def test_search_keeps_samples_off_the_driver_and_sends_queries_once_to_a_part(spark, monkeypatch):
+    driver, fit, scan, sent = os.getpid(), onebit_search.centroids_of, onebit_search.scanned, []
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return fit(*args)
+
+    def counted(*args):
+        sent.append(args[1].count())
+        return scan(*args)
+
+    monkeypatch.setattr(onebit_search, "centroids_of", elsewhere)
+    monkeypatch.setattr(onebit_search, "scanned", counted)
+    for name, n in (("BLOCK_ROWS", 64), ("QUERY_ROWS", 2), ("LEAST_PARTS", 2), ("PART_BLOCKS", 8), ("WAVE_BYTES", 500)):
+        monkeypatch.setattr(onebit_search, name, n, raising=False)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.random.default_rng(8).standard_normal((400, 16)))]
+    got = found_by(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert [g[:3] for g in got] == [w[:3] for w in slow_search(rows)]
+    assert sum(sent) <= 2 * 8 * 2  # eight queries, two parts, at home and elsewhere; there are seven blocks or more
+
+
 def test_of_equal_vectors_the_least_ids_are_enough():
     r = np.random.default_rng(7)
     x = r.integers(0, 2, (300, 3)).astype(np.float64)
