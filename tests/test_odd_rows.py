@@ -36,3 +36,10 @@ def test_letter_rounds_products_as_sql_does(spark, tmp_path):
     halves = [(1, 5, k, 1.0, p / 100, d / 100) for k, (p, d) in enumerate((p, d) for p in range(100_050, 100_950, 50) for d in (1, 3, 5, 7, 9))]
     got, want = letters(spark, tmp_path, [(1 + k % 3, *row[1:]) for k, row in enumerate(halves)] + [(2, 5, 900, 1.0, 1.005, 1.0), (3, 6, 900, 1.0, 2.675, 1.0)])
     assert len(want) == 3 and got == want
+
+
+def test_letter_of_odd_rows(spark, tmp_path):
+    lines = [(1, 5, 1, 2.5, 10.0, 0.1), (1, 6, 2, 3.5, 10.0, None), (1, 7, 3, 1.0, 10.0, 0.1), (2, 7, 1, 1.0, 10.0, 0.1), (3, 5, 1, None, 10.0, 0.1), (3, 6, None, 1.0, 10.0, 0.1), (3, 6, 4, 0.6, 10.0, 0.1)]
+    got, want = letters(spark, tmp_path, lines, orders=((1, 10), (1, 10), (2, 10), (3, 11), (None, 10)))
+    assert len(want) == 3 and got == want
+    assert {k: v for _, k, v in got}[2] is None
