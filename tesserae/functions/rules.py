@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,9 +17,63 @@ def first_rule(rules: list[tuple[Column, object]], default: object = None) -> Co
     return out.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
+ASCII_WORD = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz")
+#: With (?i) RE2 also takes these for the two letters; Java would only with flags that fold more than RE2 does.
+FOLDED = {"s": "\u017f", "k": "\u212a"}
+
+
+def java(rx: str) -> str:
+    """An RE2 pattern (which the SQL uses) for Java: the same texts match.
+
+    They differ in \\b (beside letters beyond ASCII), \\s (vertical tab), the dot (ends of lines other than \\n), $ (a last
+    \\n) and (?i) (long s, Kelvin sign). Known are ASCII patterns with no flags but (?i) at the start."""
+    fold = rx.startswith("(?i)")
+    at, out = 4 * fold, ["(?i)"] * fold
+    if not rx.isascii() or re.search(r"\(\?(?!:)|\\[BDPQWXpx]", rx[at:]):
+        raise ValueError(f"no translation for {rx}")
+    plain = lambda k: at <= k < len(rx) and rx[k] in ASCII_WORD and not (fold and rx[k].lower() in FOLDED)
+    start = at
+    while at < len(rx):
+        c, two = rx[at], rx[at : at + 2]
+        if c == "[":
+            end = at + 1 + rx.startswith("^", at + 1)
+            end += rx.startswith("]", end)
+            while rx[end] != "]":
+                end += 2 if rx[end] == "\\" else 1
+            body = rx[at + 1 : end].replace(r"\s", r"\t\n\f\r ")
+            held = re.compile("[" + body.removeprefix("^") + "]", re.IGNORECASE | re.ASCII)
+            if body.endswith("-") and not body.endswith("\\-"):  # else a range with what follows
+                body = body[:-1] + "\\-"
+            out.append("[" + body + "".join(x for letter, x in FOLDED.items() if fold and held.match(letter)) + "]")
+            at = end + 1
+            continue
+        if two == r"\b":
+            before = rx[at - 1] if at > start else ""
+            if plain(at + 2) and rx[at + 3 : at + 4] not in ("?", "*", "{"):
+                out.append(r"(?<!\w)")
+            elif before in ASCII_WORD and not (fold and before.lower() in FOLDED) and rx[at - 2 : at - 1] != "\\":
+                out.append(r"(?!\w)")
+            else:
+                out.append(r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))")
+        elif two in (r"\s", r"\S"):
+            out.append(r"[\t\n\f\r ]" if two == r"\s" else r"[^\t\n\f\r ]")
+        elif two == r"\w" and fold:
+            out.append(r"[\w" + "".join(FOLDED.values()) + "]")
+        elif c == "\\":
+            out.append(two)
+        elif c == ".":
+            out.append(r"[^\n]")
+        elif c == "$":
+            out.append(r"\z")
+        else:
+            out.append(f"[{c}{FOLDED[c.lower()]}]" if fold and c.lower() in FOLDED else c)
+        at += 2 if c == "\\" else 1
+    return "".join(out)
+
+
 def regex_case(rules: list[tuple[str, str]], *subjects: Column, default: str | None = "other") -> Column:
-    """Rules (pattern, label) in order over the first subject, then over the next, then the default."""
-    return F.coalesce(*[first_rule([(s.rlike(rx), label) for rx, label in rules]) for s in subjects], F.lit(default))
+    """Rules (RE2 pattern, label) in order over the first subject, then over the next, then the default."""
+    return F.coalesce(*[first_rule([(s.rlike(java(rx)), label) for rx, label in rules]) for s in subjects], F.lit(default))
 
 
 def any_of(c: Column, words) -> Column:

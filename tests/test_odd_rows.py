@@ -3,7 +3,9 @@
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from tesserae.functions import rules, rulesets
 from tesserae.plans import catalog
 
 
@@ -43,3 +45,27 @@ def test_letter_of_odd_rows(spark, tmp_path):
     got, want = letters(spark, tmp_path, lines, orders=((1, 10), (1, 10), (2, 10), (3, 11), (None, 10)))
     assert len(want) == 3 and got == want
     assert {k: v for _, k, v in got}[2] is None
+
+
+def test_strong_topics_by_the_rules_of_sql(spark, tmp_path):
+    words = ["CI for", "z.test", "t test", "histogram", "R2", "sum of squares", "null hypothesis", "stem-leaf", "rank sum", "sign test", "Bayes", "MSE", "95%", "paired, then a t test", "least squares", "Kruskal", "chi-squared", "F = MS", "regression", "type I error", "P(A|B)", "P(k|s)", "Cov(", "E[X]"]
+    around = ["", " ", "é", "中", "١", "_", "a", "́", "ſ", "K", "-", "\n"]
+    texts = [a + w + b for w in words for a in around for b in around]
+    texts += [w.replace(" ", c).replace("-", c) for w in words for c in "\n\r\x0b\x0c\t\x85 \xa0\x1c"]
+    texts += [w.replace(x, y) for w in words for x, y in (("s", "ſ"), ("k", "K"), ("K", "K"), ("i", "ı"), ("I", "İ"), ("A", "ſ"))] + [None, ""]
+    for k in range(0, len(texts), 500):  # counts of few texts each, so that differences don't level out
+        got, want = both(spark, tmp_path, "strong_documents", documents=pa.table({"text": pa.array(texts[k : k + 500], pa.string())}))
+        assert got == want
+    case = rules.sql_case(rulesets.STRONG_TOPICS, "text")
+    pq.write_table(pa.table({"text": pa.array(texts, pa.string())}), f"{tmp_path}/texts.parquet")
+    found = spark.read.parquet(f"{tmp_path}/texts.parquet").select("text", rules.regex_case(rulesets.STRONG_TOPICS, F.col("text"), default=None))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(duckdb.sql(f"SELECT text, {case} FROM '{tmp_path}/texts.parquet'").fetchall(), key=repr)
+
+
+def test_patterns_for_java_match_as_in_sql(spark, tmp_path):
+    patterns = [rx for rx, _ in (*rulesets.CATEGORIES, *rulesets.CATEGORY_PATHS, *rulesets.STRONG_TOPICS, *rulesets.MATERIAL_KINDS)] + [r"(?i)^\w$", "(?i)[^s]", r"a.b$", r"(?i)\bs", r"k\b", r"\S\s[\s]", r"(?i)[A-Z]\b", r"(?i)^[a -s]+$", "(?i)^exam[s -]", "(?i)^exam[s-]*[.]"]
+    texts = ["ſ", "K", "é", "a\rb", "a\nb", "a b\n", "a b", "és", "ks é", "x\x0b y", "x  y", "éexamé", "exam_1", "hwKey", "claſs notes", "Key hw", "ékey", "final é", "s", "exam.solution", "exam!key", "exam -ſolution", "hw3.key", "midterm(é)solution"]
+    pq.write_table(pa.table({"text": pa.array(texts, pa.string())}), f"{tmp_path}/texts.parquet")
+    got = spark.read.parquet(f"{tmp_path}/texts.parquet").select("text", *[F.col("text").rlike(rules.java(rx)).alias(f"c{k}") for k, rx in enumerate(patterns)])
+    want = duckdb.sql(f"SELECT text, {', '.join(f'regexp_matches(text, {rules.quoted(rx)})' for rx in patterns)} FROM '{tmp_path}/texts.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
