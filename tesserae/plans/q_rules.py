@@ -43,7 +43,7 @@ def strong_first_match(spark, d):
 
 @query("strong_documents", "C02", f"SELECT strong, count(*)::BIGINT AS n FROM (SELECT {rules.sql_case(rulesets.STRONG_TOPICS, 'text')} AS strong FROM documents) GROUP BY strong")
 def strong_documents(spark, d):
-    strong = rules.regex_case(rulesets.STRONG_TOPICS, F.col("text"), default=None).alias("strong")
+    strong = rules.text_case(rulesets.STRONG_TOPICS, F.col("text"), default=None).alias("strong")
     return table(spark, d, "documents").select(strong).groupBy("strong").agg(F.count("*").alias("n"))
 
 

@@ -1,5 +1,7 @@
 """Queries against their SQL on rows that the test tables don't have."""
 
+import time
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -69,3 +71,15 @@ def test_patterns_for_java_match_as_in_sql(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/texts.parquet").select("text", *[F.col("text").rlike(rules.java(rx)).alias(f"c{k}") for k, rx in enumerate(patterns)])
     want = duckdb.sql(f"SELECT text, {', '.join(f'regexp_matches(text, {rules.quoted(rx)})' for rx in patterns)} FROM '{tmp_path}/texts.parquet'")
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_strong_topics_of_long_lines(spark, tmp_path):
+    """Patterns that match nothing in one long line: RE2 reads it once, backtracking once for each word."""
+    texts = ["paired " * 60_000, "matched é " * 60_000 + "t test", "stem " * 60_000, "é" * 200_000 + " 95% ", "F " + " " * 200_000 + "= MS", None, ""]
+    began = time.monotonic()
+    got, want = both(spark, tmp_path, "strong_documents", documents=pa.table({"text": pa.array(texts, pa.string())}))
+    assert got == want and time.monotonic() - began < 30
+    path = str(tmp_path / "documents.parquet")
+    found = spark.read.parquet(path).select("text", rules.text_case(rulesets.STRONG_TOPICS, F.col("text"), default="none"))
+    case = rules.sql_case(rulesets.STRONG_TOPICS, "text")
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(duckdb.sql(f"SELECT text, coalesce({case}, 'none') FROM '{path}'").fetchall(), key=repr)
